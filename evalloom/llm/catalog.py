@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import langid, pii, secret_scan
+from evalloom.llm import langid, pii, secret_scan, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_secret_scan": secret_scan.query,
+        "op4_suffix_dedup": suffixes.query,
         "op7_pii": pii.query,
         "op9_language_id": langid.query,
     }

@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles at once; bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20
@@ -33,14 +36,62 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR[0]
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go when each query ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet under the shared folder and reads it back: a cut in the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evalloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column in ``taken`` has it (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def sliced(docs: DataFrame, text_col: str, name: str, slice_bytes: int) -> tuple[DataFrame, str, str]:
+    """``docs`` in a table of its own with two more columns: a number for each row and one for each slice.
+
+    A slice is a run of rows of one task with at most ``slice_bytes`` of text, or one longer row; slices are
+    the units that later steps hash and join, so that a hot source or a group of copies is spread evenly.
+    Returns the table and the two columns' names.
+    """
+    row, part = fresh("row_no", docs.columns), fresh("slice_no", docs.columns)
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(part, size)
+    at = numbered.columns.index(part)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, filled = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            sizes = batch.column(at).to_numpy(zero_copy_only=False)
+            out = np.empty(len(sizes), np.int64)
+            for i, n in enumerate(sizes.tolist()):
+                if filled and filled + n > slice_bytes:
+                    now, filled = now + 1, 0
+                out[i] = now
+                filled += n + 64
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out)], schema=batch.schema)
+
+    return materialise(numbered.mapInArrow(number, numbered.schema), name), row, part
+
+
 def text_frame(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents table, its columns pruned to those named (all, if none is)."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
