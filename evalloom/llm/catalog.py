@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import langid, pii, secret_scan, suffixes
+from evalloom.llm import langid, minhash, pii, secret_scan, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": suffixes.query,
         "op7_pii": pii.query,
         "op9_language_id": langid.query,
+        "op10_minhash_dedup": minhash.query,
     }
 
 

@@ -171,7 +171,7 @@ class RollingHash:
     def __init__(self, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
         self.codes = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1, 2**62)) * 8 + 5
+        self.base = int(rng.integers(1, 2**61)) * 8 + 5
         self.up = self.down = np.empty(0, np.uint64)
 
     def grow(self, n: int) -> None:
