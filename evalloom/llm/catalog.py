@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import langid, minhash, packing, pii, secret_scan, suffixes
+from evalloom.llm import langid, minhash, packing, pii, secret_scan, sharding, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_kd_sharding": sharding.query,
         "op3_secret_scan": secret_scan.query,
         "op4_suffix_dedup": suffixes.query,
         "op7_pii": pii.query,
