@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import langid, minhash, packing, pii, secret_scan, sharding, suffixes
+from evalloom.llm import langid, merkle, minhash, packing, pii, secret_scan, sharding, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_kd_sharding": sharding.query,
         "op3_secret_scan": secret_scan.query,
         "op4_suffix_dedup": suffixes.query,
+        "op5_merkle_fingerprint": merkle.query,
         "op7_pii": pii.query,
         "op8_best_fit_packing": packing.query,
         "op9_language_id": langid.query,
