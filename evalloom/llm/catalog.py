@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import langid, merkle, minhash, packing, pii, secret_scan, sharding, suffixes
+from evalloom.llm import langid, merkle, minhash, packing, pii, quality, secret_scan, sentencepieces, sharding, suffixes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_sharding": sharding.query,
+        "op2_sentencepiece": sentencepieces.query,
         "op3_secret_scan": secret_scan.query,
         "op4_suffix_dedup": suffixes.query,
         "op5_merkle_fingerprint": merkle.query,
+        "op6_tokenizer_fertility": quality.query,
         "op7_pii": pii.query,
         "op8_best_fit_packing": packing.query,
         "op9_language_id": langid.query,
