@@ -12,8 +12,9 @@ that nothing that banding brought together is left out. What banding itself can
 0.8 shares none of 32 bands of 5 rows with a probability of about 3e-6.
 
 Defined cases: null texts, empty ones and texts without words have the empty set, size 0, and are linked with
-nothing; repeated rows are equal sets; a null id never names a component unless all ids in it are null, and
-is never kept as its first; other columns are kept, whatever their names.
+nothing; repeated rows are equal sets; a null id names a component only if all ids in it are null; several
+rows with the id that names their component are all ``kept``, but ``chosen`` is one row of each component;
+other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm import common
-from evalloom.llm.common import RollingHash, ascii_lower, fresh, materialise, mix, sliced, slices, text_frame, utf8
+from evalloom.llm.common import RollingHash, ascii_lower, materialise, mix, sliced, slices, text_frame, utf8
 from evalloom.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -161,11 +162,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``docs`` with n_shingles, component_id (the least id reachable) and kept (id = component_id).
+    """``docs`` with n_shingles, component_id (the least id reachable), kept (id = component_id) and chosen (one row of each component).
 
     Columns of these names in ``docs`` are replaced.
     """
-    docs = docs.drop("n_shingles", "component_id", "kept")
+    docs = docs.drop("n_shingles", "component_id", "kept", "chosen")
     base, row, part = sliced(docs, text_col, "minhash-docs", common.SLICE_BYTES)
     spark = docs.sparkSession
     feat = materialise(features(base.select(F.col(row).alias("row_no"), F.col(text_col)), words, bands, rows), "minhash-features")
@@ -207,13 +208,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows to components; a component's id is the least of its documents'
     rows_in = feat.where("n_shingles > 0").select("row_no", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"]).select("row_no", "component")
     rows_in = materialise(rows_in.join(ids, "row_no"), "minhash-rows")
-    least = rows_in.groupBy("component").agg(F.min("id").alias("component_id"))
-    labelled = rows_in.join(least, "component").select("row_no", "component_id")
-    size = fresh("n_shingles", base.columns)
-    out = base.join(feat.select(F.col("row_no").alias(row), F.col("n_shingles").alias(size)), row).join(labelled.withColumnRenamed("row_no", row), row, "left")
-    label = F.when(F.col(size) > 0, F.col("component_id")).otherwise(F.col(id_col))
-    kept = F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))
-    return out.withColumn("component_id", label).withColumn("kept", kept).drop(row, part)
+    least = rows_in.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_no")).alias("x"))
+    labelled = rows_in.join(least, "component").select(F.col("row_no").alias(row), F.col("x.id").alias("component_id"), (F.col("row_no") == F.col("x.row_no")).alias("chosen"))
+    out = base.join(feat.select(F.col("row_no").alias(row), "n_shingles"), row).join(labelled, row, "left")
+    label = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col))
+    out = out.withColumn("component_id", label).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return out.withColumn("chosen", F.coalesce("chosen", F.lit(True))).drop(row, part)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
