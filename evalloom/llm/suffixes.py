@@ -16,7 +16,7 @@ sampled place within v - 1 steps.
 
 Every sort moves one sorted block of 64-bit fingerprints for each slice of text and range of fingerprints. A
 fingerprint that a slice holds often is sent twice at most, so that a passage which a third of all documents
-share puts two numbers for each slice into its range. Ranges are as many as the corpus needs to keep each
+share puts two numbers for each slice into its range. A bit for each fingerprint comes back. Ranges are as many as the corpus needs to keep each
 within ``RANGE_BYTES``. Fingerprints of 64 bits decide; among n suffixes that get to one sort a false match
 comes with probability n^2 / 2^65.
 
@@ -32,14 +32,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.llm.common import RollingHash, materialise, sliced, text_frame, utf8
+from evalloom.llm.common import RollingHash, materialise, slices, text_frame, utf8
+from evalloom.llm.word_tokens import ragged
 
 LENGTH = 200
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 RANGE_BYTES = 12 << 20
 # Perfect difference sets by period; each residue is a difference of two members.
 COVERS = {
@@ -63,7 +66,7 @@ class Depths:
 
     @property
     def period(self) -> int:
-        return max(v for v in COVERS if v == 3 or 3 * v <= 2 * self.length)
+        return max(v for v in COVERS if v == 3 or 3 * v <= self.length)
 
     @property
     def tuple(self) -> int:
@@ -82,37 +85,40 @@ class Slice:
         self.data, self.offsets = utf8(texts)
         self.size = np.diff(self.offsets)
         self.prefix = HASH.prefix(self.data)
-        n = len(self.data)
-        self.left = np.repeat(self.offsets[1:], self.size) - np.arange(n)
         v = depths.period
-        inside = np.zeros(v, bool)
-        inside[list(COVERS[v])] = True
-        place = np.arange(n) - np.repeat(self.offsets[:-1], self.size)
-        long_enough = np.repeat(self.size >= depths.length, self.size)
-        self.sampled = np.flatnonzero(inside[place % v] & long_enough & (self.left >= depths.tuple))
-        self.place = place
+        # the cover's places up to the longest document; each document has those with a whole tuple
+        longest = int(self.size.max(initial=0))
+        pattern = (np.arange(0, longest + v, v)[:, None] + np.array(COVERS[v])).ravel()
+        count = np.searchsorted(pattern, self.size - depths.tuple, side="right") * (self.size >= depths.length)
+        self.place = pattern[ragged(np.zeros(len(count), np.int64), count)]
+        self.sampled = self.place + np.repeat(self.offsets[:-1], count)
+        self.end = np.repeat(self.offsets[1:], count)
 
     def hashes(self, at: np.ndarray, depth: int) -> np.ndarray:
         return HASH.ranges(self.prefix, at, at + depth)
 
     def repeated_samples(self, names: np.ndarray) -> np.ndarray:
-        return self.sampled[among(self.hashes(self.sampled, self.depths.tuple), names)]
+        """Which samples' tuples have one of the names."""
+        return np.flatnonzero(among(self.hashes(self.sampled, self.depths.tuple), names))
 
     def long_samples(self, names: np.ndarray) -> np.ndarray:
-        at = self.repeated_samples(names)
-        return at[self.left[at] >= self.depths.long]
+        which = self.repeated_samples(names)
+        at = self.sampled[which]
+        return at[self.end[which] - at >= self.depths.long]
 
-    def settled(self, names: np.ndarray, long_names: np.ndarray) -> np.ndarray:
+    def settled(self, long_samples: np.ndarray, long_names: np.ndarray) -> np.ndarray:
         """Which suffixes step 2 shows to be repeated (given the names that the slice leads: which it stands for)."""
-        at = self.long_samples(names)
-        at = at[among(self.hashes(at, self.depths.long), long_names)]
+        at = long_samples[among(self.hashes(long_samples, self.depths.long), long_names)]
         return marked(at, at + self.depths.period + 1, len(self.data))
 
     def open(self, names: np.ndarray, settled: np.ndarray) -> np.ndarray:
         """The suffixes that step 1 leaves and step 2 doesn't settle."""
-        at = self.repeated_samples(names)
-        first = np.maximum(at - (self.depths.period - 1), at - self.place[at])
-        return np.flatnonzero(marked(first, at + 1, len(self.data)) & ~settled & (self.left >= self.depths.length))
+        which = self.repeated_samples(names)
+        at = self.sampled[which]
+        first = np.maximum(at - (self.depths.period - 1), at - self.place[which])
+        last = np.minimum(at, self.end[which] - self.depths.length)
+        some = first <= last
+        return np.flatnonzero(marked(first[some], last[some] + 1, len(self.data)) & ~settled)
 
 
 def among(values: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -126,8 +132,15 @@ def among(values: np.ndarray, names: np.ndarray) -> np.ndarray:
 
 def marked(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in one of the ranges."""
-    change = np.bincount(start, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(end, n), minlength=n + 1)[: n + 1]
-    return np.cumsum(change)[:n] > 0
+    out = np.zeros(n, bool)
+    if len(start):
+        order = np.argsort(start, kind="stable")
+        start, reach = start[order], np.maximum.accumulate(np.minimum(end, n)[order])
+        # ranges that overlap or touch are one
+        new = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+        first, last = start[new], reach[np.append(new[1:], len(start)) - 1]
+        out[ragged(first, last - first)] = True
+    return out
 
 
 def at_most_twice(values: np.ndarray) -> np.ndarray:
@@ -140,20 +153,37 @@ def at_most_twice(values: np.ndarray) -> np.ndarray:
     return values[keep]
 
 
+def cuts(values: np.ndarray, ranges: int) -> list[int]:
+    """Where sorted fingerprints go from one range to the next."""
+    edges = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+    return [0, *np.searchsorted(values, edges).tolist(), len(values)]
+
+
 def blocks(slice_no: int, values: np.ndarray, ranges: int) -> Iterator[tuple[int, int, bytes]]:
     """A sorted block of fingerprints for each range of them."""
     values = at_most_twice(values)
-    edges = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
-    cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
+    at = cuts(values, ranges)
     for r in range(ranges):
-        if cuts[r] < cuts[r + 1]:
-            yield r, slice_no, values[cuts[r] : cuts[r + 1]].tobytes()
+        if at[r] < at[r + 1]:
+            yield r, slice_no, wire(values[at[r] : at[r + 1]])
+
+
+def named_of(sent: np.ndarray, found: pa.Table, level: int, ranges: int) -> np.ndarray:
+    """Of the fingerprints that a slice sent, those whose bits came back; sorted, each once."""
+    values = at_most_twice(sent)
+    at = cuts(values, ranges)
+    out = [np.empty(0, np.uint64)]
+    for own, r, bits in zip(found.column("level").to_pylist(), found.column("range_no").to_pylist(), found.column("bits"), strict=True):
+        if own == level:
+            part = values[at[r] : at[r + 1]]
+            out.append(part[np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(part)).astype(bool)])
+    return np.unique(np.concatenate(out))
 
 
 BLOCKS = T.StructType([T.StructField("range_no", T.IntegerType()), T.StructField("slice_no", T.LongType()), T.StructField("names", T.BinaryType())])
-NAMES = T.StructType([T.StructField("slice_no", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("names", T.BinaryType())])
+BITS = T.StructType([T.StructField("slice_no", T.LongType()), T.StructField("level", T.IntegerType()), T.StructField("range_no", T.IntegerType()), T.StructField("bits", T.BinaryType())])
 ARROW_BLOCKS = pa.schema([("range_no", pa.int32()), ("slice_no", pa.int64()), ("names", pa.binary())])
-ARROW_NAMES = pa.schema([("slice_no", pa.int64()), ("level", pa.int32()), ("names", pa.binary())])
+ARROW_BITS = pa.schema([("slice_no", pa.int64()), ("level", pa.int32()), ("range_no", pa.int32()), ("bits", pa.binary())])
 
 
 def table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -162,35 +192,62 @@ def table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def named(sent: DataFrame, level: int, name: str) -> DataFrame:
-    """Of each slice's fingerprints those that occur twice or more anywhere."""
+    """For each slice's block, a bit for each fingerprint: whether it occurs twice or more anywhere."""
 
     def compare(group: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("names")]
+        parts = [unwire(x.as_py()) for x in group.column("names")]
         both = np.sort(np.concatenate(parts))
         names = np.unique(both[1:][both[1:] == both[:-1]])
         rows, led = [], np.zeros(len(names), bool)
+        range_no = group.column("range_no")[0].as_py()
         for slice_no, part in zip(group.column("slice_no").to_pylist(), parts, strict=True):
-            if len(found := np.unique(part[among(part, names)])):
-                rows.append((slice_no, level, found.tobytes()))
-                at = np.searchsorted(names, found)
+            if (hit := among(part, names)).any():
+                rows.append((slice_no, level, range_no, np.packbits(hit).tobytes()))
+                at = np.searchsorted(names, part[hit])
                 if level == LONG and not led[at].all():
-                    rows.append((slice_no, LED, found[~led[at]].tobytes()))
+                    first = hit.copy()
+                    first[hit] = ~led[at]
+                    rows.append((slice_no, LED, range_no, np.packbits(first).tobytes()))
                     led[at] = True
-        return table(rows, ARROW_NAMES)
+        return table(rows, ARROW_BITS)
+
+    return materialise(sent.groupBy("range_no").applyInArrow(compare, BITS), name)
+
 
-    return materialise(sent.groupBy("range_no").applyInArrow(compare, NAMES), name)
+def wire(values: np.ndarray) -> bytes:
+    """Sorted numbers as the bytes of their differences, the first byte of each first: high ones are zeros that compress."""
+    return np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def levels(found: pa.Table) -> list[np.ndarray]:
-    """The sorted names of each level."""
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    for level, names in zip(found.column("level").to_pylist(), found.column("names"), strict=True):
-        out[level].append(np.frombuffer(names.as_py(), np.uint64))
-    return [np.unique(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in out]
+def unwire(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def texts_of(group: pa.Table, column: int) -> pa.Array:
-    return group.column(column).combine_chunks() if group.num_rows else pa.array([], pa.string())
+def row_blocks(docs: DataFrame, text_col: str, slice_bytes: int) -> DataFrame:
+    """``docs`` as (slice_no, n_bytes, rows): runs of rows of one task with about ``slice_bytes`` of text, each a compressed Arrow stream."""
+    at = docs.columns.index(text_col)
+
+    def packed(slice_no: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(batches).combine_chunks())
+        size = sum(pc.sum(pc.binary_length(b.column(at))).as_py() or 0 for b in batches)
+        return pa.RecordBatch.from_arrays([pa.array([slice_no]), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice_no", "n_bytes", "rows"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, filled = TaskContext.get().partitionId() << 33, [], 0
+        for batch in batches:
+            _, offsets = utf8(batch.column(at))
+            for i, j in slices(offsets, slice_bytes):
+                held.append(batch.slice(i, j - i))
+                filled += int(offsets[j] - offsets[i])
+                if filled >= slice_bytes // 2:
+                    yield packed(number, held)
+                    number, held, filled = number + 1, [], 0
+        if held:
+            yield packed(number, held)
+
+    return materialise(docs.mapInArrow(pack, "slice_no long, n_bytes long, rows binary"), "suffix-slices")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -200,63 +257,77 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     """
     depths = Depths(length)
     docs = docs.drop("n_bytes", "n_removed", "removed", "kept")
-    base, row, part = sliced(docs, text_col, "suffix-docs", slice_bytes)
-    spark = docs.sparkSession
-    total = base.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    base = row_blocks(docs, text_col, slice_bytes)
+    text_at = docs.columns.index(text_col)
+    total = base.agg(F.sum("n_bytes")).first()[0] or 0
     sampled_bytes = 8 * total * len(COVERS[depths.period]) // depths.period
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sampled_bytes // RANGE_BYTES))
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sampled_bytes // RANGE_BYTES))
+
+    def rows_of(block: pa.Scalar) -> pa.Table:
+        return pa.ipc.open_stream(block.as_buffer()).read_all().combine_chunks()
+
+    def slice_of(rows: pa.Table) -> Slice:
+        column = rows.column(text_at)
+        return Slice(column.chunk(0) if column.num_chunks else pa.array([], pa.string()), depths)
 
     def first_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if i < j:
-                    s = Slice(batch.column(1)[i:j], depths)
-                    yield from table(list(blocks(int(numbers[i]), s.hashes(s.sampled, depths.tuple), ranges)), ARROW_BLOCKS).to_batches()
+            for number, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = slice_of(rows_of(block))
+                yield from table(list(blocks(number, s.hashes(s.sampled, depths.tuple), ranges)), ARROW_BLOCKS).to_batches()
+
+    def known(s: Slice, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The tuples that occur again, and the samples that are compared at the larger depth."""
+        tuples = named_of(s.hashes(s.sampled, depths.tuple), found, TUPLES, ranges)
+        return tuples, s.long_samples(tuples)
 
     def long_names(group: pa.Table, found: pa.Table) -> pa.Table:
-        names = levels(found)
-        if not group.num_rows or not len(names[TUPLES]):
+        if not group.num_rows or not found.num_rows:
             return table([], ARROW_BLOCKS)
-        s = Slice(texts_of(group, 1), depths)
-        return table(list(blocks(group.column(0)[0].as_py(), s.hashes(s.long_samples(names[TUPLES]), depths.long), ranges)), ARROW_BLOCKS)
+        s = slice_of(rows_of(group.column(1)[0]))
+        _, long_samples = known(s, found)
+        return table(list(blocks(group.column(0)[0].as_py(), s.hashes(long_samples, depths.long), ranges)), ARROW_BLOCKS)
+
+    def merged(s: Slice, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What step 2 settles, the suffixes it leaves open, and the settled ones that the slice leads."""
+        tuples, long_samples = known(s, found)
+        sent = s.hashes(long_samples, depths.long)
+        settled = s.settled(long_samples, named_of(sent, found, LONG, ranges))
+        led = s.settled(long_samples, named_of(sent, found, LED, ranges))
+        return settled, s.open(tuples, settled), np.flatnonzero(led)
 
     def open_names(group: pa.Table, found: pa.Table) -> pa.Table:
-        names = levels(found)
-        if not group.num_rows or not len(names[TUPLES]):
+        if not group.num_rows or not found.num_rows:
             return table([], ARROW_BLOCKS)
-        s = Slice(texts_of(group, 1), depths)
-        led = np.flatnonzero(s.settled(names[TUPLES], names[LED]))
-        at = np.concatenate([s.open(names[TUPLES], s.settled(names[TUPLES], names[LONG])), led])
-        return table(list(blocks(group.column(0)[0].as_py(), s.hashes(at, depths.length), ranges)), ARROW_BLOCKS)
+        s = slice_of(rows_of(group.column(1)[0]))
+        at = np.concatenate(merged(s, found)[1:])
+        return table(list(blocks(group.column(0)[0].as_py(), s.hashes(at, length), ranges)), ARROW_BLOCKS)
 
-    keyed = base.select(F.col(part).alias("slice_no"), F.col(text_col))
+    keyed = base.select("slice_no", "rows")
 
-    def with_names(step: object, *known: DataFrame) -> DataFrame:
+    def with_names(step: object, schema: T.StructType, *known: DataFrame) -> DataFrame:
         found = known[0]
         for more in known[1:]:
             found = found.union(more)
-        return keyed.groupBy("slice_no").cogroup(found.groupBy("slice_no")).applyInArrow(step, BLOCKS)
+        return keyed.groupBy("slice_no").cogroup(found.groupBy("slice_no")).applyInArrow(step, schema)
 
     one = named(keyed.mapInArrow(first_names, BLOCKS), TUPLES, "suffix-tuples")
-    two = named(with_names(long_names, one), LONG, "suffix-names")
-    three = named(with_names(open_names, one, two), WHOLE, "suffix-merge")
+    two = named(with_names(long_names, BLOCKS, one), LONG, "suffix-names")
+    three = named(with_names(open_names, BLOCKS, one, two), WHOLE, "suffix-merge")
 
-    kept_columns = [c for c in base.columns if c not in (row, part)]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*base.select(*kept_columns).schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", span), T.StructField("kept", T.BinaryType())])
-    text_at = [part, *kept_columns].index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", span), T.StructField("kept", T.BinaryType())])
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(group: pa.Table, found: pa.Table) -> pa.Table:
-        s = Slice(texts_of(group, text_at), depths)
-        names, n = levels(found), len(s.data)
+        rows = rows_of(group.column(1)[0])
+        s = slice_of(rows)
+        n = len(s.data)
         removed = np.zeros(n, bool)
-        if len(names[TUPLES]):
-            settled = s.settled(names[TUPLES], names[LONG])
-            at = s.open(names[TUPLES], settled)
-            start = np.concatenate([np.flatnonzero(settled), at[among(s.hashes(at, length), names[WHOLE])]])
+        if found.num_rows:
+            settled, at, led = merged(s, found)
+            again = named_of(s.hashes(np.concatenate([at, led]), length), found, WHOLE, ranges)
+            start = np.concatenate([np.flatnonzero(settled), at[among(s.hashes(at, length), again)]])
             removed = marked(start, start + length, n)
         spans, kept, gone = [], [], []
         for i, j in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True):
@@ -265,13 +336,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             spans.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
             kept.append(s.data[i:j][~own].tobytes() if len(edges) else s.data[i:j].tobytes())
             gone.append(int(own.sum()))
-        columns = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in group.columns[1:]]
-        columns += [pa.array(s.size.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(spans, arrow_span), pa.array(kept, pa.binary())]
-        return pa.table(columns, names=[*group.column_names[1:], "n_bytes", "n_removed", "removed", "kept"])
+        columns = [*rows.columns, pa.array(s.size.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(spans, arrow_span), pa.array(kept, pa.binary())]
+        return pa.table(columns, names=[*rows.column_names, "n_bytes", "n_removed", "removed", "kept"])
 
-    found = one.union(two).union(three)
-    whole = base.select(F.col(part), *kept_columns)
-    return whole.groupBy(part).cogroup(found.groupBy("slice_no")).applyInArrow(cut, schema)
+    return with_names(cut, schema, one, two, three)
 
 
 def kept_text(repeats_removed: DataFrame, text_col: str = "text") -> DataFrame:
