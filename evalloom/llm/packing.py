@@ -33,6 +33,8 @@ SEQUENCE = 2048
 END_ID = 0
 GROUP_SEQUENCES = 20_000
 ROUNDS = 3
+#: Text that is encoded at once.
+TEXT_BYTES = 6 << 20
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -49,7 +51,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
             kept.append(WordTokens(json_tokenizer(path)))
         for batch in batches:
             _, offsets = utf8(batch.column(1))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, TEXT_BYTES):
                 ids, at = text_ids(batch.column(1)[i:j], kept[0])
                 row, piece, start, length, crc, lists = [], [], [], [], [], []
                 for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import RollingHash, mix, slices, text_frame, utf8, vocabulary_path, words
-from evalloom.llm.word_tokens import WordTokens, text_ids
+from evalloom.llm.word_tokens import WordTokens, flattened, text_ids
 
 VOCABULARY = "piece_bpe_32k.model"
 WINDOW = 5
@@ -145,7 +145,7 @@ def measure(docs: DataFrame, text_col: str = "text", vocabulary: str | None = No
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())], np.float64)
-            kept.append((WordTokens(lambda ws: model.encode(ws, num_threads=1)), is_byte))
+            kept.append((WordTokens(lambda ws: flattened(model.encode(ws, num_threads=1))), is_byte))
         tokens, is_byte = kept[0]
         for column in batches:
             data, offsets = utf8(column)

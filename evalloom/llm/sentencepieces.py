@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import mix, powers, slices, text_frame, utf8, vocabulary_path
-from evalloom.llm.word_tokens import WordTokens, ragged
+from evalloom.llm.word_tokens import WordTokens, flattened
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -148,7 +148,7 @@ class Pieces:
 @lru_cache(4)
 def vocabulary(path: str) -> tuple[Pieces, WordTokens]:
     pieces = Pieces(path)
-    return pieces, WordTokens(pieces.encode)
+    return pieces, WordTokens(lambda words: flattened(pieces.encode(words)))
 
 
 def encode_slice(texts: pa.Array, tokens: WordTokens) -> tuple[np.ndarray, np.ndarray]:
@@ -160,12 +160,7 @@ def encode_slice(texts: pa.Array, tokens: WordTokens) -> tuple[np.ndarray, np.nd
         if text:
             word.extend([number.setdefault(w, len(number)) for w in WORD.findall(SPACE + text.replace(" ", SPACE))])
         edges.append(len(word))
-    flat, count = tokens.ids(list(number))
-    places = np.array(word, np.int64)
-    size = count[places] if len(places) else np.empty(0, np.int64)
-    begin = np.cumsum(count) - count
-    at = np.concatenate([[0], np.cumsum(size)])[np.array(edges)]
-    return flat[ragged(begin[places], size)] if len(places) else np.empty(0, np.uint32), at
+    return tokens.of(list(number), np.array(word, np.int64), np.array(edges))
 
 
 def encode(docs: DataFrame, text_col: str = "text", into: str = "piece_ids", model: str | None = None) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable
 from itertools import chain
 
@@ -11,26 +13,48 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker remembers with their ids; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
+#: Words that go to the tokeniser in one text.
+JOINED = 5_000
+
+#: The ids of all words, one after another, and how many each has.
+Encoded = tuple[np.ndarray, np.ndarray]
+
+
+def flattened(lists: list[list[int]]) -> Encoded:
+    count = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(count.sum())), count
 
 
 class WordTokens:
-    """Encodes words in whole batches and remembers them; ``encode`` maps a list of words to lists of ids."""
+    """Encodes words in whole batches and remembers them, their ids in flat arrays."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], remembered: int = REMEMBERED) -> None:
+    def __init__(self, encode: Callable[[list[str]], Encoded], remembered: int = REMEMBERED) -> None:
         self.encode, self.remembered = encode, remembered
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
 
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after another, and how many each has."""
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.begin, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Each word's place in ``begin`` and ``count``, which say where its ids are in ``flat``."""
         if len(self.known) > self.remembered:
-            self.known.clear()
+            self.forget()
         known = self.known
-        if new := [w for w in words if w not in known]:
-            known.update(zip(new, map(tuple, self.encode(new)), strict=True))
-        found = [known[w] for w in words]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())), count
+        if new := list(dict.fromkeys(w for w in words if w not in known)):
+            ids, count = self.encode(new)
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
+            self.flat, self.count = np.concatenate([self.flat, ids]), np.concatenate([self.count, count])
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def of(self, words: list[str], word: np.ndarray, edges: np.ndarray) -> Encoded:
+        """The ids of texts made of the words with numbers ``word``, text i those from edges[i] on; and where each text's ids begin."""
+        at = self.places(words)[word] if len(word) else word.astype(np.int64)
+        count = self.count[at]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        return self.flat[ragged(self.begin[at], count)], ends[edges]
 
 
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -57,24 +81,61 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return offsets - (offsets[0] if len(offsets) else 0), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
 
-def text_ids(texts: pa.Array, tokens: WordTokens) -> tuple[np.ndarray, np.ndarray]:
+def text_ids(texts: pa.Array, tokens: WordTokens) -> Encoded:
     """The ids of all texts, one after another, and the n + 1 places where each text's begin."""
     offsets, word, different = words_of(texts)
-    flat, count = tokens.ids(different)
-    begin = np.cumsum(count) - count
-    size = count[word] if len(word) else np.empty(0, np.int64)
-    edges = np.concatenate([[0], np.cumsum(size)])
-    return flat[ragged(begin[word], size)] if len(word) else np.empty(0, np.uint32), edges[offsets]
+    return tokens.of(different, word, offsets)
+
 
+#: Words of letters that no normal form changes, with punctuation after them.
+LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
-def json_tokenizer(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """The encoder of a tokenizers file; no threads of its own, no special tokens added."""
+
+def cuts_latin(tokenizer: object) -> bool:
+    """Whether a tokenizer lowers text and takes such a word as its letters and then its punctuation, whatever stands before."""
+    rules = json.loads(tokenizer.to_str())
+    normal, pre = json.dumps(rules["normalizer"]), json.dumps(rules["pre_tokenizer"])
+    return '"Lowercase"' in normal and "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in pre and '"add_prefix_space": false' in pre
+
+
+def json_tokenizer(path: str) -> Callable[[list[str]], Encoded]:
+    """The encoder of a tokenizers file; no threads of its own, no special tokens added.
+
+    Many words go in one text with spaces between them; the ids' places in it say which word they are of.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
 
-    def encode(words: list[str]) -> list[list[int]]:
-        return [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    return encode
+    def joined(words: list[str]) -> Encoded:
+        flat, count = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for i in range(0, len(words), JOINED):
+            part = words[i : i + JOINED]
+            start = np.cumsum([0, *(len(w) + 1 for w in part[:-1])])
+            found = tokenizer.encode(" ".join(part), add_special_tokens=False)
+            flat.append(np.array(found.ids, np.uint32))
+            at = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            count.append(np.bincount(np.searchsorted(start, at, side="right") - 1, minlength=len(part)).astype(np.int64))
+        return np.concatenate(flat), np.concatenate(count)
+
+    if not cuts_latin(tokenizer):
+        return joined
+    parts_known = WordTokens(joined)
+
+    def by_parts(words: list[str]) -> Encoded:
+        number: dict[str, int] = {}
+        part: list[int] = []
+        edges = [0]
+        for w in words:
+            if m := LATIN.fullmatch(w):
+                part.append(number.setdefault(m[1].lower(), len(number)))
+                if m[2]:
+                    part.append(number.setdefault(m[2], len(number)))
+            else:
+                part.append(number.setdefault(w, len(number)))
+            edges.append(len(part))
+        ids, at = parts_known.of(list(number), np.array(part, np.int64), np.array(edges))
+        return ids, np.diff(at)
+
+    return by_parts
