@@ -7,9 +7,10 @@ least of its values over the set. ``bands`` bands of ``rows`` coordinates bring
 Documents with equal sets are one class and go on as one. In each bucket of a band every class is compared
 with the bucket's first class; sizes rule out pairs that can't link. Links that hold on the full sets give
 components. Buckets whose classes then are in one component are done: another comparison there can't change
-the result. In the others all pairs of classes from different components are compared as well, in blocks, so
-that nothing that banding brought together is left out. What banding itself can miss: a pair at similarity
-0.8 shares none of 32 bands of 5 rows with a probability of about 3e-6.
+the result. In the others all classes outside the largest component are compared with those of other
+components, in blocks; parity bits of the sets, which bound their difference from below, rule out most pairs
+before their sets are fetched. Nothing that banding brought together is left out. What banding itself can
+miss: a pair at similarity 0.8 shares none of 32 bands of 5 rows with a probability of about 3e-6.
 
 Defined cases: null texts, empty ones and texts without words have the empty set, size 0, and are linked with
 nothing; repeated rows are equal sets; a null id names a component only if all ids in it are null; several
@@ -20,6 +21,8 @@ other columns are kept, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,11 @@ from evalloom.llm.components import components
 BANDS, ROWS = 32, 5
 PLACE_BITS = 20
 PLACES = 1 << PLACE_BITS
+PARITY_BITS = 1024
 #: Shingles whose coordinates are made at once.
 STEP = 8192
+#: Ids (8 bytes each) up to which a list of them is broadcast.
+FEW_IDS = 2_000_000
 #: Classes of a bucket that are compared as one block.
 BLOCK = 256
 HASH = RollingHash(10)
@@ -85,6 +91,16 @@ class Circulant:
         return out
 
 
+def parity(row: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+    """For each row, whether the shingles that fall on each of ``PARITY_BITS`` places are odd in number; 64 places a word.
+
+    Two sets differ in at least as many members as their words differ in bits.
+    """
+    place = ((shingle >> np.uint64(8)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = np.bincount(row * PARITY_BITS + place, minlength=n * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, PARITY_BITS), axis=1, bitorder="little").view(np.int64)
+
+
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = signatures.reshape(len(signatures), bands, rows).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), parts.shape[:2])
@@ -93,12 +109,12 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-FEATURES = "row_no long, n_shingles long, set_hi long, set_lo long, band_keys array<long>"
-ARROW_FEATURES = pa.schema([("row_no", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("band_keys", pa.list_(pa.int64()))])
+FEATURES = "row_no long, n_shingles long, set_hi long, set_lo long, band_keys array<long>, parity array<long>"
+ARROW_FEATURES = pa.schema([("row_no", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("band_keys", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
 
 def features(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(row_no, text) to each row's set size, the hash of its set and its band keys."""
+    """(row_no, text) to each row's set size, the hash of its set, its band keys and its parity bits."""
     kept: list[Circulant] = []
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +135,9 @@ def features(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     sums.append(pa.array((total[edges[1:]] - total[edges[:-1]]).astype(np.int64)))
                 full = size > 0
                 at = np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([numbers[i:j], pa.array(size.astype(np.int64)), *sums, pa.ListArray.from_arrays(pa.array(at), pa.array(keys[full].ravel()))], schema=ARROW_FEATURES)
+                bits = parity(row, shingle, n)
+                words_at = np.arange(n + 1, dtype=np.int32) * bits.shape[1]
+                yield pa.RecordBatch.from_arrays([numbers[i:j], pa.array(size.astype(np.int64)), *sums, pa.ListArray.from_arrays(pa.array(at), pa.array(keys[full].ravel())), pa.ListArray.from_arrays(pa.array(words_at), pa.array(bits.ravel()))], schema=ARROW_FEATURES)
 
     return texts.mapInArrow(made, FEATURES)
 
@@ -172,10 +190,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feat = materialise(features(base.select(F.col(row).alias("row_no"), F.col(text_col)), words, bands, rows), "minhash-features")
     ids = base.select(F.col(row).alias("row_no"), F.col(id_col).alias("id"))
     full = feat.where("n_shingles > 0")
-    classes = full.select("set_hi", "set_lo", "row_no", "n_shingles", "band_keys").groupBy("set_hi", "set_lo").agg(F.min(F.struct("row_no", "n_shingles", "band_keys")).alias("x")).select("set_hi", "set_lo", F.col("x.row_no").alias("class"), F.col("x.n_shingles").alias("n"), F.col("x.band_keys").alias("band_keys"))
+    classes = full.select("set_hi", "set_lo", "row_no", "n_shingles", "band_keys", "parity").groupBy("set_hi", "set_lo").agg(F.min(F.struct("row_no", "n_shingles", "band_keys", "parity")).alias("x")).select("set_hi", "set_lo", F.col("x.row_no").alias("class"), F.col("x.n_shingles").alias("n"), F.col("x.band_keys").alias("band_keys"), F.col("x.parity").alias("parity"))
     classes = materialise(classes, "minhash-classes")
 
-    members = classes.select(F.explode("band_keys").alias("key"), "class", "n")
+    # dealt once by key, for the counts and the join alike
+    members = classes.select(F.explode("band_keys").alias("key"), "class", "n").repartition("key")
     shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("class", "n")).alias("first")).where("size > 1")
     buckets = materialise(members.join(shared, "key"), "minhash-buckets")
 
@@ -183,8 +202,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
     first_pairs = materialise(buckets.where("class <> first.class").where(may_link("n", "first.n")).select(F.col("first.class").alias("a"), F.col("class").alias("b")).distinct(), "minhash-pairs")
-    wanted = buckets.select("class").distinct()
-    sets = base.select(F.col(row), F.col(text_col)).join(wanted.hint("shuffle_hash"), F.col(row) == F.col("class")).select("class", text_col)
+    wanted = materialise(buckets.select("class").distinct(), "minhash-wanted")
+    # up to a checked number of ids they go to the texts, else both are dealt
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted.hint("shuffle_hash")
+    sets = base.select(F.col(row), F.col(text_col)).join(wanted, F.col(row) == F.col("class")).select("class", text_col)
     sets = materialise(full_sets(sets, words), "minhash-sets")
     links = materialise(verified(first_pairs, sets, percent), "minhash-links")
     found = materialise(components(links, "a", "b"), "minhash-components")
@@ -192,11 +213,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what the first comparisons leave open: buckets with classes of several components
     of = found.select(F.col("node").alias("class"), "component")
     named = buckets.select("key", "class", "n", "size").join(of, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    several = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    still = materialise(named.join(several, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")), "minhash-open")
-    left = still.select("key", "block", F.col("class").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("against"))
-    right = still.select("key", F.col("block").alias("against"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    more = left.join(right, ["key", "against"]).where("a < b and ca <> cb").where(may_link("na", "nb")).select("a", "b").distinct()
+    counts = named.groupBy("key", "component").agg(F.count("*").alias("own"))
+    several = counts.groupBy("key").agg(F.count("*").alias("n"), F.max_by("component", F.struct("own", "component")).alias("major")).where("n > 1").select("key", "major")
+    still = named.join(several, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    still = materialise(still.join(classes.select("class", "parity"), "class"), "minhash-open")
+    # of two components in a bucket one isn't its largest: its classes meet all others, a block at a time
+    left = still.where("component <> major").select("key", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("parity").alias("px"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = still.select("key", "block", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("parity").alias("py"))
+    # 100 * |x and y| >= percent * |x or y| leaves so many members that only one of them has
+    apart = reduce(add, (F.bit_count(F.get("px", i).bitwiseXOR(F.get("py", i))) for i in range(PARITY_BITS // 64)))
+    near = apart * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+    more = left.join(right, ["key", "block"]).where("cx <> cy").where(may_link("nx", "ny") & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = materialise(more.join(first_pairs, ["a", "b"], "left_anti"), "minhash-more")
     late = verified(more, sets, percent)
     late = late.join(of.withColumnsRenamed({"class": "a", "component": "ca"}), "a", "left").join(of.withColumnsRenamed({"class": "b", "component": "cb"}), "b", "left")
