@@ -41,6 +41,7 @@ PARITY_BITS = 1024
 STEP = 8192
 #: Ids (8 bytes each) up to which a list of them is broadcast.
 FEW_IDS = 2_000_000
+FEW_PAIRS = 1_000_000
 #: Classes of a bucket that are compared as one block.
 BLOCK = 256
 HASH = RollingHash(10)
@@ -158,9 +159,12 @@ def full_sets(texts: DataFrame, words: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those that hold on full sets. The set of an ``a`` with many partners goes out once a block of them."""
+    few = pairs.count() <= FEW_PAIRS
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    whole = many.join(sets, many.a == sets["class"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("of_a"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    if few:  # up to a checked number, pairs go to the sets, else both are dealt
+        many, dealt = F.broadcast(many), F.broadcast(dealt)
+    whole = many.join(sets, many.a == sets["class"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("of_a"))
     dealt = dealt.join(sets, dealt.b == sets["class"]).select("a", "b", "part", F.col("shingles").alias("of_b"))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

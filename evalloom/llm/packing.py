@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,13 @@ END_ID = 0
 GROUP_SEQUENCES = 20_000
 ROUNDS = 3
 #: Text that is encoded at once.
-TEXT_BYTES = 6 << 20
+TEXT_BYTES = 8 << 20
+
+
+@lru_cache(2)
+def remembered_tokens(path: str) -> WordTokens:
+    """One for a Python worker, whatever the number of tasks it runs."""
+    return WordTokens(json_tokenizer(path))
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -44,15 +51,13 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     fields = [T.StructField(id_col, id_field.dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    kept: list[WordTokens] = []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not kept:
-            kept.append(WordTokens(json_tokenizer(path)))
+        tokens = remembered_tokens(path)
         for batch in batches:
             _, offsets = utf8(batch.column(1))
             for i, j in slices(offsets, TEXT_BYTES):
-                ids, at = text_ids(batch.column(1)[i:j], kept[0])
+                ids, at = text_ids(batch.column(1)[i:j], tokens)
                 row, piece, start, length, crc, lists = [], [], [], [], [], []
                 for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
                     whole = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")

@@ -13,6 +13,7 @@ has script ``none`` and that band; bands can also be given by a value of another
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -133,20 +134,23 @@ def fertility(ids: np.ndarray, at: np.ndarray, is_byte: np.ndarray) -> tuple[np.
     return count, n_bytes, np.where(count > 1, entropy / np.log2(np.maximum(count, 2)), 1.0)
 
 
+@lru_cache(2)
+def remembered_tokens(path: str) -> tuple[WordTokens, np.ndarray]:
+    """The vocabulary's encoder and, for each id, whether it is a byte; one for a Python worker."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())], np.float64)
+    return WordTokens(lambda words: flattened(model.encode(words, num_threads=1))), is_byte
+
+
 def measure(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``docs`` with the base counts and the measures in a struct ``quality``; a column of that name is replaced."""
     path = vocabulary or vocabulary_path(VOCABULARY)
-    kept: list[tuple[WordTokens, np.ndarray]] = []
 
     @F.arrow_udf(SPARK_MEASURES)
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not kept:
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())], np.float64)
-            kept.append((WordTokens(lambda ws: flattened(model.encode(ws, num_threads=1))), is_byte))
-        tokens, is_byte = kept[0]
+        tokens, is_byte = remembered_tokens(path)
         for column in batches:
             data, offsets = utf8(column)
             parts = []

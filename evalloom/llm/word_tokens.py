@@ -42,12 +42,14 @@ class WordTokens:
         if len(self.known) > self.remembered:
             self.forget()
         known = self.known
-        if new := list(dict.fromkeys(w for w in words if w not in known)):
+        at = [known.get(w, -1) for w in words]
+        if new := list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i < 0)):
             ids, count = self.encode(new)
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
             self.flat, self.count = np.concatenate([self.flat, ids]), np.concatenate([self.count, count])
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            at = [known[w] if i < 0 else i for w, i in zip(words, at, strict=True)]
+        return np.array(at, np.int64)
 
     def of(self, words: list[str], word: np.ndarray, edges: np.ndarray) -> Encoded:
         """The ids of texts made of the words with numbers ``word``, text i those from edges[i] on; and where each text's ids begin."""
