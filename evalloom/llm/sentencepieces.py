@@ -24,11 +24,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import mix, powers, slices, text_frame, utf8, vocabulary_path
-from evalloom.llm.word_tokens import WordTokens, flattened
+from evalloom.llm.word_tokens import Encoded, WordTokens, flattened, ragged
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -37,6 +38,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Characters of the words that advance together.
 BATCH = 400_000
+#: Ids that are decoded at once.
+IDS = 1_000_000
 
 
 class Pieces:
@@ -65,6 +68,13 @@ class Pieces:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(by_length, np.int64)[order]
         self.scores = np.array([score[i] for i in by_length])[order]
+        # where the keys with each first 16 bits begin
+        self.directory = np.append(np.searchsorted(self.keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)), len(keys))
+        # the bytes that each id decodes to, one after another
+        raw = [b"" if i in self.silent else bytes([self.byte_of[i]]) if i in self.byte_of else t.replace(SPACE, " ").encode() for i, t in enumerate(self.texts)]
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_count = np.array([len(x) for x in raw], np.int64)
+        self.raw_begin = np.cumsum(self.raw_count) - self.raw_count
         self.unknown = min(score.values(), default=0.0) if not ranks else float(-np.log(2.0 + n))
         self.unknown -= 10.0
 
@@ -89,9 +99,7 @@ class Pieces:
             longest = min(end, self.longest)
             lengths = np.arange(longest, 0, -1)
             key = mix(prefix[end][None, :] - prefix[end - lengths] * power[lengths][:, None])
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            hit = self.keys[at] == key
+            at, hit = self.probe(key)
             score = np.where(hit, self.scores[at], -np.inf)
             score[-1] = np.where(hit[-1], score[-1], self.unknown)
             total = best[end - lengths] + score
@@ -102,65 +110,107 @@ class Pieces:
             piece[end] = np.where(hit[choice, column], self.ids[at[choice, column]], -1)
         return back, piece
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word, in the word's order."""
-        out: list[list[int]] = [[] for _ in words]
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for n, rows in by_length.items():
-            if not n:
-                continue
-            step = max(1, BATCH // (n * min(n, self.longest)))
+    def probe(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key among the sorted ones, and whether it is there."""
+        first = (key >> np.uint64(48)).astype(np.int64)
+        at, end = self.directory[first], self.directory[first + 1]
+        more = np.nonzero(at < end)
+        hit = np.zeros(key.shape, bool)
+        while len(more[0]):
+            hit[more] = self.keys[at[more]] == key[more]
+            left = ~hit[more] & (at[more] + 1 < end[more])
+            more = tuple(x[left] for x in more)
+            at[more] += 1
+        at[~hit] = 0
+        return at, hit
+
+    def encode(self, words: list[str]) -> Encoded:
+        """The ids of all words, one after another, and how many each has."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(length, kind="stable")
+        flat, count = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        edges = np.searchsorted(length[order], np.unique(length))
+        for rows in np.split(order, edges[1:]) if len(order) else []:
+            n = int(length[rows[0]])
+            step = max(1, BATCH // max(1, n * min(n, self.longest)))
             for s in range(0, len(rows), step):
-                own = rows[s : s + step]
-                text = "".join(words[i] for i in own)
-                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n)
-                back, piece = (x.T.tolist() for x in self.segment(codes))
-                for i, b, p in zip(own, back, piece, strict=True):
-                    ids, end = [], n
-                    while end:
-                        if p[end] >= 0:
-                            ids.append(p[end])
-                        else:
-                            ids.extend(self.bytes[x] for x in reversed(words[i][end - 1].encode("utf-8", "replace")))
-                        end -= b[end]
-                    out[i] = ids[::-1]
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            if 0 <= i < len(self.texts) and i not in self.silent:
-                out.append(self.texts[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+                own = [words[i] for i in rows[s : s + step].tolist()]
+                ids, many = self.encode_equal(own, n)
+                flat.append(ids)
+                count.append(many)
+        ids, many = np.concatenate(flat), np.concatenate(count)
+        begin, back = np.cumsum(many) - many, np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        return ids[ragged(begin[back], many[back])], many[back]
+
+    def encode_equal(self, words: list[str], n: int) -> Encoded:
+        if not n:
+            return np.empty(0, np.uint32), np.zeros(len(words), np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
+        back, piece = self.segment(codes)
+        column, end = np.arange(len(words)), np.full(len(words), n, np.int64)
+        steps = []
+        while end.any():
+            steps.append(np.where(end > 0, piece[end, column], -2))
+            end = end - np.where(end > 0, back[end, column], 0)
+        found = np.array(steps[::-1]).T
+        if (found == -1).any():  # characters without a piece: their bytes
+            lists = []
+            for word, ids, row in zip(words, found.tolist(), back.T.tolist(), strict=True):
+                out, at = [], n
+                for i in (x for x in reversed(ids) if x != -2):
+                    out.extend([i] if i >= 0 else [self.bytes[x] for x in reversed(word[at - 1].encode("utf-8", "replace"))])
+                    at -= row[at]
+                lists.append(out[::-1])
+            return flattened(lists)
+        return found[found != -2].astype(np.uint32), (found != -2).sum(1)
+
+    def decode_all(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """The texts of lists of ids, list i from edges[i] on. The first space of a text goes; bytes that aren't UTF-8 are replaced."""
+        known = (ids >= 0) & (ids < len(self.texts))
+        safe = np.where(known, ids, 0)
+        count = np.where(known, self.raw_count[safe], 0)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        data = self.raw[ragged(self.raw_begin[safe], count)]
+        start, end = ends[edges[:-1]], ends[edges[1:]]
+        start = start + ((start < end) & (data[np.minimum(start, len(data) - 1)] == 32) if len(data) else 0)
+        parts = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        return pa.array([x.decode("utf-8", "replace") for x in parts], pa.string())
 
 
 @lru_cache(4)
 def vocabulary(path: str) -> tuple[Pieces, WordTokens]:
     pieces = Pieces(path)
-    return pieces, WordTokens(lambda words: flattened(pieces.encode(words)))
+    return pieces, WordTokens(pieces.encode)
 
 
-def encode_slice(texts: pa.Array, tokens: WordTokens) -> tuple[np.ndarray, np.ndarray]:
+def encode_slice(texts: pa.Array, tokens: WordTokens) -> Encoded:
     """The ids of all texts, one after another, and the n + 1 places where each text's begin."""
-    number: dict[str, int] = {}
-    word: list[int] = []
-    edges = [0]
-    for text in texts.to_pylist():
-        if text:
-            word.extend([number.setdefault(w, len(number)) for w in WORD.findall(SPACE + text.replace(" ", SPACE))])
-        edges.append(len(word))
-    return tokens.of(list(number), np.array(word, np.int64), np.array(edges))
+    texts = pc.fill_null(texts, "")
+    # runs of spaces, and spaces at an end, belong to one word: such texts are cut by pattern, others at each space
+    odd = pc.or_(pc.match_substring_regex(texts, f"  |^ | $|{SPACE}"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(odd)) + 1).tolist(), len(texts)]
+    flat, places = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        if i == j:
+            continue
+        if odd[i]:
+            number: dict[str, int] = {}
+            word: list[int] = []
+            edges = [0]
+            for text in texts[i:j].to_pylist():
+                if text:
+                    word.extend([number.setdefault(w, len(number)) for w in WORD.findall(SPACE + text.replace(" ", SPACE))])
+                edges.append(len(word))
+            ids, at = tokens.of(list(number), np.array(word, np.int64), np.array(edges))
+        else:
+            lists = pc.split_pattern(texts[i:j], " ")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            coded = lists.values[offsets[0] : offsets[-1]].dictionary_encode()
+            ids, at = tokens.of([SPACE + w for w in coded.dictionary.to_pylist()], coded.indices.to_numpy().astype(np.int64), offsets - offsets[0])
+        flat.append(ids)
+        places.append(at[1:] + places[-1][-1])
+    return np.concatenate(flat), np.concatenate(places)
 
 
 def encode(docs: DataFrame, text_col: str = "text", into: str = "piece_ids", model: str | None = None) -> DataFrame:
@@ -189,7 +239,14 @@ def decoder(model: str | None = None) -> object:
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces, _ = vocabulary(path)
         for column in batches:
-            yield pa.array([None if x is None else pieces.decode(x) for x in column.to_pylist()], pa.string())
+            parts = [pa.array([], pa.string())]
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            for i, j in slices(offsets, IDS):
+                own = column[i:j]
+                ids = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = pieces.decode_all(ids, offsets[i : j + 1] - offsets[i])
+                parts.append(pc.if_else(own.is_null(), pa.scalar(None, pa.string()), texts))
+            yield pa.concat_arrays(parts)
 
     return decoded
 
