@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker remembers with their ids; beyond, it starts anew.
-REMEMBERED = 900_000
+REMEMBERED = 450_000
 #: Words that go to the tokeniser in one text.
 JOINED = 5_000
 
