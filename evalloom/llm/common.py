@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles at once; bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 16 << 20
 
 _LOCAL_DIR: list[str] = []
 
@@ -72,6 +74,7 @@ def sliced(docs: DataFrame, text_col: str, name: str, slice_bytes: int) -> tuple
     the units that later steps hash and join, so that a hot source or a group of copies is spread evenly.
     Returns the table and the two columns' names.
     """
+    bounded_batches(docs.sparkSession)
     row, part = fresh("row_no", docs.columns), fresh("slice_no", docs.columns)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     numbered = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(part, size)
@@ -92,8 +95,17 @@ def sliced(docs: DataFrame, text_col: str, name: str, slice_bytes: int) -> tuple
     return materialise(numbered.mapInArrow(number, numbered.schema), name), row, part
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``, so that long texts don't add up to more than a worker holds."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def text_frame(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents table, its columns pruned to those named (all, if none is)."""
+    bounded_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.llm.common import SLICE_BYTES, text_frame
+from evalloom.llm.common import SLICE_BYTES, bounded_batches, text_frame
 
 ORDER = 3
 ROWS_PER_LANGUAGE = 300
@@ -259,6 +259,7 @@ def identifier(model: Model) -> object:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", into: str = "langid") -> DataFrame:
     """``docs`` with a struct ``into`` (lang, score, bits_per_byte); a column of that name is replaced."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(into, identifier(model)(F.col(text_col)))
 
 

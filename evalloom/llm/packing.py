@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.llm.common import materialise, slices, text_frame, utf8, vocabulary_path
+from evalloom.llm.common import bounded_batches, materialise, slices, text_frame, utf8, vocabulary_path
 from evalloom.llm.word_tokens import WordTokens, json_tokenizer, text_ids
 
 VOCABULARY = "word_bpe_49k.json"
@@ -35,7 +35,7 @@ END_ID = 0
 GROUP_SEQUENCES = 20_000
 ROUNDS = 3
 #: Text that is encoded at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 6 << 20
 
 
 @lru_cache(2)
@@ -46,6 +46,7 @@ def remembered_tokens(path: str) -> WordTokens:
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """A row for each piece: the id, piece, start, length, ids_crc32 and, if asked for, its ids."""
+    bounded_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path(VOCABULARY)
     id_field = docs.schema[id_col]
     fields = [T.StructField(id_col, id_field.dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]

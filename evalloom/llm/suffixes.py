@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.llm.common import RollingHash, materialise, slices, text_frame, utf8
+from evalloom.llm.common import RollingHash, bounded_batches, materialise, slices, text_frame, utf8
 from evalloom.llm.word_tokens import ragged
 
 LENGTH = 200
@@ -225,6 +225,7 @@ def unwire(raw: bytes) -> np.ndarray:
 
 def row_blocks(docs: DataFrame, text_col: str, slice_bytes: int) -> DataFrame:
     """``docs`` as (slice_no, n_bytes, rows): runs of rows of one task with about ``slice_bytes`` of text, each a compressed Arrow stream."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def packed(slice_no: int, batches: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers with their ids; beyond, it starts anew.
-REMEMBERED = 450_000
+#: Words, and stems of words, that a worker remembers with their ids; beyond, it starts anew.
+REMEMBERED = 250_000
+STEMS = 900_000
 #: Words that go to the tokeniser in one text.
 JOINED = 5_000
 
@@ -123,7 +124,7 @@ def json_tokenizer(path: str) -> Callable[[list[str]], Encoded]:
 
     if not cuts_latin(tokenizer):
         return joined
-    parts_known = WordTokens(joined)
+    parts_known = WordTokens(joined, STEMS)
 
     def by_parts(words: list[str]) -> Encoded:
         number: dict[str, int] = {}
