@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalloom.llm.common import SLICE_BYTES, bounded_batches, text_frame
+from evalloom.llm.word_tokens import give_back
 
 ORDER = 3
 ROWS_PER_LANGUAGE = 300
@@ -226,6 +227,7 @@ def identifier(model: Model) -> object:
 
     @F.arrow_udf(RESULT)
     def identify_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        give_back()
         if not scorer:
             scorer.append(model.tables())
         for column in batches:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from evalloom.llm import common
 from evalloom.llm.common import RollingHash, ascii_lower, materialise, mix, sliced, slices, text_frame, utf8
 from evalloom.llm.components import components
+from evalloom.llm.word_tokens import give_back
 
 BANDS, ROWS = 32, 5
 PLACE_BITS = 20
@@ -119,6 +120,7 @@ def features(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     kept: list[Circulant] = []
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         if not kept:
             kept.append(Circulant(bands * rows))
         for batch in batches:
@@ -147,6 +149,7 @@ def full_sets(texts: DataFrame, words: int) -> DataFrame:
     """(class, text) to (class, shingles): the sorted hashes of its set."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for i, j in slices(offsets):

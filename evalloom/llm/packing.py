@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalloom.llm.common import bounded_batches, materialise, slices, text_frame, utf8, vocabulary_path
-from evalloom.llm.word_tokens import WordTokens, json_tokenizer, text_ids
+from evalloom.llm.word_tokens import WordTokens, json_tokenizer, kept_in_worker, text_ids
 
 VOCABULARY = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -38,12 +37,6 @@ ROUNDS = 3
 TEXT_BYTES = 6 << 20
 
 
-@lru_cache(2)
-def remembered_tokens(path: str) -> WordTokens:
-    """One for a Python worker, whatever the number of tasks it runs."""
-    return WordTokens(json_tokenizer(path))
-
-
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
     """A row for each piece: the id, piece, start, length, ids_crc32 and, if asked for, its ids."""
     bounded_batches(docs.sparkSession)
@@ -54,7 +47,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = remembered_tokens(path)
+        tokens = kept_in_worker("packing", path, lambda p: WordTokens(json_tokenizer(p)))
         for batch in batches:
             _, offsets = utf8(batch.column(1))
             for i, j in slices(offsets, TEXT_BYTES):

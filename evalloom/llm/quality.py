@@ -13,7 +13,6 @@ has script ``none`` and that band; bands can also be given by a value of another
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import RollingHash, mix, slices, text_frame, utf8, vocabulary_path, words
-from evalloom.llm.word_tokens import WordTokens, flattened, text_ids
+from evalloom.llm.word_tokens import WordTokens, flattened, kept_in_worker, text_ids
 
 VOCABULARY = "piece_bpe_32k.model"
 WINDOW = 5
@@ -134,9 +133,8 @@ def fertility(ids: np.ndarray, at: np.ndarray, is_byte: np.ndarray) -> tuple[np.
     return count, n_bytes, np.where(count > 1, entropy / np.log2(np.maximum(count, 2)), 1.0)
 
 
-@lru_cache(2)
 def remembered_tokens(path: str) -> tuple[WordTokens, np.ndarray]:
-    """The vocabulary's encoder and, for each id, whether it is a byte; one for a Python worker."""
+    """The vocabulary's encoder and, for each id, whether it is a byte."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -150,7 +148,7 @@ def measure(docs: DataFrame, text_col: str = "text", vocabulary: str | None = No
 
     @F.arrow_udf(SPARK_MEASURES)
     def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens, is_byte = remembered_tokens(path)
+        tokens, is_byte = kept_in_worker("quality", path, remembered_tokens)
         for column in batches:
             data, offsets = utf8(column)
             parts = []

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import mix, powers, slices, text_frame, utf8, vocabulary_path
-from evalloom.llm.word_tokens import Encoded, WordTokens, flattened, ragged
+from evalloom.llm.word_tokens import STEMS, Encoded, WordTokens, flattened, kept_in_worker, ragged
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -178,10 +177,12 @@ class Pieces:
         return pa.array([x.decode("utf-8", "replace") for x in parts], pa.string())
 
 
-@lru_cache(4)
 def vocabulary(path: str) -> tuple[Pieces, WordTokens]:
-    pieces = Pieces(path)
-    return pieces, WordTokens(pieces.encode)
+    def make(path: str) -> tuple[Pieces, WordTokens]:
+        pieces = Pieces(path)
+        return pieces, WordTokens(pieces.encode, STEMS)
+
+    return kept_in_worker("sentencepieces", path, make)
 
 
 def encode_slice(texts: pa.Array, tokens: WordTokens) -> Encoded:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalloom.llm.common import RollingHash, bounded_batches, materialise, slices, text_frame, utf8
-from evalloom.llm.word_tokens import ragged
+from evalloom.llm.word_tokens import give_back, ragged
 
 LENGTH = 200
 SLICE_BYTES = 4 << 20
@@ -268,6 +268,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         return pa.ipc.open_stream(block.as_buffer()).read_all().combine_chunks()
 
     def slice_of(rows: pa.Table) -> Slice:
+        give_back()
         column = rows.column(text_at)
         return Slice(column.chunk(0) if column.num_chunks else pa.array([], pa.string()), depths)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -60,6 +61,23 @@ class WordTokens:
         return self.flat[ragged(self.begin[at], count)], ends[edges]
 
 
+_KEPT: dict[tuple[str, str], object] = {}
+
+
+def kept_in_worker(kind: str, path: str, make: Callable[[str], object]) -> object:
+    """What ``make`` gives for a path, one for a Python worker whatever the number of tasks it runs."""
+    if (kind, path) not in _KEPT:
+        _KEPT[kind, path] = make(path)
+    return _KEPT[kind, path]
+
+
+def give_back() -> None:
+    """Called by tasks without use for remembered words: their worker's memory is for other work now."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+
+
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The places start[i], start[i] + 1, ..., count[i] of them, for each i."""
     total = int(count.sum())
