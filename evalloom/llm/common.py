@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -188,9 +190,12 @@ class RollingHash:
 
     def grow(self, n: int) -> None:
         if len(self.up) < n:
-            n = 1 << int(n - 1).bit_length()
+            n += -n % (1 << 19)
             self.up, self.down = powers(self.base, n), powers(pow(self.base, -1, 2**64), n)
 
+    def release(self) -> None:
+        self.up = self.down = np.empty(0, np.uint64)
+
     def prefix(self, data: np.ndarray) -> np.ndarray:
         """P with P[j] - P[i] the scaled hash of data[i:j]."""
         self.grow(len(data) + 1)
@@ -211,6 +216,18 @@ class RollingHash:
         return mix((prefix[length:] - prefix[:-length]) * self.down[:n])
 
 
+#: One for all operators, so that a worker holds its tables once.
+HASH = RollingHash()
+
+
+def trim() -> None:
+    """Gives freed memory back to the machine, which a worker shares with the JVM of its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(data: np.ndarray) -> np.ndarray:
     """A-Z lowered, other bytes as they are."""
     upper = (data >= 65) & (data <= 90)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.llm import common
-from evalloom.llm.common import RollingHash, ascii_lower, materialise, mix, sliced, slices, text_frame, utf8
+from evalloom.llm.common import HASH, ascii_lower, materialise, mix, sliced, slices, text_frame, utf8
 from evalloom.llm.components import components
 from evalloom.llm.word_tokens import give_back
 
@@ -45,7 +45,6 @@ FEW_IDS = 2_000_000
 FEW_PAIRS = 1_000_000
 #: Classes of a bucket that are compared as one block.
 BLOCK = 256
-HASH = RollingHash(10)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.llm.common import bounded_batches, materialise, slices, text_frame, utf8, vocabulary_path
+from evalloom.llm.common import HASH, bounded_batches, materialise, slices, text_frame, trim, utf8, vocabulary_path
 from evalloom.llm.word_tokens import WordTokens, json_tokenizer, kept_in_worker, text_ids
 
 VOCABULARY = "word_bpe_49k.json"
@@ -34,7 +34,7 @@ END_ID = 0
 GROUP_SEQUENCES = 20_000
 ROUNDS = 3
 #: Text that is encoded at once.
-TEXT_BYTES = 6 << 20
+TEXT_BYTES = 4 << 20
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -47,6 +47,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        HASH.release()
+        trim()
         tokens = kept_in_worker("packing", path, lambda p: WordTokens(json_tokenizer(p)))
         for batch in batches:
             _, offsets = utf8(batch.column(1))

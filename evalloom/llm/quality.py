@@ -19,13 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import RollingHash, mix, slices, text_frame, utf8, vocabulary_path, words
+from evalloom.llm.common import HASH, mix, slices, text_frame, utf8, vocabulary_path, words
 from evalloom.llm.word_tokens import WordTokens, flattened, kept_in_worker, text_ids
 
 VOCABULARY = "piece_bpe_32k.model"
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
-HASH = RollingHash(6)
 #: Scripts in order, by the lead bytes of their letters in UTF-8.
 SCRIPTS = ("latin", "greek", "cyrillic", "arabic", "indic", "kana", "han", "hangul")
 # Bands: least characters a token, largest share of byte tokens, least share of the possible entropy.

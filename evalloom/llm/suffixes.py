@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.llm.common import RollingHash, bounded_batches, materialise, slices, text_frame, utf8
+from evalloom.llm.common import HASH, bounded_batches, materialise, slices, text_frame, utf8
 from evalloom.llm.word_tokens import give_back, ragged
 
 LENGTH = 200
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 RANGE_BYTES = 12 << 20
 # Perfect difference sets by period; each residue is a difference of two members.
 COVERS = {
@@ -53,7 +53,6 @@ COVERS = {
     57: (0, 1, 3, 13, 32, 36, 43, 52),
     133: (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121),
 }
-HASH = RollingHash(4)
 #: Levels of names: of tuples, at the larger depth, at the asked depth, and those at the larger depth that a slice leads.
 TUPLES, LONG, WHOLE, LED = range(4)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import re
@@ -13,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from evalloom.llm.common import trim
+
 #: Words, and stems of words, that a worker remembers with their ids; beyond, it starts anew.
 REMEMBERED = 250_000
 STEMS = 900_000
@@ -75,7 +76,7 @@ def give_back() -> None:
     """Called by tasks without use for remembered words: their worker's memory is for other work now."""
     if _KEPT:
         _KEPT.clear()
-        gc.collect()
+        trim()
 
 
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
