@@ -16,6 +16,7 @@ the pieces' numbers; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ END_ID = 0
 GROUP_SEQUENCES = 20_000
 ROUNDS = 3
 #: Text that is encoded at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 6 << 20
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -49,6 +50,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         HASH.release()
         trim()
+        gc.disable()  # words and ids make no cycles, and there are millions
         tokens = kept_in_worker("packing", path, lambda p: WordTokens(json_tokenizer(p)))
         for batch in batches:
             _, offsets = utf8(batch.column(1))

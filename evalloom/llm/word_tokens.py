@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from evalloom.llm.common import trim
 
 #: Words, and stems of words, that a worker remembers with their ids; beyond, it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 STEMS = 900_000
 #: Words that go to the tokeniser in one text.
 JOINED = 5_000
@@ -74,6 +75,7 @@ def kept_in_worker(kind: str, path: str, make: Callable[[str], object]) -> objec
 
 def give_back() -> None:
     """Called by tasks without use for remembered words: their worker's memory is for other work now."""
+    gc.enable()
     if _KEPT:
         _KEPT.clear()
         trim()
