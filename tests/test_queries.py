@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -28,7 +29,9 @@ def rows(df):
     def value(v):
         if v is None or v is pd.NA or v != v:
             return None
-        return round(float(v), 6) if hasattr(v, "__float__") and not isinstance(v, bool) else str(v)
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
+        return round(float(v), 6) if hasattr(v, "__float__") else str(v)
 
     return sorted((tuple(map(value, r)) for r in df[sorted(df.columns)].itertuples(index=False)), key=str)
 
@@ -59,7 +62,7 @@ def test_low_rank_limit():
 
 @pytest.mark.parametrize(("values", "w", "p"), [([1.0, 2, 3, 4, 5], 15.0, 0.0625), ([2.0, -2, 5], 4.5, None), ([1.0, 2, 3, 4, 5, 0], 15.0, 0.0625)])
 def test_signed_ranks_by_hand(spark, values, w, p):
-    d = spark.createDataFrame([("g", v) for v in values], "g string, d double")
+    d = spark.createDataFrame([("g", float(v)) for v in values], "g string, d double")
     assert reports.signed_ranks(d, ["g"]).first().w_plus == w
     if p:
         assert reports.exact_p(d, ["g"]).first().p == p
