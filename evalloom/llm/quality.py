@@ -2,12 +2,16 @@
 
 A public vocabulary's pieces measure a text: characters per token, the share of tokens that are byte
 fallbacks, and the entropy of its tokens as a share of what that many tokens could have. Each word is encoded
-by itself. Bands of the three by script reject texts on which a tokeniser breaks down (too few characters a
-token, many bytes) or has too little to do (one token again and again). The script is that of most letters.
+by itself. Bands of the three reject texts on which a tokeniser breaks down (too few characters a token, many
+bytes, tokens as even as noise) or has too little to do (one token again and again). They are learned from the
+whole corpus: median and quartiles of the texts that pass the base rules, by language and length in tokens,
+and fences ``FENCE`` standard deviations (as the quartiles give them) around the median, so that junk has to be
+a quarter of a language's texts before it moves them. The script is that of most letters.
 
 Defined cases: a null or empty text has no words, counts of 0, null measures, and fails the base rules;
 repeated rows give equal results; ties between scripts go to the first in ``SCRIPTS``; a text without letters
-has script ``none`` and that band; bands can also be given by a value of another column, such as a language.
+has script ``none`` and that band. A language and length with fewer than ``LEAST_TEXTS`` texts takes the band of
+its language, then of its script; the fixed limits in ``BANDS`` hold besides, and alone where no band is learned.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import HASH, mix, slices, text_frame, utf8, vocabulary_path, words
+from evalloom.llm.common import HASH, materialise, mix, slices, text_frame, utf8, vocabulary_path, words
 from evalloom.llm.word_tokens import WordTokens, flattened, kept_in_worker, text_ids
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -29,6 +33,10 @@ SYMBOLS = b"#*$%&|<>"
 SCRIPTS = ("latin", "greek", "cyrillic", "arabic", "indic", "kana", "han", "hangul")
 # Bands: least characters a token, largest share of byte tokens, least share of the possible entropy.
 BANDS = {"latin": (1.10, 0.30, 0.20), "greek": (0.70, 0.50, 0.20), "cyrillic": (1.00, 0.40, 0.20), "arabic": (0.60, 0.60, 0.20), "indic": (0.35, 0.90, 0.15), "kana": (0.50, 0.60, 0.20), "han": (0.40, 0.80, 0.20), "hangul": (0.40, 0.80, 0.20), "none": (1.00, 0.30, 0.20)}
+#: Half the width of a learned band in standard deviations; the least one of each measure; the least texts of a band.
+FENCE = 6.0
+LEAST_SPREAD = {"chars_per_token": 0.02, "byte_share": 0.02, "entropy_share": 0.005}
+LEAST_TEXTS = 100
 
 
 def script_codes() -> tuple[np.ndarray, np.ndarray]:
@@ -176,10 +184,51 @@ def in_band(quality: Column, by: Column | None = None, bands: dict[str, tuple[fl
     return F.coalesce(out, F.lit(False))
 
 
+def learned_bands(measured: DataFrame, by: str) -> DataFrame:
+    """(script, ``by``, n_bits, bands): for each measure its least and largest value; the last two are null for all of them."""
+    some = measured.where(~base_failed(F.col("quality"))).select(F.col("quality.script").alias("script"), F.coalesce(by, F.lit("")).alias(by), length_bits().alias("n_bits"), *(F.col(f"quality.{c}").alias(c) for c in LEAST_SPREAD))
+    quartiles = [F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in LEAST_SPREAD]
+    levels = [some.groupBy("script", *keys).agg(F.count("*").alias("n"), *quartiles) for keys in ((), (by,), (by, "n_bits"))]
+    out = levels[0].unionByName(levels[1], True).unionByName(levels[2], True).where(F.col("n") >= LEAST_TEXTS)
+
+    def fence(c: str) -> Column:
+        low, middle, high = (F.get(c, F.lit(i)) for i in range(3))
+        half = FENCE * F.greatest((high - low) / 1.349, F.lit(LEAST_SPREAD[c]))
+        return F.struct((middle - half).alias("least"), (middle + half).alias("most")).alias(c)
+
+    return out.select("script", by, "n_bits", F.struct(*map(fence, LEAST_SPREAD)).alias("bands"))
+
+
+def length_bits() -> Column:
+    return F.floor(F.log2(F.greatest(F.col("quality.n_tokens"), F.lit(1)))).cast("int")
+
+
+def in_learned_band(measured: DataFrame, bands: DataFrame, by: str) -> DataFrame:
+    """``measured`` with a column ``in_learned``: whether the measures lie in the closest band there is; true without one."""
+    out = measured.withColumn("_by", F.coalesce(by, F.lit(""))).withColumn("_script", F.col("quality.script")).withColumn("_bits", length_bits())
+    levels = {"_one": ("_script", "_by", "_bits"), "_two": ("_script", "_by"), "_three": ("_script",)}
+    names = {"_script": "script", "_by": by, "_bits": "n_bits"}
+    for level, keys in levels.items():
+        own = bands.where(F.col(by).isNotNull() == ("_by" in keys)).where(F.col("n_bits").isNotNull() == ("_bits" in keys))
+        out = out.join(own.select(*(F.col(names[k]).alias(k) for k in keys), F.col("bands").alias(level)), list(keys), "left")
+    band = F.coalesce(*levels)
+    inside = F.lit(True)
+    for c in LEAST_SPREAD:
+        inside = inside & F.col(f"quality.{c}").between(band[c]["least"], band[c]["most"])
+    return out.withColumn("in_learned", F.coalesce(inside, band.isNull())).select(*measured.columns, "in_learned")
+
+
+def verdicts(docs: DataFrame, by: str = "lang") -> DataFrame:
+    """``docs`` without their texts, with ``quality`` and whether it is kept."""
+    measured = materialise(measure(docs).drop("text"), "quality")
+    q = F.col("quality")
+    out = in_learned_band(measured, learned_bands(measured, by), by)
+    return out.withColumn("kept", ~base_failed(q) & in_band(q) & F.col("in_learned")).drop("in_learned")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = measure(text_frame(spark, sf_dir, "doc_id", "text"))
+    out = verdicts(text_frame(spark, sf_dir, "doc_id", "text", "lang"))
     q = F.col("quality")
-    failed = base_failed(q)
     counts = [q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     more = [q[c].alias(c) for c in ("script", "chars_per_token", "byte_share", "entropy_share")]
-    return out.select("doc_id", *counts, failed.alias("base_failed"), (~failed & in_band(q)).alias("kept"), *more)
+    return out.select("doc_id", *counts, base_failed(q).alias("base_failed"), "kept", *more)

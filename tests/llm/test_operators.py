@@ -197,6 +197,23 @@ def test_quality(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == expected
 
 
+def test_quality_rejects_junk_without_repeats(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(5)
+    kinds = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "printable": "".join(map(chr, range(33, 127))), "letters": "abcdefghijklmnopqrstuvwxyz"}
+    junk = [" ".join("".join(rng.choice(list(chars), 8)) for _ in range(n)) for chars in kinds.values() for n in (40, 120, 400)]
+    planted = spark.createDataFrame([(-1 - i - 10 * k, t, lang) for i, t in enumerate(junk) for k, lang in enumerate(("en", "de", "fr", "es"))], "doc_id long, text string, lang string")
+    out = quality.verdicts(docs.unionByName(planted)).withColumn("failed", quality.base_failed(F.col("quality")))
+    out = out.join(spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", F.col("quality").alias("label")), "doc_id", "left").toPandas()
+    bad = out[out.doc_id < 0]
+    short = -bad.doc_id % 10 % 3 == 1
+    # of the junk of 40 words, random letters may look like French
+    assert not bad.failed.any() and not bad[~short].kept.any() and bad[short].kept.sum() <= 1
+    clean = out[(out.label == 1) & ~out.failed]
+    assert set(clean.lang) == {"de", "en", "es", "fr"} and (clean.groupby("lang").kept.mean() >= 0.97).all()
+
+
 def base_personal(t):
     luhn = lambda s: sum(d - 9 if d > 9 else d for d in (int(c) << (i & 1) for i, c in enumerate(reversed(s)))) % 10 == 0
     digits = lambda s: re.sub(r"[^0-9]", "", s)
