@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.scoring import NOISE_FLOOR, kappa, rounded, transition
 
 METRICS = ("recall", "precision", "reciprocal_rank", "hit")
+#: Most non-zero differences whose p is exact.
+EXACT = 25
 
 
 def paired(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -57,18 +62,35 @@ def signed_ranks(differences: DataFrame, by: list[str], value: str = "d") -> Dat
 
 
 def exact_p(ranked: DataFrame, by: list[str], value: str = "d") -> DataFrame:
-    """Two-sided p of at most 25 non-zero differences, by a fold over the counts of all rank sums; null beyond."""
+    """For each group its two-sided p: for at most ``EXACT`` non-zero differences by a fold over the counts of all rank
+    sums, beyond by the normal approximation of ``signed_ranks``; 1 where no difference is non-zero."""
+    sizes = ranked.groupBy(*by).agg(F.count_if(F.col(value) != 0).alias("n"))
+    same = lambda l, r: [l[c].eqNullSafe(r[c]) for c in by]
+    few = sizes.where((F.col("n") > 0) & (F.col("n") <= EXACT)).alias("few")
     some = ranked.where(F.col(value) != 0).withColumn("size", F.abs(value))
+    some = some.join(few, same(some, few), "left_semi")
     w = Window.partitionBy(*by)
     rank2 = 2 * F.rank().over(w.orderBy("size")) + F.count("*").over(Window.partitionBy(*by, "size")) - 1
     rows = some.withColumn("rank2", rank2.cast("int"))
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("rank2") > 0, F.col("rank2"))).alias("ranks"), F.sum(F.when(F.col(value) > 0, F.col("rank2")).otherwise(0)).alias("w2"))
-    small = out.where("n <= 25")
+    small = rows.groupBy(*by).agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("rank2") > 0, F.col("rank2"))).alias("ranks"), F.sum(F.when(F.col(value) > 0, F.col("rank2")).otherwise(0)).alias("w2"))
     total = F.col("n") * (F.col("n") + 1)
     start = F.transform(F.sequence(F.lit(0), total.cast("int")), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
     counts = F.aggregate("ranks", start, lambda c, r: F.transform(c, lambda x, i: x + F.when(i >= r, F.get(c, i - r)).otherwise(0.0)))
     tail = F.aggregate(F.slice(counts, 1, F.least(F.col("w2"), total - F.col("w2")).cast("int") + 1), F.lit(0.0), lambda s, x: s + x)
-    return small.select(*by, "n", (F.col("w2") / 2).alias("w_plus"), rounded(F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), F.col("n")))).alias("p"))
+    exact = small.select(*by, "n", (F.col("w2") / 2).alias("w_plus"), rounded(F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), F.col("n")))).alias("p"))
+    large = signed_ranks(ranked, by, value).where(F.col("n") > EXACT).select(*by, "n", "w_plus", rounded(normal_p(F.col("z"))).alias("p"))
+    none = sizes.where("n = 0").select(*by, "n", F.lit(0.0).alias("w_plus"), F.lit(1.0).alias("p"))
+    return exact.unionByName(large).unionByName(none)
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided p of a standard normal value."""
+
+    @F.pandas_udf("double")
+    def p(zs: pd.Series) -> pd.Series:
+        return zs.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
+
+    return p(z)
 
 
 def binary_calibration(pairs: DataFrame, judge: Column, human: Column) -> DataFrame:

@@ -68,6 +68,17 @@ def test_signed_ranks_by_hand(spark, values, w, p):
         assert reports.exact_p(d, ["g"]).first().p == p
 
 
+def test_every_group_has_a_p(spark):
+    groups = {"many": [float(i) for i in range(1, 31)], "even": [float(i * (-1) ** i) for i in range(1, 41)], "few": [1.0, 2.0, 3.0, 4.0, 5.0], "none": [0.0, 0.0], None: [1.0, 2.0]}
+    d = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, d double")
+    out = {r.g: r for r in reports.exact_p(d, ["g"]).collect()}
+    assert set(out) == set(groups)
+    assert (out["many"].n, out["many"].w_plus) == (30, 465.0) and out["many"].p < 1e-5
+    # z = (420 - 410 - 0.5) / sqrt(5535)
+    assert out["even"].w_plus == 420.0 and abs(out["even"].p - 0.898392) < 2e-6
+    assert (out["few"].p, out["none"].p, out["none"].n, out[None].p) == (0.0625, 1.0, 0, 0.5)
+
+
 def test_kappa_by_hand(spark):
     k = lambda *x: spark.range(1).select(S.kappa(*(F.lit(float(v)) for v in x)).alias("k")).first().k
     assert round(k(40, 10, 40, 10), 9) == 0.6
