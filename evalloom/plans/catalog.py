@@ -232,8 +232,11 @@ def anchors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contexts(spark: SparkSession, d: str) -> DataFrame:
-    r = retrieved(spark, d, 64, 5).join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.substring("text", 1, 900).alias("text")), "vec_id")
-    ranked = r.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("ranked"))
+    """The chunks of the retrieved documents, by rank and place, as far as the budget goes; ranks count chunks."""
+    r = retrieved(spark, d, 64, 5).select("qid", "rank", F.col("vec_id").alias("doc_id"))
+    chunks = passages.fixed_chunks(table(spark, d, "documents").select("doc_id", "text"), 500, 50)
+    blocks = r.join(chunks, "doc_id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "index", "text"))).alias("blocks"))
+    ranked = blocks.select("qid", F.transform("blocks", lambda b, i: F.struct((i + 1).alias("rank"), b["text"].alias("text"))).alias("ranked"))
     return ranked.select("qid", passages.context(F.col("ranked"), 2000).alias("c")).select("qid", F.col("c.used").cast("long").alias("used"), F.array_join("c.ranks", ",").alias("ranks"))
 
 

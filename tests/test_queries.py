@@ -99,6 +99,23 @@ def test_chunks():
     assert long[-1]["char_end"] == 120 and all(b["char_start"] == a["char_end"] - 20 for a, b in zip(long, long[1:], strict=False))
 
 
+def test_context_packs_whole_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    found = {}
+    for r in catalog.retrieved(spark, DATA, 64, 5).orderBy("qid", "rank").collect():
+        t = texts.get(r.vec_id, "")
+        found.setdefault(r.qid, []).extend([t[s : s + 500] for s in range(0, max(len(t) - 500, 0) + 450, 450)][: max(1, -(-(len(t) - 500) // 450) + 1)] if t else [])
+    out = {r.qid: r for r in catalog.contexts(spark, DATA).collect()}
+    assert set(out) == {q for q, b in found.items() if b}
+    for q, r in out.items():
+        used, ranks = 0, []
+        for i, b in enumerate(found[q], 1):
+            cost = len(b) + (2 if used else 0)
+            if used + cost <= 2000:
+                used, ranks = used + cost, [*ranks, i]
+        assert (r.used, r.ranks) == (used, ",".join(map(str, ranks)))
+
+
 @pytest.mark.parametrize(("answer", "found"), [("{bad {\"a\": 1} x", '{"a": 1}'), ("", None), (None, None), ('x {"a": "}"} {"b": 2}', '{"a": "}"}')])
 def test_first_object(answer, found):
     assert passages.first_object(answer) == found
