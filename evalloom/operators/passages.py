@@ -106,6 +106,22 @@ def chunked(docs: DataFrame, text: str = "text", strategy: str = "headings", siz
     return docs.withColumn("chunks", chunks(F.col(text)))
 
 
+def holding(items: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
+    """(qid, doc, span) of the documents (doc, text) whose text holds an item's whole span.
+
+    Candidates share a run of ``words`` words from inside the span: words with white space on both sides stay words
+    whatever stands around the span. Spans with fewer such words are compared with all documents."""
+    inner = F.split("span", r"\s+")
+    run = F.slice(inner, 2, words)
+    spans = items.select("qid", "span", F.when(F.size(inner) >= words + 2, F.xxhash64(F.array_join(run, " "))).alias("key"))
+    text_words = F.split("text", r"\s+")
+    runs = F.transform(F.sequence(F.lit(1), F.size(text_words) - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(text_words, i, words), " ")))
+    keyed = docs.where(F.size(text_words) >= words).select("doc", F.explode(F.array_distinct(runs)).alias("key"))
+    near = F.broadcast(spans.where("key is not null")).join(keyed, "key").select("qid", "span", "doc").join(docs, "doc")
+    rest = docs.crossJoin(F.broadcast(spans.where("key is null")))
+    return near.select("qid", "doc", "span", "text").unionByName(rest.select("qid", "doc", "span", "text")).where(F.contains(F.col("text"), F.col("span"))).select("qid", "doc", "span").distinct()
+
+
 def normalized(text: Column) -> Column:
     """Lower case without white space and punctuation."""
     return F.lower(F.regexp_replace(text, r"(?U)[\s\p{Punct}]+", ""))

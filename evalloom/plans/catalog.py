@@ -218,16 +218,12 @@ def structured(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchors(spark: SparkSession, d: str) -> DataFrame:
-    """Passages of the benchmark found in the chunks of the documents that share their first words."""
-    start = lambda c: F.substring(c, 1, 24)
+    """Passages of the benchmark (the span the SQL takes) found in the chunks of the documents that hold them."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 120).alias("span"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    keys = items.select("qid", "span", start(F.col("span")).alias("key"))
-    # windows of the documents that begin as an item does: an equi-join, not a scan of all pairs
-    grams = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.split("text", r"(?<=\s)"), lambda w: w))).alias("w")).select("doc_id", "text", F.trim("w").alias("w")).distinct()
-    first = keys.withColumn("w", F.element_at(F.split("span", r"\s+"), 1))
-    found = first.join(grams, "w").where(F.contains(F.col("text"), F.col("span"))).select("qid", F.col("doc_id").alias("doc"), "span").distinct()
-    chunks = passages.fixed_chunks(docs, 500, 200).select(F.col("doc_id").alias("doc"), F.concat_ws(":", "doc_id", "index").alias("point"), F.lit("").alias("section"), "text")
+    found = passages.holding(items, docs.withColumnRenamed("doc_id", "doc"))
+    held = docs.join(found.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    chunks = passages.fixed_chunks(held, 500, 200).select(F.col("doc_id").alias("doc"), F.concat_ws(":", "doc_id", "index").alias("point"), F.lit("").alias("section"), "text")
     return passages.anchored(found, chunks).select("qid", "doc", "point", F.col("level").cast("long").alias("level"))
 
 

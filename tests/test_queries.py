@@ -116,6 +116,14 @@ def test_context_packs_whole_documents(spark):
         assert (r.used, r.ranks) == (used, ",".join(map(str, ranks)))
 
 
+def test_spans_are_found_after_any_character(spark):
+    span = "alpha beta gamma delta epsilon " * 12 + "end"
+    items = spark.createDataFrame([(1, span), (2, " \tzeta eta theta iota kappa"), (3, "two words")], "qid long, span string")
+    texts = [f'x "{span}" y', f"pre-{span}", span[:120] + " other", "a \tzeta eta theta iota kappa.", "(two words)", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    assert sorted((r.qid, r.doc) for r in passages.holding(items, docs).collect()) == [(1, 0), (1, 1), (2, 3), (3, 4)]
+
+
 @pytest.mark.parametrize(("answer", "found"), [("{bad {\"a\": 1} x", '{"a": 1}'), ("", None), (None, None), ('x {"a": "}"} {"b": 2}', '{"a": "}"}')])
 def test_first_object(answer, found):
     assert passages.first_object(answer) == found
