@@ -8,8 +8,8 @@ A value at or above ``min_bits`` adds a span of kind ``guess``; placeholders suc
 ``xxxxxx`` stay below it.
 
 Defined cases: a null text is empty and has no spans; repeated rows give equal results; offsets count code
-points, ends are exclusive. The segmentation is quadratic only in a segment's length, which is at most
-``SEGMENT`` characters, so a very long value costs time in proportion to its length.
+points, ends are exclusive. Repeats and walks may be of any length and end anywhere along their run; a run keeps
+the few starts that can still be the cheapest, so a very long value costs time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from evalloom.llm.spans import SPANS, digest_columns, ordered
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "guess")
 MIN_BITS = 40.0
-SEGMENT = 24
 
 # The base patterns.
 ASSIGN = re.compile(r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -56,6 +55,7 @@ LEET = str.maketrans("@4301!$57", "aaeoiisst")
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACE = {c: (y, x) for y, row in enumerate(KEYBOARD) for x, c in enumerate(row)}
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.ASCII)
+YEAR = re.compile(r"(?:19|20)\d\d", re.ASCII)
 DATE_BITS, YEAR_BITS = math.log2(365 * 120), math.log2(120)
 CLASS_BITS = {"digit": math.log2(10), "lower": math.log2(26), "upper": math.log2(26), "other": math.log2(33), "wide": 12.0}
 
@@ -83,47 +83,58 @@ def guess_bits(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     if len(low) != n:
         low = value
     plain = low.translate(LEET)
-    at: dict[int, list[tuple[float, str, int]]] = {}
-    for m in (DATE.match(value, i) for i in range(n)):
-        if m:
-            at.setdefault(m.start(), []).append((DATE_BITS if m.end() - m.start() > 4 else YEAR_BITS, "date", m.end()))
-    for i in range(n):
-        here = at.setdefault(i, [])
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            if rank := RANK.get(plain[i:j]):
-                changed = sum(a != b for a, b in zip(value[i:j], plain[i:j], strict=True))
-                here.append((math.log2(rank + 1) + changed, "word", j))
-        j = i + 1
-        while j < n and j - i < SEGMENT and value[j] == value[i]:
-            j += 1
-        if j - i >= 3:
-            here.append((char_bits(value[i]) + math.log2(j - i), "repeat", j))
-        for size in (2, 3, 4):
-            j = i + size
-            while value[j : j + size] == value[i : i + size] and j - i < SEGMENT and j + size <= n:
-                j += size
-            if j - i >= 2 * size:
-                here.append((sum(map(char_bits, value[i : i + size])) + math.log2((j - i) // size), "repeat", j))
-        j = i + 1
-        while j < n and j - i < SEGMENT and adjacent(low[j - 1], low[j]):
-            j += 1
-        if j - i >= 4:
-            here.append((math.log2(47) + 1.5 * (j - i - 1), "walk", j))
+    cost = [char_bits(c) for c in value]
     best, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
-    for i in range(n):
-        step = best[i] + char_bits(value[i]) + (0.0 if i and back[i][1] == "brute" else 2.0)
-        if step < best[i + 1]:
-            best[i + 1], back[i + 1] = step, (i, "brute")
-        for bits, kind, j in at[i]:
-            if best[i] + bits + 2 < best[j]:
-                best[j], back[j] = best[i] + bits + 2, (i, kind)
+    brute, brute_from = math.inf, 0
+    # repeats: how far the period runs, and for each place in it the starts with what they cost but for their length
+    runs = {size: 0 for size in (1, 2, 3, 4)}
+    starts: dict[int, list[list[tuple[int, float]]]] = {size: [[] for _ in range(size)] for size in runs}
+    walk_from, walk = 0, (math.inf, 0)
+
+    def relax(j: int, bits: float, kind: str, i: int) -> None:
+        if bits < best[j]:
+            best[j], back[j] = bits, (i, kind)
+
+    for j in range(n + 1):
+        if j:
+            if best[j - 1] + 2.0 < brute:
+                brute, brute_from = best[j - 1] + 2.0, j - 1
+            brute += cost[j - 1]
+            relax(j, brute, "brute", brute_from)
+            for size in runs:
+                if j <= size or value[j - 1] != value[j - 1 - size]:
+                    if runs[size]:
+                        starts[size] = [[] for _ in range(size)]
+                    runs[size] = 0
+                    continue
+                runs[size] += 1
+                least = max(3, 2 * size)
+                i, here = j - least, starts[size][j % size]
+                if runs[size] >= least - size:
+                    bits = best[i] + 2.0 + sum(cost[i : i + size])
+                    # an older start only gains on a newer one as the repeat grows
+                    if all(bits + math.log2(least // size) < b + math.log2((j - a) // size) for a, b in here):
+                        here.append((i, bits))
+                for a, b in here:
+                    relax(j, b + math.log2((j - a) // size), "repeat", a)
+            if j == 1 or not adjacent(low[j - 2], low[j - 1]):
+                walk_from, walk = j - 1, (math.inf, 0)
+            if j - 4 >= walk_from:
+                walk = min(walk, (best[j - 4] - 1.5 * (j - 4), j - 4))
+                relax(j, walk[0] + 2.0 + math.log2(47) + 1.5 * (j - 1), "walk", walk[1])
+        if m := DATE.match(value, j):
+            if m.end() - j > 4:
+                relax(m.end(), best[j] + 2.0 + DATE_BITS, "date", j)
+            if value[j : j + 2] in ("19", "20") and YEAR.match(value, j):
+                relax(j + 4, best[j] + 2.0 + YEAR_BITS, "date", j)
+        for k in range(j + 3, min(n, j + LONGEST) + 1):
+            if rank := RANK.get(plain[j:k]):
+                changed = sum(x != y for x, y in zip(value[j:k], plain[j:k], strict=True))
+                relax(k, best[j] + 2.0 + math.log2(rank + 1) + changed, "word", j)
     out, j = [], n
     while j:
         i, kind = back[j]
-        if out and kind == "brute" == out[-1][0]:
-            out[-1] = ("brute", i, out[-1][2])
-        else:
-            out.append((kind, i, j))
+        out.append((kind, i, j))
         j = i
     return best[n], out[::-1]
 

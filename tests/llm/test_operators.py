@@ -241,6 +241,40 @@ def test_secrets(spark):
     assert secret_scan.guess_bits("changeme")[0] < secret_scan.MIN_BITS < secret_scan.guess_bits("Zx9+kQ77pLm2")[0]
 
 
+def least_bits(value):
+    """The least bits over all segmentations, segment by segment."""
+    s, low = secret_scan, value.lower()
+    plain = low.translate(s.LEET)
+
+    def segment(i, j):
+        v, n, out = value[i:j], j - i, [sum(map(s.char_bits, value[i:j]))]
+        if rank := s.RANK.get(plain[i:j]):
+            out.append(np.log2(rank + 1) + sum(a != b for a, b in zip(v, plain[i:j], strict=True)))
+        out += [sum(map(s.char_bits, v[:k])) + np.log2(n // k) for k in (1, 2, 3, 4) if n >= max(3, 2 * k) and n % k == 0 and v == v[:k] * (n // k)]
+        if n >= 4 and all(s.adjacent(a, b) for a, b in zip(low[i:j], low[i + 1 : j], strict=False)):
+            out.append(np.log2(47) + 1.5 * (n - 1))
+        if s.DATE.fullmatch(v):
+            out.append(s.DATE_BITS if n > 4 else s.YEAR_BITS)
+        return min(out) + 2
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + segment(i, j) for i in range(j)))
+    return best[-1]
+
+
+def test_guess_bits_beside_brute_force():
+    rng = np.random.default_rng(3)
+    parts = ["zxcvbn", "qwer", "master", "m", "xx", "abab", "1999", "20240131", "P@ssw0rd", "7", "aaa", "#", "key", "asdf", "12"]
+    values = ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(300)] + ["".join(rng.choice(list("ab1"), rng.integers(1, 30))) for _ in range(300)]
+    for v in [*values, "zxcvbnmaster1", "x" * 60, "abc" * 20 + "d"]:
+        bits, segments = secret_scan.guess_bits(v)
+        assert abs(bits - least_bits(v)) < 1e-9, v
+        assert [i for _, i, _ in segments] == [0, *(j for _, _, j in segments[:-1])] and segments[-1][2] == len(v)
+    for v in ("x" * 96, "*" * 500, "x" * 200_000, "zxcvbnmaster1"):
+        assert secret_scan.guess_bits(v)[0] < secret_scan.MIN_BITS
+
+
 def test_language_id(spark):
     out = langid.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
