@@ -238,7 +238,7 @@ def contexts(spark: SparkSession, d: str) -> DataFrame:
 
 def protocol(spark: SparkSession, d: str) -> DataFrame:
     label = F.get(F.array(*map(F.lit, ("supported", "unsupported", "irrelevant", "odd"))), (F.length("text") % 4).cast("int"))
-    body = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 20).alias("text"), label.alias("label"))).alias("claims")))
+    body = F.to_json(F.struct(F.array(F.struct(F.col("text"), label.alias("label"))).alias("claims")))
     answers = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("Here: {not json} "), body, F.lit(" end")).alias("answer"))
     return passages.claims(answers).select("conv_id", "turn", F.to_json("claims").alias("claims"), "error")
 
@@ -256,7 +256,7 @@ def point_ids(spark: SparkSession, d: str) -> DataFrame:
 def imported(spark: SparkSession, d: str) -> DataFrame:
     """JSON lines with planted faults: bad JSON, blank questions, repeated ids."""
     qid = F.when(F.col("item_id") % 7 == 3, F.lit("q0")).otherwise(F.concat(F.lit("q"), F.col("item_id").cast("string")))
-    body = F.to_json(F.struct(qid.alias("qid"), F.when(F.col("item_id") % 5 == 2, " ").otherwise(F.substring("text", 1, 30)).alias("question")))
+    body = F.to_json(F.struct(qid.alias("qid"), F.when(F.col("item_id") % 5 == 2, " ").otherwise(F.col("text")).alias("question")))
     lines = table(spark, d, "benchmark").select((F.col("item_id") + 1).alias("line"), F.when(F.col("item_id") % 11 == 6, "{broken").otherwise(body).alias("value"))
     rows = json_lines(lines, "qid string, question string")
     rows = rows.withColumn("error", F.coalesce("error", F.when(F.trim("question") == "", "blank question")))

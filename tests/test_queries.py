@@ -1,5 +1,6 @@
 """Each query beside its SQL, on the smallest tables; values known by hand."""
 
+import json
 import os
 
 import duckdb
@@ -116,6 +117,12 @@ def test_context_packs_whole_documents(spark):
         assert (r.used, r.ranks) == (used, ",".join(map(str, ranks)))
 
 
+def test_protocol_keeps_whole_texts(spark):
+    texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
+    kept = [r for r in catalog.protocol(spark, DATA).collect() if r.error is None]
+    assert kept and all(json.loads(r.claims)[0]["text"] == texts[r.conv_id, r.turn].strip(" ") for r in kept)
+
+
 def test_spans_are_found_after_any_character(spark):
     span = "alpha beta gamma delta epsilon " * 12 + "end"
     items = spark.createDataFrame([(1, span), (2, " \tzeta eta theta iota kappa"), (3, "two words")], "qid long, span string")
