@@ -200,8 +200,8 @@ def has_letter(text: str) -> bool:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fits a model a language on at most ``rows_per_language`` texts of each. The sample's cut-off hashes and the counts, both bounded by it, come to the driver."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars) & (F.length("text") > 0))
+    """Fits a model a language on at most ``rows_per_language`` texts of each, ``sample_chars`` characters of a longer one. The sample's cut-off hashes and the counts, both bounded by it, come to the driver."""
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     rows = rows.withColumn("h", F.xxhash64("text"))
     # a bounded heap of the smallest hashes for each language and task, then of all
     part = rows.groupBy("lang", F.spark_partition_id().alias("p")).agg(F.slice(F.array_sort(F.collect_set("h")), 1, rows_per_language).alias("h"))
@@ -211,7 +211,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
         within = F.lit(False)
         for r in cut:
             within = within | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["cut"]))
-        sample = rows.where(within).dropDuplicates(["lang", "h"]).select("lang", "text")
+        sample = rows.where(within).withColumn("text", F.substring("text", 1, sample_chars)).dropDuplicates(["lang", "h"]).select("lang", "text")
 
         def counted(key: tuple[str], frame: pd.DataFrame) -> pd.DataFrame:
             return count_contexts(frame.text.tolist()).assign(lang=key[0])[["lang", "n", "gram", "count"]]

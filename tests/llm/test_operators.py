@@ -280,6 +280,13 @@ def test_language_id(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_long_texts_teach_a_language(spark):
+    rows = [(i, f"{w} " * 300 + str(i), lang) for i, (lang, w) in enumerate([("aa", "bako tami"), ("bb", "xyzzu qorv")] * 3)]
+    docs = spark.createDataFrame([(i, t * (1 if lang == "aa" else 3), lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    out = langid.identify(docs, langid.fit(docs, sample_chars=4000)).select("lang", "langid.lang").toDF("lang", "found").collect()
+    assert all(r.lang == r.found for r in out)
+
+
 def test_sentencepiece(spark):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto
