@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import os
@@ -52,13 +53,42 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Folders that this driver wrote and hasn't deleted, with their sessions.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it back: a cut in the lineage that survives lost executors."""
+    """Writes df as Parquet under the shared folder and reads it back: a cut in the lineage that survives lost executors.
+
+    ``discard`` deletes the table; what is left goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evalloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
     with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` wrote and no later step reads."""
+    for table in tables:
+        _delete(getattr(table, "_written_to", ""))
+
+
+def _delete(path: str) -> None:
+    if spark := _WRITTEN.pop(path, None):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    with suppress(Exception):  # a session that has ended before
+        for path in list(_WRITTEN):
+            _delete(path)
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -105,6 +135,24 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+#: Keys that may count as frequent: each has more than this part of all rows, so there are no more of them.
+FREQUENT = 10_000
+LEAST_FREQUENT = 1_000
+
+
+def looked_up(rows: DataFrame, key: str, labels: DataFrame, size: str, total: int) -> DataFrame:
+    """``rows`` joined by ``key`` with ``labels``, which has a row for each key and in ``size`` how many rows share it.
+
+    Keys of more than a 10,000th of the ``total`` rows, of which there can't be more than 10,000, go to all
+    tasks, so that no key brings more rows than that into one task.
+    """
+    frequent = F.col(size) > max(LEAST_FREQUENT, total // FREQUENT)
+    hot = labels.where(frequent).drop(size)
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(labels.where(~frequent).drop(size), key)
+    return near.unionByName(far)
+
+
 def text_frame(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The documents table, its columns pruned to those named (all, if none is)."""
     bounded_batches(spark)
@@ -179,41 +227,79 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+#: The Mersenne prime that range hashes are taken modulo.
+PRIME = np.uint64((1 << 61) - 1)
+#: Bytes of a range that are summed without a reduction between.
+UNREDUCED = 1 << 23
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo PRIME."""
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return x - PRIME * (x >= PRIME)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo PRIME of numbers below it, by halves of 31 bits."""
+    low = np.uint64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    middle = a0 * b1 + a1 * b0
+    out = reduced(a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)))
+    return reduced(out + reduced(((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0))
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base to the 0th, 1st, ... power modulo PRIME."""
+    out, filled = np.ones(max(n, 1), np.uint64), 1
+    while filled < n:
+        more = min(filled, n - filled)
+        out[filled : filled + more] = times(out[:more], np.uint64(pow(base, filled, int(PRIME))))
+        filled += more
+    return out[:n]
+
+
+#: Sums up to each byte of its code times the low and the high half of its power.
+Prefix = tuple[np.ndarray, np.ndarray]
+
+
 class RollingHash:
-    """Polynomial hashes modulo 2^64 of any byte ranges, over bytes replaced by random odd numbers."""
+    """Polynomial hashes modulo 2^61 - 1 of any byte ranges: two texts of n bytes have one hash for at most n of all bases."""
 
     def __init__(self, seed: int = 1) -> None:
-        rng = np.random.default_rng(seed)
-        self.codes = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(rng.integers(1, 2**61)) * 8 + 5
-        self.up = self.down = np.empty(0, np.uint64)
+        self.base = int(np.random.default_rng(seed).integers(1 << 40, int(PRIME) - 1))
+        self.release()
 
     def grow(self, n: int) -> None:
-        if len(self.up) < n:
+        if len(self.down) < n:
             n += -n % (1 << 19)
-            self.up, self.down = powers(self.base, n), powers(pow(self.base, -1, 2**64), n)
+            up = prime_powers(self.base, n)
+            self.low, self.high = (up & np.uint64((1 << 31) - 1)).astype(np.uint32), (up >> np.uint64(31)).astype(np.uint32)
+            self.down = prime_powers(pow(self.base, -1, int(PRIME)), n)
 
     def release(self) -> None:
-        self.up = self.down = np.empty(0, np.uint64)
-
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        """P with P[j] - P[i] the scaled hash of data[i:j]."""
-        self.grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.codes[data] * self.up[: len(data)], dtype=np.uint64, out=out[1:])
-        return out
-
-    def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        self.grow(len(prefix))
-        return mix((prefix[end] - prefix[start]) * self.down[start])
-
-    def windows(self, prefix: np.ndarray, length: int) -> np.ndarray:
-        """The hash of each range of ``length`` bytes."""
-        n = len(prefix) - length
-        if n <= 0:
-            return np.empty(0, np.uint64)
-        self.grow(len(prefix))
-        return mix((prefix[length:] - prefix[:-length]) * self.down[:n])
+        self.low = self.high = np.empty(0, np.uint32)
+        self.down = np.empty(0, np.uint64)
+
+    def prefix(self, data: np.ndarray) -> Prefix:
+        n = len(data)
+        self.grow(n + 1)
+        code = data.astype(np.uint64) + np.uint64(1)
+        low, high = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        np.cumsum(code * self.low[:n], dtype=np.uint64, out=low[1:])
+        np.cumsum(code * self.high[:n], dtype=np.uint64, out=high[1:])
+        return low, high
+
+    def ranges(self, prefix: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        low, high = prefix
+        self.grow(len(low))
+        total = np.zeros(len(start), np.uint64)
+        for k in range(0, int((end - start).max(initial=0)), UNREDUCED):
+            a = np.minimum(start + k, end)
+            b = np.minimum(a + UNREDUCED, end)
+            h = reduced(high[b] - high[a])
+            h = ((h << np.uint64(31)) & PRIME) | (h >> np.uint64(30))
+            total = reduced(total + reduced(h + reduced(low[b] - low[a])))
+        return mix(times(total, self.down[start]))
 
 
 #: One for all operators, so that a worker holds its tables once.

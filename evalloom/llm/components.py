@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import materialise
+from evalloom.llm.common import discard, looked_up, materialise
 
 
-def _star(neighbours: DataFrame, larger: bool) -> DataFrame:
+def _star(neighbours: DataFrame, total: int, larger: bool) -> DataFrame:
     """(u, v) neighbours to links (v, m), m the least of u and its neighbours; of all v > u, or of all v <= u and u itself."""
-    least = neighbours.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    both = neighbours.join(least, "u")
+    least = neighbours.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    both = looked_up(neighbours, "u", least, "n", total)
     if larger:
         return both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     kept = both.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -19,10 +19,11 @@ def _star(neighbours: DataFrame, larger: bool) -> DataFrame:
 
 
 def components(links: DataFrame, u: str, v: str) -> DataFrame:
-    """(node, component) for every node with a link; a component's name is its least node.
+    """(node, component) for every node with a link, in a table; a component's name is its least node.
 
-    Each step is written to the shared folder. The number of rounds is logarithmic in the number of nodes; the
-    end is reached when a round leaves the links as they were. Self-links and nulls don't count.
+    Each step is written to the shared folder, and the one before it deleted. The number of rounds is
+    logarithmic in the number of nodes; the end is reached when a round leaves the links as they were.
+    Self-links and nulls don't count. A node with a large share of all links isn't joined in one task.
     """
     edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
     edges = materialise(edges, "links")
@@ -30,8 +31,13 @@ def components(links: DataFrame, u: str, v: str) -> DataFrame:
     while True:
         checksum = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.xxhash64("v", "u") % 1000003).cast("long"))).first()
         if checksum == seen or not checksum[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            named = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = materialise(named, "components")
+            discard(edges)
+            return out
         seen = checksum
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(around, larger=True).distinct()
-        edges = materialise(_star(large, larger=False).distinct(), "links")
+        large = materialise(_star(around, 2 * checksum[0], larger=True).distinct(), "links")
+        small = materialise(_star(large, 2 * checksum[0], larger=False).distinct(), "links")
+        discard(edges, large)
+        edges = small

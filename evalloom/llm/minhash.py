@@ -20,17 +20,19 @@ other columns are kept, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalloom.llm import common
-from evalloom.llm.common import HASH, ascii_lower, materialise, mix, sliced, slices, text_frame, utf8
+from evalloom.llm.common import FREQUENT, HASH, LEAST_FREQUENT, ascii_lower, discard, looked_up, materialise, mix, sliced, slices, text_frame, utf8
 from evalloom.llm.components import components
 from evalloom.llm.word_tokens import give_back
 
@@ -43,6 +45,8 @@ STEP = 8192
 #: Ids (8 bytes each) up to which a list of them is broadcast.
 FEW_IDS = 2_000_000
 FEW_PAIRS = 1_000_000
+#: First bits of a band key by which frequent ones are looked for.
+FIRST_BITS = 15
 #: Classes of a bucket that are compared as one block.
 BLOCK = 256
 
@@ -110,12 +114,12 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-FEATURES = "row_no long, n_shingles long, set_hi long, set_lo long, band_keys array<long>, parity array<long>"
-ARROW_FEATURES = pa.schema([("row_no", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("band_keys", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
+FEATURES = [T.StructField("n_shingles", T.LongType()), T.StructField("set_sha", T.BinaryType()), T.StructField("band_keys", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))]
+ARROW_FEATURES = pa.schema([("n_shingles", pa.int64()), ("set_sha", pa.binary()), ("band_keys", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 
 
 def features(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(row_no, text) to each row's set size, the hash of its set, its band keys and its parity bits."""
+    """(row_no, id, text) to each row's number, id, set size, the SHA-256 of its whole sorted set, its band keys and its parity bits."""
     kept: list[Circulant] = []
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,25 +127,22 @@ def features(texts: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
         if not kept:
             kept.append(Circulant(bands * rows))
         for batch in batches:
-            numbers = batch.column(0)
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             for i, j in slices(offsets):
                 n = j - i
                 row, shingle = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 size = np.bincount(row, minlength=n)
                 keys = band_keys(kept[0].signatures(row, shingle, n), bands, rows).astype(np.int64)
-                sums = []
-                for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-                    total = np.concatenate([[0], np.cumsum(mix(shingle ^ np.uint64(salt)), dtype=np.uint64)]).astype(np.uint64)
-                    edges = np.concatenate([[0], np.cumsum(size)])
-                    sums.append(pa.array((total[edges[1:]] - total[edges[:-1]]).astype(np.int64)))
+                edge = np.concatenate([[0], np.cumsum(size)]).tolist()
+                sha = [hashlib.sha256(shingle[a:b]).digest() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 full = size > 0
                 at = np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)
                 bits = parity(row, shingle, n)
                 words_at = np.arange(n + 1, dtype=np.int32) * bits.shape[1]
-                yield pa.RecordBatch.from_arrays([numbers[i:j], pa.array(size.astype(np.int64)), *sums, pa.ListArray.from_arrays(pa.array(at), pa.array(keys[full].ravel())), pa.ListArray.from_arrays(pa.array(words_at), pa.array(bits.ravel()))], schema=ARROW_FEATURES)
+                own = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(size.astype(np.int64)), pa.array(sha, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(keys[full].ravel())), pa.ListArray.from_arrays(pa.array(words_at), pa.array(bits.ravel()))], names=["row_no", "id", *ARROW_FEATURES.names])
 
-    return texts.mapInArrow(made, FEATURES)
+    return texts.mapInArrow(made, T.StructType([*texts.schema.fields[:2], *FEATURES]))
 
 
 def full_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -185,6 +186,17 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(whole, ["a", "part"]).select("a", "b", "of_a", "of_b").mapInArrow(compared, "a long, b long")
 
 
+def frequent_keys(members: DataFrame, key: str, total: int, counted: list[Column]) -> DataFrame:
+    """(key, size and more) of the keys that more than a 10,000th of the ``total`` members have.
+
+    Such a key's first bits are at least as frequent; counts of these are few enough to be summed up in each
+    task, and leave few members whose keys are counted."""
+    limit = max(LEAST_FREQUENT, total // FREQUENT)
+    first = F.shiftrightunsigned(key, 64 - FIRST_BITS)
+    many = members.groupBy(first.alias("first_bits")).agg(F.count("*").alias("n")).where(F.col("n") > limit).select("first_bits")
+    return members.join(F.broadcast(many), first == F.col("first_bits"), "left_semi").groupBy(key).agg(*counted).where(F.col("size") > limit)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs`` with n_shingles, component_id (the least id reachable), kept (id = component_id) and chosen (one row of each component).
 
@@ -193,28 +205,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.drop("n_shingles", "component_id", "kept", "chosen")
     base, row, part = sliced(docs, text_col, "minhash-docs", common.SLICE_BYTES)
     spark = docs.sparkSession
-    feat = materialise(features(base.select(F.col(row).alias("row_no"), F.col(text_col)), words, bands, rows), "minhash-features")
-    ids = base.select(F.col(row).alias("row_no"), F.col(id_col).alias("id"))
+    feat = materialise(features(base.select(F.col(row).alias("row_no"), F.col(id_col).alias("id"), F.col(text_col)), words, bands, rows), "minhash-features")
     full = feat.where("n_shingles > 0")
-    classes = full.select("set_hi", "set_lo", "row_no", "n_shingles", "band_keys", "parity").groupBy("set_hi", "set_lo").agg(F.min(F.struct("row_no", "n_shingles", "band_keys", "parity")).alias("x")).select("set_hi", "set_lo", F.col("x.row_no").alias("class"), F.col("x.n_shingles").alias("n"), F.col("x.band_keys").alias("band_keys"), F.col("x.parity").alias("parity"))
+    classes = full.select("set_sha", "row_no", "n_shingles", "band_keys", "parity").groupBy("set_sha").agg(F.min(F.struct("row_no", "n_shingles", "band_keys", "parity")).alias("x")).select("set_sha", F.col("x.row_no").alias("class"), F.col("x.n_shingles").alias("n"), F.col("x.band_keys").alias("band_keys"), F.col("x.parity").alias("parity"))
     classes = materialise(classes, "minhash-classes")
 
-    # dealt once by key, for the counts and the join alike
-    members = classes.select(F.explode("band_keys").alias("key"), "class", "n").repartition("key")
-    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("class", "n")).alias("first")).where("size > 1")
-    buckets = materialise(members.join(shared, "key"), "minhash-buckets")
+    # keys that many classes have are counted with partial sums and go to all tasks; the others are dealt once, for the counts and the join alike
+    members = classes.select(F.explode("band_keys").alias("key"), "class", "n")
+    counted = [F.count("*").alias("size"), F.min(F.struct("class", "n")).alias("first")]
+    frequent = F.broadcast(materialise(frequent_keys(members, "key", classes.count() * bands, counted), "minhash-frequent"))
+    dealt = members.join(frequent, "key", "left_anti").repartition("key")
+    shared = dealt.groupBy("key").agg(*counted).where("size > 1")
+    buckets = materialise(dealt.join(shared, "key").unionByName(members.join(frequent, "key")), "minhash-buckets")
 
     def may_link(n: str, m: str) -> F.Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
     first_pairs = materialise(buckets.where("class <> first.class").where(may_link("n", "first.n")).select(F.col("first.class").alias("a"), F.col("class").alias("b")).distinct(), "minhash-pairs")
-    wanted = materialise(buckets.select("class").distinct(), "minhash-wanted")
+    chosen_texts = materialise(buckets.select("class").distinct(), "minhash-wanted")
     # up to a checked number of ids they go to the texts, else both are dealt
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted.hint("shuffle_hash")
+    wanted = F.broadcast(chosen_texts) if chosen_texts.count() <= FEW_IDS else chosen_texts.hint("shuffle_hash")
     sets = base.select(F.col(row), F.col(text_col)).join(wanted, F.col(row) == F.col("class")).select("class", text_col)
     sets = materialise(full_sets(sets, words), "minhash-sets")
     links = materialise(verified(first_pairs, sets, percent), "minhash-links")
-    found = materialise(components(links, "a", "b"), "minhash-components")
+    found = components(links, "a", "b")
 
     # what the first comparisons leave open: buckets with classes of several components
     of = found.select(F.col("node").alias("class"), "component")
@@ -234,15 +248,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     late = verified(more, sets, percent)
     late = late.join(of.withColumnsRenamed({"class": "a", "component": "ca"}), "a", "left").join(of.withColumnsRenamed({"class": "b", "component": "cb"}), "b", "left")
     late = materialise(late.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "minhash-late")
-    joined = components(late, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("merged"))
-    named = classes.select("set_hi", "set_lo", "class").join(of, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = named.join(joined, "component", "left").select("set_hi", "set_lo", F.coalesce("merged", "component").alias("component"))
-
-    # rows to components; a component's id is the least of its documents'
-    rows_in = feat.where("n_shingles > 0").select("row_no", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"]).select("row_no", "component")
-    rows_in = materialise(rows_in.join(ids, "row_no"), "minhash-rows")
-    least = rows_in.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_no")).alias("x"))
-    labelled = rows_in.join(least, "component").select(F.col("row_no").alias(row), F.col("x.id").alias("component_id"), (F.col("row_no") == F.col("x.row_no")).alias("chosen"))
+    linked = components(late, "a", "b")
+    joined = linked.select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    named = classes.select("set_sha", "class").join(of, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = named.join(joined, "component", "left").select("set_sha", F.coalesce("merged", "component").alias("component"))
+
+    # a component's id is the least of its documents': of each set's rows, then of each component's sets
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_no"))
+    own = feat.where("n_shingles > 0").groupBy("set_sha").agg(least.alias("x"), F.count("*").alias("rows"))
+    own = materialise(named.join(own, "set_sha"), "minhash-sets-of")
+    of_component = own.groupBy("component").agg(F.min("x").alias("least"), F.count("*").alias("n_sets"))
+    total, n_classes = own.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
+    of_set = materialise(looked_up(own.select("component", "set_sha", "rows"), "component", of_component, "n_sets", n_classes).select("set_sha", "rows", "least"), "minhash-labels")
+    labelled = looked_up(feat.where("n_shingles > 0").select("row_no", "set_sha"), "set_sha", of_set, "rows", total)
+    labelled = labelled.select(F.col("row_no").alias(row), F.col("least.id").alias("component_id"), (F.col("row_no") == F.col("least.row_no")).alias("chosen"))
+    discard(classes, buckets, first_pairs, chosen_texts, sets, links, found, still, more, late, linked, own)
     out = base.join(feat.select(F.col("row_no").alias(row), "n_shingles"), row).join(labelled, row, "left")
     label = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col))
     out = out.withColumn("component_id", label).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
