@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import mix, powers, slices, text_frame, utf8, vocabulary_path
-from evalloom.llm.word_tokens import STEMS, Encoded, WordTokens, flattened, kept_in_worker, ragged
+from evalloom.llm.common import mix, powers, slices, text_frame, trim, utf8, vocabulary_path
+from evalloom.llm.word_tokens import Encoded, WordTokens, flattened, kept_in_worker, ragged
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -37,6 +37,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Characters of the words that advance together.
 BATCH = 400_000
+#: Words that a worker remembers with their ids; an executor core has two workers, one of them to decode.
+REMEMBERED = 200_000
 #: Ids that are decoded at once.
 IDS = 1_000_000
 
@@ -180,7 +182,7 @@ class Pieces:
 def vocabulary(path: str) -> tuple[Pieces, WordTokens]:
     def make(path: str) -> tuple[Pieces, WordTokens]:
         pieces = Pieces(path)
-        return pieces, WordTokens(pieces.encode, STEMS)
+        return pieces, WordTokens(pieces.encode, REMEMBERED)
 
     return kept_in_worker("sentencepieces", path, make)
 
@@ -228,6 +230,8 @@ def encode(docs: DataFrame, text_col: str = "text", into: str = "piece_ids", mod
                 ids, at = encode_slice(column[i:j], tokens)
                 parts.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)), mask=column[i:j].is_null()))
             yield pa.concat_arrays(parts)
+            del parts
+            trim()
 
     return docs.withColumn(into, encoded(F.col(text_col)))
 
@@ -238,7 +242,8 @@ def decoder(model: str | None = None) -> object:
 
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces, _ = vocabulary(path)
+        pieces, tokens = vocabulary(path)
+        tokens.forget()
         for column in batches:
             parts = [pa.array([], pa.string())]
             offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
@@ -248,6 +253,8 @@ def decoder(model: str | None = None) -> object:
                 texts = pieces.decode_all(ids, offsets[i : j + 1] - offsets[i])
                 parts.append(pc.if_else(own.is_null(), pa.scalar(None, pa.string()), texts))
             yield pa.concat_arrays(parts)
+            del parts
+            trim()
 
     return decoded
 

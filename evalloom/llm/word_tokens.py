@@ -30,6 +30,15 @@ def flattened(lists: list[list[int]]) -> Encoded:
     return np.fromiter(chain.from_iterable(lists), np.uint32, int(count.sum())), count
 
 
+def grown(array: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n values, at least doubled if it had less."""
+    if n <= len(array):
+        return array
+    out = np.empty(max(n, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 class WordTokens:
     """Encodes words in whole batches and remembers them, their ids in flat arrays."""
 
@@ -39,7 +48,8 @@ class WordTokens:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.begin, self.count = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.used = 0
+        self.flat, self.begin, self.count = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
 
     def places(self, words: list[str]) -> np.ndarray:
         """Each word's place in ``begin`` and ``count``, which say where its ids are in ``flat``."""
@@ -49,8 +59,13 @@ class WordTokens:
         at = [known.get(w, -1) for w in words]
         if new := list(dict.fromkeys(w for w, i in zip(words, at, strict=True) if i < 0)):
             ids, count = self.encode(new)
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(count) - count])
-            self.flat, self.count = np.concatenate([self.flat, ids]), np.concatenate([self.count, count])
+            n, end = len(known), self.used + len(ids)
+            self.flat = grown(self.flat, end)
+            self.begin, self.count = grown(self.begin, n + len(new)), grown(self.count, n + len(new))
+            self.flat[self.used : end] = ids
+            self.begin[n : n + len(new)] = self.used + np.cumsum(count) - count
+            self.count[n : n + len(new)] = count
+            self.used = end
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             at = [known[w] if i < 0 else i for w, i in zip(words, at, strict=True)]
         return np.array(at, np.int64)
@@ -58,7 +73,7 @@ class WordTokens:
     def of(self, words: list[str], word: np.ndarray, edges: np.ndarray) -> Encoded:
         """The ids of texts made of the words with numbers ``word``, text i those from edges[i] on; and where each text's ids begin."""
         at = self.places(words)[word] if len(word) else word.astype(np.int64)
-        count = self.count[at]
+        count = self.count[at].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(count)])
         return self.flat[ragged(self.begin[at], count)], ends[edges]
 

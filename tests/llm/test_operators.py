@@ -325,3 +325,25 @@ def test_pipeline(spark):
 
 def test_registered():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in catalog.queries()}
+
+
+def test_unigram_vocabulary(spark, tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    from evalloom.llm.common import vocabulary_path
+
+    model = proto.ModelProto()
+    model.ParseFromString(open(vocabulary_path(sentencepieces.VOCABULARY), "rb").read())
+    model.trainer_spec.model_type = 1
+    rng = np.random.default_rng(8)
+    for p in model.pieces:
+        if p.type == p.NORMAL:
+            p.score = float(-2.5 - 9 * rng.random())
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = [*list(plain(spark).values())[:60], "a  b", "日本語 😀\n\ty", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in sentencepieces.encode(docs, model=str(path)).collect():
+        assert r.piece_ids == (None if r.text is None else library.encode(r.text))
