@@ -5,12 +5,18 @@ The cost of a byte is its exact code length under escape method C: in the longes
 ``c / (n + t)`` for a byte seen there, else the escape ``t / (n + t)`` and the next shorter context;
 below order 0 each byte costs 8 bits. Statistics are frozen: scoring never updates them.
 
+Each text is preceded by ``ORDER`` line ends, so that its first bytes have contexts too; these are contexts like
+others, with counts of their own.
+
 Models are fitted on a bounded sample: at most ``rows_per_language`` different texts a language (the
 smallest text hashes, each of at most ``sample_chars`` characters), so that a model is bounded whatever the
 corpus; every whole text is scored.
 
 Defined cases: a null text and a text without a letter get ``und`` and score 0; so does every text if
-nothing was learned; null languages teach nothing; equal code lengths go to the language first in order.
+nothing was learned (an empty table, or no language that isn't null); null languages teach nothing, nor do null
+and empty texts; equal code lengths go to the language first in order; repeated rows get equal results and are
+learned from once; a text of any length is scored as a whole; other columns are kept, one named ``into`` is
+replaced.
 """
 
 from __future__ import annotations
@@ -110,6 +116,7 @@ class Model:
     langs: list[str]
     keys: dict[int, np.ndarray]
     cost: dict[int, np.ndarray]
+    contexts: dict[int, np.ndarray]
     escape: dict[int, np.ndarray]
 
     @classmethod
@@ -119,33 +126,27 @@ class Model:
         keys = {n: np.unique(np.concatenate([np.empty(0, np.int64), *(s.gram[s.n == n].to_numpy() for s in stats.values())])) for n in range(1, ORDER + 2)}
         base = np.full((256, width), 8.0)
         cost: dict[int, np.ndarray] = {}
+        contexts: dict[int, np.ndarray] = {}
         escape: dict[int, np.ndarray] = {}
         for n in range(1, ORDER + 2):
-            # the cost without the context of n - 1 bytes: of the same byte after the next shorter one
-            if n == 1:
-                fallback, contexts = base[keys[1]], np.zeros(len(keys[1]), np.int64)
-                escape[n] = np.zeros((1, width))
-            else:
-                below = np.searchsorted(keys[n - 1], keys[n] & ((1 << 8 * (n - 1)) - 1))
-                contexts = np.searchsorted(keys[n - 1], keys[n] >> 8)
-                contexts[contexts >= len(keys[n - 1])] = 0
-                fallback = cost[n - 1][np.minimum(below, len(keys[n - 1]) - 1)] if len(keys[n]) else np.zeros((0, width))
-                escape[n] = np.zeros((len(keys[n - 1]), width))
+            # what the n - 1 bytes before are; padding before a text makes contexts that end in no text
+            contexts[n], ctx = np.unique(keys[n] >> 8, return_inverse=True)
+            # the cost without the first of them: of the same byte after the next shorter context
+            fallback = base[keys[1]] if n == 1 else cost[n - 1][np.searchsorted(keys[n - 1], keys[n] & ((1 << 8 * (n - 1)) - 1))]
+            escape[n] = np.zeros((len(contexts[n]), width))
             out = np.zeros((len(keys[n]), width))
             for j, lang in enumerate(langs):
                 s = stats[lang][stats[lang].n == n]
                 count = np.zeros(len(keys[n]))
                 count[np.searchsorted(keys[n], s.gram.to_numpy())] = s["count"].to_numpy()
-                # the contexts of padding at a text's start aren't grams of the level below; they share row 0 of no known key
-                ctx = contexts
-                total = np.bincount(ctx, count, minlength=len(escape[n]))
-                kinds = np.bincount(ctx, count > 0, minlength=len(escape[n]))
+                total = np.bincount(ctx, count, minlength=len(contexts[n]))
+                kinds = np.bincount(ctx, count > 0, minlength=len(contexts[n]))
                 seen = total > 0
                 escape[n][seen, j] = -np.log2(kinds[seen] / (total[seen] + kinds[seen]))
                 with np.errstate(divide="ignore"):
                     out[:, j] = np.where(count > 0, -np.log2(count / np.maximum(total + kinds, 1)[ctx]), escape[n][ctx, j] + fallback[:, j])
             cost[n] = out
-        return cls(langs, keys, cost, escape)
+        return cls(langs, keys, cost, contexts, escape)
 
     def tables(self) -> Scorer:
         return Scorer(self)
@@ -156,16 +157,17 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.langs, width = model.langs, len(model.langs)
-        one = np.full((256, width), 8.0) + model.escape[1][0]
+        one = np.full((256, width), 8.0) + (model.escape[1][0] if len(model.escape[1]) else 0.0)
         one[model.keys[1]] = model.cost[1]
         escape2 = np.zeros((256, width))
-        escape2[model.keys[1]] = model.escape[2]
+        escape2[model.contexts[2]] = model.escape[2]
         two = (escape2[:, None, :] + one[None, :, :]).reshape(65536, width)
         two[model.keys[2]] = model.cost[2]
         self.two = two.astype(np.float32)
         self.escape3 = np.zeros((65536, width), np.float32)
-        self.escape3[model.keys[2]] = model.escape[3]
-        self.index3, self.cost3, self.escape4 = KeyIndex(model.keys[3].astype(np.uint32)), model.cost[3].astype(np.float32), model.escape[4].astype(np.float32)
+        self.escape3[model.contexts[3]] = model.escape[3]
+        self.index3, self.cost3 = KeyIndex(model.keys[3].astype(np.uint32)), model.cost[3].astype(np.float32)
+        self.contexts4, self.escape4 = KeyIndex(model.contexts[4].astype(np.uint32)), model.escape[4].astype(np.float32)
         self.index4, self.cost4 = KeyIndex(model.keys[4].astype(np.uint32)), model.cost[4].astype(np.float32)
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
@@ -184,7 +186,8 @@ class Scorer:
             short = self.two[pair] + self.escape3[low >> np.uint32(8)]
             if len(self.cost3):
                 short = np.where((at >= 0)[:, None], self.cost3[at], short)
-                context = self.index3.find(key >> np.uint32(8))
+            if len(self.escape4):
+                context = self.contexts4.find(key >> np.uint32(8))
                 short = short + np.where((context >= 0)[:, None], self.escape4[context], np.float32(0))
             cost[miss] = short
         begin = np.cumsum([0, *(length + ORDER)])[:-1]

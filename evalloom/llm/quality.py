@@ -8,15 +8,18 @@ whole corpus: median and quartiles of the texts that pass the base rules, by lan
 and fences ``FENCE`` standard deviations (as the quartiles give them) around the median, so that junk has to be
 a quarter of a language's texts before it moves them. The script is that of most letters.
 
-Defined cases: a null or empty text has no words, counts of 0, null measures, and fails the base rules;
-repeated rows give equal results; ties between scripts go to the first in ``SCRIPTS``; a text without letters
+Defined cases: a null or empty text has no words, counts of 0, null measures, and fails the base rules; an empty
+table gives an empty result; texts of any length are measured whole; repeated rows give equal results; a column
+named ``quality`` is replaced, others are kept; ties between scripts go to the first in ``SCRIPTS``; a text without letters
 has script ``none`` and that band. A language and length with fewer than ``LEAST_TEXTS`` texts takes the band of
 its language, then of its script; the fixed limits in ``BANDS`` hold besides, and alone where no band is learned.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,30 +32,49 @@ from evalloom.llm.word_tokens import WordTokens, flattened, kept_in_worker, text
 VOCABULARY = "piece_bpe_32k.model"
 WINDOW = 5
 SYMBOLS = b"#*$%&|<>"
-#: Scripts in order, by the lead bytes of their letters in UTF-8.
-SCRIPTS = ("latin", "greek", "cyrillic", "arabic", "indic", "kana", "han", "hangul")
+# The blocks of Unicode that hold a script's letters.
+BLOCKS = {
+    "latin": ((0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB64), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)),
+    "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
+    "cyrillic": ((0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "arabic": ((0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)),
+    "indic": ((0x900, 0xDFF),),
+    "kana": ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)),
+    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
+    "hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)),
+    "armenian": ((0x530, 0x58F), (0xFB13, 0xFB17)),
+    "hebrew": ((0x590, 0x5FF), (0xFB1D, 0xFB4F)),
+    "thai": ((0xE00, 0xE7F),),
+    "lao": ((0xE80, 0xEFF),),
+    "tibetan": ((0xF00, 0xFFF),),
+    "burmese": ((0x1000, 0x109F),),
+    "georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)),
+    "ethiopic": ((0x1200, 0x139F), (0x2D80, 0x2DDF), (0xAB00, 0xAB2F)),
+    "khmer": ((0x1780, 0x17FF),),
+}
+#: Scripts in order; letters outside all blocks are of another one.
+SCRIPTS = (*BLOCKS, "other")
 # Bands: least characters a token, largest share of byte tokens, least share of the possible entropy.
 BANDS = {"latin": (1.10, 0.30, 0.20), "greek": (0.70, 0.50, 0.20), "cyrillic": (1.00, 0.40, 0.20), "arabic": (0.60, 0.60, 0.20), "indic": (0.35, 0.90, 0.15), "kana": (0.50, 0.60, 0.20), "han": (0.40, 0.80, 0.20), "hangul": (0.40, 0.80, 0.20), "none": (1.00, 0.30, 0.20)}
+BANDS |= {"armenian": (0.50, 0.80, 0.20), "hebrew": (0.60, 0.60, 0.20), "thai": (0.35, 0.90, 0.15)} | dict.fromkeys(("lao", "tibetan", "burmese", "georgian", "ethiopic", "khmer", "other"), (0.30, 1.00, 0.15))
 #: Half the width of a learned band in standard deviations; the least one of each measure; the least texts of a band.
 FENCE = 6.0
 LEAST_SPREAD = {"chars_per_token": 0.02, "byte_share": 0.02, "entropy_share": 0.005}
 LEAST_TEXTS = 100
 
 
-def script_codes() -> tuple[np.ndarray, np.ndarray]:
-    """For each first byte, and each second byte after E0 to ED, the script's number from 1 (0: none)."""
-    one, e_first = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
-    one[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)]] = 1
-    one[[0xCE, 0xCF]] = 2
-    one[0xD0:0xD4] = 3
-    one[0xD8:0xDC] = 4
-    e_first[0xE0] = 5
-    e_first[0xE4:0xEA] = 7
-    e_first[0xEA:0xEE] = 8
-    return one, e_first
+@cache
+def script_codes() -> np.ndarray:
+    """For each code point the number of its script from 1; 0 for what isn't a letter."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    letters = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    out[letters] = len(SCRIPTS)
+    for i, blocks in enumerate(BLOCKS.values(), 1):
+        for first, last in blocks:
+            out[first : last + 1] = np.where(letters[first : last + 1], i, 0)
+    return out
 
 
-ONE, E_FIRST = script_codes()
 MEASURES = pa.schema(
     [(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")]
     + [("chars_per_token", pa.float64()), ("byte_share", pa.float64()), ("entropy_share", pa.float64()), ("script", pa.string())]
@@ -114,14 +136,12 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def scripts(data: np.ndarray, offsets: np.ndarray) -> list[str]:
-    code = ONE[data].copy()
-    wide = np.flatnonzero((data >= 0xE0) & (data <= 0xED))
-    found = E_FIRST[data[wide]]
-    after = data[np.minimum(wide + 1, len(data) - 1)] if len(wide) else wide
-    found[(data[wide] == 0xE3) & (after >= 0x81) & (after <= 0x83)] = 6
-    code[wide] = found
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    counts = np.bincount(row * 9 + code, minlength=9 * (len(offsets) - 1)).reshape(-1, 9)[:, 1:]
+    """The script of most letters of each row, ``none`` without letters."""
+    n, width = len(offsets) - 1, len(SCRIPTS) + 1
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(n), np.diff(chars))
+    counts = np.bincount(row * width + script_codes()[points], minlength=width * n).reshape(-1, width)[:, 1:]
     return [SCRIPTS[k] if total else "none" for k, total in zip(counts.argmax(1), counts.sum(1), strict=True)]
 
 

@@ -3,17 +3,19 @@
 The base patterns (assignments, access keys, long hex runs) always give their spans. The method then
 weighs each value that stands in a credential context - what is assigned to a password, token or key
 name, a bearer token, the password part of a URL - by the least number of guesses, in bits, that a
-segmentation of it into dictionary words, dates, repeats, keyboard walks and brute-force characters needs.
+segmentation of it into dictionary words (common passwords, then the words of a public vocabulary), dates, repeats, keyboard walks, separators and brute-force characters needs.
 A value at or above ``min_bits`` adds a span of kind ``guess``; placeholders such as ``changeme`` or
 ``xxxxxx`` stay below it.
 
-Defined cases: a null text is empty and has no spans; repeated rows give equal results; offsets count code
+Defined cases: a null text is empty and has no spans; an empty table gives an empty result; repeated rows give
+equal results; spans that are equal count once; other columns are kept, one named ``into`` is replaced; offsets count code
 points, ends are exclusive. Repeats and walks may be of any length and end anywhere along their run; a run keeps
 the few starts that can still be the cheapest, so a very long value costs time in proportion to its length.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -22,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import text_frame
+from evalloom.llm.common import bounded_batches, text_frame, vocabulary_path
 from evalloom.llm.spans import SPANS, digest_columns, ordered
+from evalloom.llm.word_tokens import kept_in_worker
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "guess")
@@ -49,7 +52,9 @@ autumn flower orange purple yellow silver golden cookie cheese coffee ginger pep
 tiger eagle falcon phoenix ranger thunder matrix freedom whatever nothing none null true false placeholder
 redacted hidden todo fixme insert here value string name pass the and for with from this that not""".split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: Whose words, of three to twenty letters, follow those above in the order of its ids.
+VOCABULARY = "word_bpe_49k.json"
+LETTERS = re.compile("([a-z]{3,20})</w>")
 # Characters that stand for letters.
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -57,6 +62,7 @@ PLACE = {c: (y, x) for y, row in enumerate(KEYBOARD) for x, c in enumerate(row)}
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.ASCII)
 YEAR = re.compile(r"(?:19|20)\d\d", re.ASCII)
 DATE_BITS, YEAR_BITS = math.log2(365 * 120), math.log2(120)
+SEPARATORS, SEPARATOR_BITS = "_-.", math.log2(3)
 CLASS_BITS = {"digit": math.log2(10), "lower": math.log2(26), "upper": math.log2(26), "other": math.log2(33), "wide": 12.0}
 
 
@@ -73,13 +79,24 @@ def adjacent(a: str, b: str) -> bool:
     return (y, x) != (v, u) and abs(y - v) <= 1 and abs(x - u) <= 1
 
 
-def guess_bits(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def dictionary(path: str) -> dict[str, int]:
+    """The ranks of the common words and of a public vocabulary's."""
+    rank = dict(RANK)
+    with open(path, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    for piece in sorted(ids, key=ids.__getitem__):
+        if m := LETTERS.fullmatch(piece):
+            rank.setdefault(m[1], len(rank) + 1)
+    return rank
+
+
+def guess_bits(value: str, rank: dict[str, int] = RANK) -> tuple[float, list[tuple[str, int, int]]]:
     """The least bits of a segmentation of ``value``, and its segments (kind, start, end).
 
     Each segment costs two bits for its kind besides its own guesses; a run of brute-force characters
     costs the sum of its characters' bits.
     """
-    n, low = len(value), value.lower()
+    n, low, longest = len(value), value.lower(), 20
     if len(low) != n:
         low = value
     plain = low.translate(LEET)
@@ -127,10 +144,12 @@ def guess_bits(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                 relax(m.end(), best[j] + 2.0 + DATE_BITS, "date", j)
             if value[j : j + 2] in ("19", "20") and YEAR.match(value, j):
                 relax(j + 4, best[j] + 2.0 + YEAR_BITS, "date", j)
-        for k in range(j + 3, min(n, j + LONGEST) + 1):
-            if rank := RANK.get(plain[j:k]):
+        if j < n and value[j] in SEPARATORS:
+            relax(j + 1, best[j] + 2.0 + SEPARATOR_BITS, "separator", j)
+        for k in range(j + 3, min(n, j + longest) + 1):
+            if place := rank.get(plain[j:k]):
                 changed = sum(x != y for x, y in zip(value[j:k], plain[j:k], strict=True))
-                relax(k, best[j] + 2.0 + math.log2(rank + 1) + changed, "word", j)
+                relax(k, best[j] + 2.0 + math.log2(place + 1) + changed, "word", j)
     out, j = [], n
     while j:
         i, kind = back[j]
@@ -139,7 +158,7 @@ def guess_bits(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n], out[::-1]
 
 
-def find_secrets(text: str | None, min_bits: float = MIN_BITS) -> list[tuple[str, int, int]]:
+def find_secrets(text: str | None, min_bits: float = MIN_BITS, rank: dict[str, int] = RANK) -> list[tuple[str, int, int]]:
     """All spans of one text, in order."""
     text = text or ""
     spans: list[tuple[str, int, int]] = []
@@ -155,18 +174,22 @@ def find_secrets(text: str | None, min_bits: float = MIN_BITS) -> list[tuple[str
         values += [m.span(1) for m in BEARER.finditer(text)]
     if "://" in text:
         values += [m.span(1) for m in USERINFO.finditer(text)]
-    spans += [("guess", i, j) for i, j in values if guess_bits(text[i:j])[0] >= min_bits]
+    spans += [("guess", i, j) for i, j in values if guess_bits(text[i:j], rank)[0] >= min_bits]
     return ordered(spans, KINDS)
 
 
-def scan(docs: DataFrame, text_col: str = "text", into: str = "secrets", min_bits: float = MIN_BITS) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", into: str = "secrets", min_bits: float = MIN_BITS, vocabulary: str | None = None) -> DataFrame:
     """``docs`` with an array ``into`` of spans (kind, start, end); a column of that name is replaced."""
 
+    path = vocabulary or vocabulary_path(VOCABULARY)
+    bounded_batches(docs.sparkSession)
+
     @F.arrow_udf(SPANS)
     def scan_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        rank = kept_in_worker("secrets", path, dictionary)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for column in batches:
-            yield pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_secrets(t.as_py(), min_bits)] for t in column], kind)
+            yield pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in find_secrets(t.as_py(), min_bits, rank)] for t in column], kind)
 
     return docs.withColumn(into, scan_texts(F.col(text_col)))
 
