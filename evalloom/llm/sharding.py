@@ -12,8 +12,10 @@ has at most ``FEW`` items these are compared one by one. What comes to the drive
 shards alone.
 
 Defined cases: a null text has no bytes of its own (a row counts ``ROW_BYTES`` besides) and a checksum of 0;
-null dimensions stand before all values; repeated rows are one group but have their own slots; text dimensions
-are ordered by their first seven bytes; an empty table gives an empty result; missing dimensions are left out.
+null dimensions stand before all values; repeated rows are one group but have their own slots, and are dealt one
+by one if their group is large; texts of any length count whole; text dimensions are ordered by their whole values'
+ranks; an empty table gives an empty result; missing dimensions are left out; other columns, whatever their names,
+play no part.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.llm.common import fresh, materialise, text_frame
+from evalloom.llm.common import discard, fresh, looked_up, materialise, text_frame
 
 SHARDS = 40
 ROW_BYTES = 16
@@ -50,12 +52,22 @@ class Node:
 
 
 def number(column: Column, kind: T.DataType) -> Column:
-    """A dimension as a number that keeps its order."""
-    if isinstance(kind, T.StringType):
-        return F.coalesce(F.conv(F.rpad(F.hex(F.encode(F.substring(column, 1, 7), "utf-8")), 14, "0").substr(1, 14), 16, 10).cast("double"), F.lit(-1.0))
+    """A dimension that isn't text as a number that keeps its order."""
     if isinstance(kind, (T.DateType, T.TimestampType)):
-        column = column.cast("timestamp").cast("double")
-    return F.coalesce(column.cast("double"), F.lit(None).cast("double"))
+        column = column.cast("timestamp")
+    return column.cast("double")
+
+
+def ranks(rows: DataFrame, key: str) -> DataFrame:
+    """(key, rank, rows) of the different values of a column: its place in their order, and how many rows have it."""
+    values = rows.groupBy(key).agg(F.count("*").alias("rows")).repartitionByRange(key).withColumn("part", F.spark_partition_id())
+    values = materialise(values, "shard-values")
+    parts = values.groupBy("part").agg(F.count("*").alias("n"))
+    before = parts.withColumn("before", F.sum("n").over(Window.partitionBy().orderBy("part")) - F.col("n")).drop("n")
+    ranked = values.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(key))).join(F.broadcast(before), "part")
+    out = materialise(ranked.select(key, (F.col("own") + F.col("before")).cast("double").alias(f"rank_{key}"), "rows"), "shard-ranks")
+    discard(values)
+    return out
 
 
 def split_level(items: DataFrame, dims: int, level: list[Node]) -> DataFrame:
@@ -108,36 +120,47 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     """(id, size, text_crc32, shard, slot) of every row: shards of nearly equal bytes, slots gapless from 0 in each."""
     dims = [d for d in dimensions if d in docs.columns and isinstance(docs.schema[d].dataType, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.BooleanType))]
     text = F.col(text_col)
+    words = [i for i, d in enumerate(dims) if isinstance(docs.schema[d].dataType, T.StringType)]
     meta = docs.select(
         F.col(id_col).alias("id"),
+        F.monotonically_increasing_id().alias("row"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode(text, "utf-8")), F.lit(0)).cast("long").alias("crc"),
         F.xxhash64(text, F.octet_length(text)).alias("h"),
-        *[number(F.col(d), docs.schema[d].dataType).alias(f"d{i}") for i, d in enumerate(dims)],
+        # a null text dimension stands before all others
+        *[F.when(F.col(d).isNull(), "0").otherwise(F.concat(F.lit("1"), d)).alias(f"d{i}") if i in words else number(F.col(d), docs.schema[d].dataType).alias(f"d{i}") for i, d in enumerate(dims)],
     )
     meta = materialise(meta, "shard-rows")
+    if words:
+        n_rows, read, ranked = meta.count(), meta, [ranks(meta, f"d{i}") for i in words]
+        for i, values in zip(words, ranked, strict=True):
+            read = looked_up(read, f"d{i}", values, "rows", n_rows).drop(f"d{i}").withColumnRenamed(f"rank_d{i}", f"d{i}")
+        plain, meta = meta, materialise(read, "shard-rows")
+        discard(plain, *ranked)
     n, total, *ends = meta.agg(F.count("*"), F.sum("size"), *[f(f"d{i}") for i in range(len(dims)) for f in (F.min, F.max)]).first()
     part_bytes = max(1, (total or 0) // (shards * 16))
     groups = meta.groupBy("h").agg(F.sum("size").alias("bytes"))
     # at most 16 for each shard, since each holds more than a 16th of a shard's bytes
     large = groups.where(F.col("bytes") > part_bytes).select("h", F.ceil(F.col("bytes") / part_bytes).cast("int").alias("parts"))
-    dealt = meta.join(F.broadcast(large), "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "crc"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    dealt = meta.join(F.broadcast(large), "h", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     items = dealt.groupBy("h", "part").agg(F.sum("size").alias("w"), F.min(F.struct("id", *[f"d{i}" for i in range(len(dims))])).alias("x"))
     keys = []
     tie = F.shiftrightunsigned(F.xxhash64("h", "part"), 64 - STEPS)
     for i in range(max(1, len(dims))):
         lo, hi = (ends[2 * i], ends[2 * i + 1]) if dims else (None, None)
-        place = F.lit(0) if lo is None or lo == hi else F.coalesce(((F.col(f"x.d{i}") - lo) / (hi - lo) * ((1 << STEPS) - 1)).cast("long"), F.lit(0))
+        place = F.lit(0) if lo is None or lo == hi else F.coalesce(1 + ((F.col(f"x.d{i}") - lo) / (hi - lo) * ((1 << STEPS) - 2)).cast("long"), F.lit(0))
         items = items.withColumn(f"k{i}", F.shiftleft(place.cast("long"), STEPS) + tie)
         keys.append(f"k{i}")
     items = materialise(items.select("h", "part", "w", F.lit(0).alias("node"), *keys), "shard-items")
     level = [Node(0, shards)] if n else []
     while level := [x for x in level if x.shards > 1]:
-        items = split_level(items, len(keys), level)
+        above, items = items, split_level(items, len(keys), level)
+        discard(above)
         level = [half for x in level for half in x.halves()]
     placed = items.select("h", "part", F.col("node").alias("shard"))
-    rows = dealt.join(placed, ["h", "part"]).select("id", "size", "crc", "h", "shard", F.pmod(F.xxhash64("id", "crc"), F.lit(max(1, n // (shards * SLOT_ROWS)))).alias("lot"))
+    rows = dealt.join(placed, ["h", "part"]).select("id", "size", "crc", "h", "shard", F.pmod(F.xxhash64("row"), F.lit(max(1, n // (shards * SLOT_ROWS)))).alias("lot"))
     rows = materialise(rows, "shard-placed")
+    discard(meta, items)
     lots = rows.groupBy("shard", "lot").agg(F.count("*").alias("n"))
     before = lots.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("lot")) - F.col("n")).drop("n")
     slots = rows.withColumn("own", F.row_number().over(Window.partitionBy("shard", "lot").orderBy("id", "h")) - 1).join(before, ["shard", "lot"])

@@ -404,3 +404,65 @@ def test_words_of_a_vocabulary_are_cheap(spark):
     docs = spark.createDataFrame([(1, "token = your_database_password"), (2, "token: Zx9+kQ77pLm2"), (3, None), (4, "")], "doc_id long, secrets string")
     found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in secret_scan.scan(docs, "secrets", "found").collect()}
     assert found == {1: [("assign", 0, 30)], 2: [("assign", 0, 19), ("guess", 7, 19)], 3: [], 4: []}
+
+
+def test_kd_tree_beside_brute_force(spark):
+    rng = np.random.default_rng(6)
+    n, shards = 150, 7
+    a, b = rng.permutation(10_000)[:n], rng.permutation(500)[:n]
+    sizes = rng.integers(5, 400, n)
+    texts = [f"{i:05d}" + "x" * int(s) for i, s in enumerate(sizes)]
+    # sources that share their first 12 characters, so that only whole values tell them apart
+    docs = spark.createDataFrame([(i, t, f"https://host{int(y):03d}", int(x)) for i, (t, x, y) in enumerate(zip(texts, a, b, strict=True))], "doc_id long, text string, source string, n_chars long")
+    found = {r.doc_id: r.shard for r in sharding.shard(docs, shards, dimensions=("source", "n_chars")).collect()}
+
+    def places(v):
+        lo, hi = min(v), max(v)
+        return [1 + int((x - lo) / (hi - lo) * (2**31 - 2)) for x in v]
+
+    keys = [places(np.argsort(np.argsort(b))), places(a)]
+    weight = [len(t) + 16 for t in texts]
+    expected = {}
+
+    def split(items, first, count):
+        if count == 1:
+            expected.update(dict.fromkeys(items, first))
+            return
+        key = max(keys, key=lambda k: max(k[i] for i in items) - min(k[i] for i in items))
+        items = sorted(items, key=lambda i: key[i])
+        sums = np.cumsum([0, *(weight[i] for i in items)])
+        cut = int(np.argmin(abs(sums - sums[-1] * (count // 2) / count)))
+        split(items[:cut], first, count // 2)
+        split(items[cut:], first + count // 2, count - count // 2)
+
+    split(list(range(n)), 0, shards)
+    assert found == expected
+
+
+def test_sharding_contract(spark):
+    texts = plain(spark)
+    out = sharding.query(spark, DATA).toPandas()
+    for r in out.itertuples():
+        raw = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 16, zlib.crc32(raw), "bytes")
+    folder = "/root/testdata/sf0.01"
+    sums = sharding.query(spark, folder).groupBy("shard").agg(F.sum("size").alias("n")).toPandas().n
+    assert len(sums) == 40 and sums.max() <= 1.5 * sums.mean()
+
+
+def test_sharding_defined_cases(spark, odd):
+    out = sharding.shard(odd, 3).toPandas()
+    assert len(out) == odd.count() and set(out.shard) <= {0, 1, 2}
+    assert (out[out.doc_id == 0]["size"] == 16).all() and (out[out.doc_id == 0].text_crc32 == 0).all()
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    copies = spark.createDataFrame([(1, "same text")] * 400, "doc_id long, text string")
+    assert sharding.shard(copies, 4).groupBy("shard").count().toPandas()["count"].between(50, 150).all()
+
+
+def test_shards_are_written(spark, tmp_path):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    sharding.write_shards(docs, str(tmp_path / "shards"), shards=5)
+    out = spark.read.parquet(str(tmp_path / "shards")).toPandas()
+    placed = {r.doc_id: r.shard for r in sharding.shard(docs, 5).collect()}
+    assert {r.doc_id: r.shard for r in out.itertuples()} == placed and {r.doc_id: r.text for r in out.itertuples()} == plain(spark)
