@@ -466,3 +466,44 @@ def test_shards_are_written(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "shards")).toPandas()
     placed = {r.doc_id: r.shard for r in sharding.shard(docs, 5).collect()}
     assert {r.doc_id: r.shard for r in out.itertuples()} == placed and {r.doc_id: r.text for r in out.itertuples()} == plain(spark)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_next_documents_beside_brute_force(spark, kind, monkeypatch):
+    monkeypatch.setattr(merkle, "RANGE_BYTES", 64)
+    name = (lambda i: i) if kind == "long" else (lambda i: f"k{i:04d}")
+    rows = [(name(i), f"text {i} " * 3) for i in range(150)] + [(name(70), f"copy {i}") for i in range(60)] + [(None, f"none {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(7)
+    out = [(r.id, r.text, r.next.text) for r in merkle.with_next(docs, "doc_id", "text", []).collect()]
+    assert sorted(out, key=str) == sorted({(i, t, n) for i, t, n in out}, key=str) and sorted((t for _, t, _ in out)) == sorted(t for _, t in rows)
+    # each document has one next, and all of them make one ring that goes down by id
+    after, of = {t: n for _, t, n in out}, {t: i for i, t in rows}
+    first = "text 149 " * 3
+    ring, at = [first], after[first]
+    while at != first:
+        ring.append(at)
+        at = after[at]
+    assert len(ring) == len(rows)
+    ids = [of[t] for t in ring]
+    known = [i for i in ids if i is not None]
+    assert ids == [*known, *[None] * 40] and known == sorted(known, reverse=True)
+
+
+def test_roots_and_likeness_beside_brute_force(spark):
+    texts = {r.doc_id: (r.text, r.edited_sha256) for r in merkle.query(spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"), "doc_id").collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    pieces = lambda t: {p[i : i + 32] for p in t.split("\n") for i in range(0, len(p), 32)}
+    docs = sorted(((i, t) for i, (t, _) in texts.items()), reverse=True)
+    out = {r.doc_id: r for r in merkle.query(spark, DATA).collect()}
+    for k, (i, t) in enumerate(docs):
+        after = docs[(k + 1) % len(docs)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        root = lambda x: sha(";".join(sha(",".join(sha(p) for p in s.split("\n"))) for s in x.split("\n\n")))
+        assert out[i].fingerprint.split(":")[0] == root(t) and out[i].edited_fingerprint.split(":")[0] == root(edited)
+        dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+        assert abs(out[i].near_edited - dice(pieces(t), pieces(edited))) < 1e-12 and abs(out[i].near_next - dice(pieces(t), pieces(after))) < 1e-12
+
+
+def test_inserted_paragraphs(spark):
+    pair = spark.createDataFrame([("a\nb\n\nc\nd", "a\nnew\nb\n\nc\nd"), ("a\nb", "a\nb"), ("", "x")], "a string, b string")
+    assert [r.n for r in pair.select(merkle.edited_paragraphs(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("n")).collect()] == [1, 0, 1]
