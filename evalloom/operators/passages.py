@@ -38,7 +38,9 @@ def sections(raw: str) -> list[tuple[int, int, str]]:
             start, level = at, len(m[1])
             path = [p for p in path if p[0] < level] + [(level, m[2].strip())]
         at += len(line)
-    return [*out, (start, at, " / ".join(t for _, t in path))] if at > start else out
+    if at > start:
+        out.append((start, at, " / ".join(t for _, t in path)))
+    return [s for s in out if raw[s[0] : s[1]].strip()]
 
 
 def paragraphs(raw: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -106,33 +108,52 @@ def chunked(docs: DataFrame, text: str = "text", strategy: str = "headings", siz
     return docs.withColumn("chunks", chunks(F.col(text)))
 
 
-def holding(items: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
+def holding(items: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, doc, span) of the documents (doc, text) whose text holds an item's whole span.
 
-    Candidates share a run of ``words`` words from inside the span: words with white space on both sides stay words
-    whatever stands around the span. Spans with fewer such words are compared with all documents."""
+    Candidates share three words from inside the span: words with white space on both sides stay words whatever
+    stands around the span. Spans with fewer such words go by their first four characters, shorter ones by the
+    first. Only hashes and ids are joined; texts are fetched for candidates alone. An empty span is held by none."""
     inner = F.split("span", r"\s+")
-    run = F.slice(inner, 2, words)
-    spans = items.select("qid", "span", F.when(F.size(inner) >= words + 2, F.xxhash64(F.array_join(run, " "))).alias("key"))
-    text_words = F.split("text", r"\s+")
-    runs = F.transform(F.sequence(F.lit(1), F.size(text_words) - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(text_words, i, words), " ")))
-    keyed = docs.where(F.size(text_words) >= words).select("doc", F.explode(F.array_distinct(runs)).alias("key"))
-    near = F.broadcast(spans.where("key is not null")).join(keyed, "key").select("qid", "span", "doc").join(docs, "doc")
-    rest = docs.crossJoin(F.broadcast(spans.where("key is null")))
-    return near.select("qid", "doc", "span", "text").unionByName(rest.select("qid", "doc", "span", "text")).where(F.contains(F.col("text"), F.col("span"))).select("qid", "doc", "span").distinct()
+    spans = items.where(F.length("span") > 0).select("qid", "span", inner.alias("w"))
+    long, short = F.size("w") >= 5, F.length("span") >= 4
+    three = lambda w: F.xxhash64(*w)
+    text_words = docs.select("doc", F.split("text", r"\s+").alias("w")).where(F.size("w") >= 3)
+    zipped = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"), F.slice("w", 3, F.size("w")).alias("c"))
+    by_words = text_words.select("doc", F.explode(F.array_distinct(F.transform(zipped, lambda x: three((x["a"], x["b"], x["c"]))))).alias("key"))
+    near = spans.where(long).select("qid", "span", three([F.get("w", F.lit(i)) for i in (1, 2, 3)]).alias("key")).join(by_words, "key")
+
+    def grams_of(n: int) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring(F.col("text"), i, F.lit(n))))
+
+    for wanted, n in ((~long & short, 4), (~long & ~short, 1)):
+        by_grams = docs.where(F.length("text") >= n).select("doc", F.explode(grams_of(n)).alias("key"))
+        near = near.unionByName(spans.where(wanted).select("qid", "span", F.substring("span", 1, n).alias("gram")).join(by_grams.withColumnRenamed("key", "gram"), "gram").select(F.xxhash64("gram").alias("key"), "qid", "span", "doc"))
+    candidates = near.select("qid", "span", "doc").distinct()
+    return candidates.join(docs, "doc").where(F.contains(F.col("text"), F.col("span"))).select("qid", "doc", "span")
+
+
+# The punctuation that doesn't count when texts are compared loosely.
+PUNCTUATION = "#*`>:-—、,，。.；;!！?？()（）[]【】\"'“”‘’"
 
 
 def normalized(text: Column) -> Column:
-    """Lower case without white space and punctuation."""
-    return F.lower(F.regexp_replace(text, r"(?U)[\s\p{Punct}]+", ""))
+    """Lower case without white space and the punctuation above."""
+    return F.lower(F.regexp_replace(text, r"(?U)[\s" + re.escape(PUNCTUATION) + "]+", ""))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def anchored(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, doc, span, level, point) of the chunks that hold an anchor's span, at the first level that finds any:
-    1 in the section's title, 2 in the text, 3 in the normalised text; a blank span is all chunks, level 0."""
+    1 in the section's title, 2 in the text, 3 in the normalised text or title; a blank span is all chunks, level 0."""
     met = anchors.join(chunks, "doc")
-    blank = F.trim("span") == ""
-    level = F.when(blank, 0).when(F.contains(F.col("section"), F.col("span")), 1).when(F.contains(F.col("text"), F.col("span")), 2).when((normalized(F.col("span")) != "") & F.contains(normalized(F.col("text")), normalized(F.col("span"))), 3)
+    span = stripped(F.col("span"))
+    loose = normalized(span)
+    level = F.when(span == "", 0).when(F.contains(F.col("section"), span), 1).when(F.contains(F.col("text"), span), 2).when((loose != "") & (F.contains(normalized(F.col("text")), loose) | F.contains(normalized(F.col("section")), loose)), 3)
     found = met.withColumn("level", level).where("level is not null")
     least = F.min("level").over(Window.partitionBy("qid", "doc", "span"))
     return found.withColumn("_least", least).where("level = _least").select("qid", "doc", "span", "level", "point")
@@ -157,7 +178,7 @@ def first_object(answer: str | None) -> str | None:
         try:
             found, _ = json.JSONDecoder().raw_decode(answer, at)
             return json.dumps(found, ensure_ascii=False, sort_keys=True)
-        except ValueError:
+        except (ValueError, RecursionError):  # the latter of thousands of nested values
             at = answer.find("{", at + 1)
     return None
 

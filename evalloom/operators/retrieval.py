@@ -2,29 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from evalloom.functions.scoring import rounded
+
+#: Points, and queries, that one matrix product takes.
+TILE, BLOCK = 2048, 1024
+DIGITS = 9
+
 
-from evalloom.functions.scoring import cosine, rounded
+def tiles(rows: DataFrame, rows_each: int) -> DataFrame:
+    """(id, vector) as (ids, vectors): runs of rows of one task, their vectors scaled to length 1, as the bytes of a matrix."""
+    kind = rows.schema.fields[0].dataType
 
-#: Queries that are scored against the points together.
-BLOCK = 256
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows_each):
+                part = batch.slice(i, rows_each)
+                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                length = np.linalg.norm(vectors, axis=1, keepdims=True)
+                unit = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([unit.tobytes()], pa.binary())], names=["ids", "vectors"])
 
+    return rows.mapInArrow(packed, T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("vectors", T.BinaryType())]))
 
-def top_k(points: DataFrame, queries: DataFrame, dims: int, k: int | Column, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+
+def top_k(points: DataFrame, queries: DataFrame, dims: int, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(qid, id, score, rank): each query's nearest points by cosine on the first ``dims`` dimensions, itself left out.
 
-    The queries go in blocks; a point meets each block once, and the limit by query is applied before rows
-    are dealt.
+    Points go in tiles and queries in blocks; a tile meets each block once, in one matrix product that keeps
+    the best ``k`` for each query, so that what is dealt by query is k rows a tile. Blocks are copied to as many
+    groups of tiles as there are shuffle partitions, so that no task holds all points. Ids and vectors that are
+    null are left out; a vector of zeros has the score 0; ties go to the smaller id.
     """
+    groups = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = F.slice(F.col(vector), 1, dims).cast("array<double>")
-    asked = queries.select(F.col(id_col).alias("qid"), first.alias("q"))
-    blocks = max(1, -(-asked.count() // BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    met = points.select(id_col, first.alias("p")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    scored = met.join(asked, "block").where(F.col("qid") != F.col(id_col)).select("qid", id_col, rounded(cosine(F.col("q"), F.col("p")), 9).alias("score"))
+    known = (F.col(id_col).isNotNull() & F.col(vector).isNotNull())
+    dealt = tiles(points.where(known).select(id_col, first.alias("v")), TILE).withColumn("part", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(groups)))
+    asked = tiles(queries.where(known).select(id_col, first.alias("v")), BLOCK).select(F.col("ids").alias("qids"), F.col("vectors").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"))
+    kind = points.schema[id_col].dataType
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, data, qids, asked in zip(*batch.columns, strict=True):
+                ids, qids = ids.values, qids.values
+                order = pc.sort_indices(ids)
+                ids, p = ids.take(order), np.frombuffer(data.as_buffer()).reshape(len(ids), -1)[order.to_numpy()]
+                score = np.round(np.frombuffer(asked.as_buffer()).reshape(len(qids), -1) @ p.T, DIGITS)
+                own = pc.index_in(qids, ids).to_numpy(zero_copy_only=False)
+                itself = np.flatnonzero(~np.isnan(own.astype(np.float64)))
+                score[itself, own[itself].astype(np.int64)] = -np.inf
+                least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(qids), -2.0)
+                q, at = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                best = np.lexsort((at, -score[q, at], q))
+                q, at = q[best], at[best]
+                # of ties at the end those with the smallest ids
+                kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, at = q[kept], at[kept]
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), ids.take(pa.array(at)), pa.array(score[q, at])], names=["qid", id_col, "score"])
+
+    pairs = dealt.join(asked, "part").select("ids", "vectors", "qids", "asked")
+    found = pairs.mapInArrow(scored, T.StructType([T.StructField("qid", kind), T.StructField(id_col, kind), T.StructField("score", T.DoubleType())]))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), id_col))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def case_metrics(cases: DataFrame, retrieved: DataFrame, gold: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
