@@ -16,7 +16,7 @@ EXACT = 25
 
 
 def paired(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The cases that both runs have; of repeated cases on the right the last one counts. Missing metrics read 0."""
+    """The cases that both runs have, each with one row a side (``listing.latest`` picks one of several). Missing metrics read 0."""
     side = lambda df, p: df.select("qid", *(F.coalesce(c, F.lit(0.0)).alias(f"{p}_{c}") for c in METRICS), F.col("flags").alias(f"{p}_flags"))
     return side(left, "l").join(side(right, "r"), "qid")
 
@@ -78,7 +78,7 @@ def exact_p(ranked: DataFrame, by: list[str], value: str = "d") -> DataFrame:
     counts = F.aggregate("ranks", start, lambda c, r: F.transform(c, lambda x, i: x + F.when(i >= r, F.get(c, i - r)).otherwise(0.0)))
     tail = F.aggregate(F.slice(counts, 1, F.least(F.col("w2"), total - F.col("w2")).cast("int") + 1), F.lit(0.0), lambda s, x: s + x)
     exact = small.select(*by, "n", (F.col("w2") / 2).alias("w_plus"), rounded(F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), F.col("n")))).alias("p"))
-    large = signed_ranks(ranked, by, value).where(F.col("n") > EXACT).select(*by, "n", "w_plus", rounded(normal_p(F.col("z"))).alias("p"))
+    large = signed_ranks(ranked, by, value).where(F.col("n") > EXACT).select(*by, "n", "w_plus", F.coalesce(rounded(normal_p(F.col("z"))), F.lit(1.0)).alias("p"))
     none = sizes.where("n = 0").select(*by, "n", F.lit(0.0).alias("w_plus"), F.lit(1.0).alias("p"))
     return exact.unionByName(large).unionByName(none)
 

@@ -331,8 +331,12 @@ QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from evalloom.plans import comparisons, evaluation
+
+    return QUERIES | evaluation.Q | comparisons.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.SQL)
+    from evalloom.plans import comparisons, evaluation
+
+    return oracle.SQL | evaluation.SQL | comparisons.SQL
