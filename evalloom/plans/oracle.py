@@ -127,3 +127,23 @@ SQL = {
  select doc_id, case when regexp_matches(c, '[",\\n\\r]') then '"' || replace(c, '"', '""') || '"' else c end cell from s""",
     "hourly_events": "select epoch(date_trunc('hour', ts))::bigint \"start\", event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2",
 }
+
+# p by counting all rank sums up to 25 differences, beyond by the normal distribution, whose error function is a series of positive terms
+WILCOXON = """rk as (select g, d, (2 * rank() over (partition by g order by abs(d)) + count(*) over (partition by g, abs(d)) - 1)::bigint r2 from nz),
+ gr as (select g, count(*) n, list(r2) ranks, coalesce(sum(r2) filter (d > 0), 0)::bigint w2 from rk group by 1), tied as (select g, sum(t * t * t - t) ties from (select g, abs(d) a, count(*) t from nz group by 1, 2) group by 1),
+ dp as (select g, 0 i, list_transform(range(n * (n + 1) + 1), lambda x: case when x = 0 then 1.0::double else 0.0::double end) c, ranks, n, w2 from gr where n <= 25
+ union all select g, i + 1, list_transform(range(len(c)), lambda x: c[x + 1] + case when x >= ranks[i + 1] then c[x - ranks[i + 1] + 1] else 0.0 end), ranks, n, w2 from dp where i < n),
+ exact as (select g, n, w2, round(least(1.0, list_sum(list_filter(c, lambda x, j: abs((j - 1) - n * (n + 1) // 2) >= abs(w2 - n * (n + 1) // 2))) / pow(2, n)), 6) p from dp where i = n),
+ z as (select g, n, w2, round((w2 / 2.0 - n * (n + 1) / 4.0 + case when w2 / 2.0 > n * (n + 1) / 4.0 then -0.5 else 0.5 end) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 6) z from gr join tied using (g) where n > 25),
+ large as (select g, n, w2, round(1 - 2 / sqrt(pi()) * exp(-z * z / 2) * list_sum(list_transform(range(150), lambda i: exp(i * ln(4) + lgamma(i + 1) - lgamma(2 * i + 2) + (2 * i + 1) * ln(abs(z) / sqrt(2))))), 6) p from z)"""
+SQL |= {
+    "wilcoxon_exact": AB.replace("with ", "with recursive ", 1) + ", nz as (select category g, r_recall - l_recall d from pairs where r_recall <> l_recall), " + WILCOXON + """, every as (select * from exact union all select * from large)
+ select category, coalesce(n, 0) n, coalesce(w2, 0) / 2.0 w_plus, coalesce(p, 1.0) p from (select distinct category from pairs) left join every on g = category""",
+    "context_packing": "with " + ranked("r", 64, 5) + ", c as " + CHUNKS.format(step=450) + """, b as (select qid, row_number() over (partition by qid order by rank, idx) i, length(substr(text, s + 1, 500)) n from r join c on c.doc_id = r.vec_id),
+ l as (select qid, list_reduce(list({'used': n, 'ranks': i::varchar} order by i), lambda a, x: case when a.used + x.used + case when a.used > 0 then 2 else 0 end <= 2000 then {'used': a.used + x.used + case when a.used > 0 then 2 else 0 end,
+ 'ranks': a.ranks || case when a.ranks = '' then '' else ',' end || x.ranks} else a end, {'used': 0::bigint, 'ranks': ''}) p from b group by 1) select qid, p.used used, p.ranks ranks from l""",
+    "json_protocol": """with c as (select conv_id, turn, trim(text) t, ['supported', 'unsupported', 'irrelevant', 'odd'][length(text) % 4 + 1] label from conversations)
+ select conv_id, turn, case when t <> '' and label <> 'odd' then '[{"id":1,"text":' || to_json(t)::varchar || ',"label":"' || label || '"}]' end claims, case when t = '' or label = 'odd' then 'bad claim' end error from c""",
+    "point_ids": """with h as (select doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('corpus1:' || doc_id)) h from documents)
+ select doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) point_id from h""",
+}
