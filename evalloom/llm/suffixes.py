@@ -250,13 +250,14 @@ def row_blocks(docs: DataFrame, text_col: str, slice_bytes: int) -> DataFrame:
     return materialise(docs.mapInArrow(pack, "slice_no long, n_bytes long, rows binary"), "suffix-slices")
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, slice_bytes: int = SLICE_BYTES, in_place: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, removed (spans of bytes) and kept (the other bytes, concatenated).
 
-    Columns of these names in ``docs`` are replaced.
+    Columns of these names in ``docs`` are replaced. ``in_place``: ``docs`` with the texts that are left, and no more
+    columns; characters cut apart at a span's edge are left out.
     """
     depths = Depths(length)
-    docs = docs.drop("n_bytes", "n_removed", "removed", "kept")
+    docs = docs if in_place else docs.drop("n_bytes", "n_removed", "removed", "kept")
     base = row_blocks(docs, text_col, slice_bytes)
     text_at = docs.columns.index(text_col)
     total = base.agg(F.sum("n_bytes")).first()[0] or 0
@@ -317,7 +318,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     three = named(with_names(open_names, BLOCKS, one, two), WHOLE, "suffix-merge")
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", span), T.StructField("kept", T.BinaryType())])
+    more = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", span), T.StructField("kept", T.BinaryType())])
+    schema = docs.schema if in_place else T.StructType([*docs.schema.fields, *more.fields])
     arrow_span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(group: pa.Table, found: pa.Table) -> pa.Table:
@@ -337,23 +339,16 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             spans.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
             kept.append(s.data[i:j][~own].tobytes() if len(edges) else s.data[i:j].tobytes())
             gone.append(int(own.sum()))
+        if in_place:
+            texts = rows.column(text_at).to_pylist()
+            texts = [t if t is None or not n else k.decode("utf-8", "ignore") for t, k, n in zip(texts, kept, gone, strict=True)]
+            return rows.set_column(text_at, rows.schema.field(text_at), pa.array(texts, rows.schema.field(text_at).type))
         columns = [*rows.columns, pa.array(s.size.astype(np.int64)), pa.array(gone, pa.int64()), pa.array(spans, arrow_span), pa.array(kept, pa.binary())]
         return pa.table(columns, names=[*rows.column_names, "n_bytes", "n_removed", "removed", "kept"])
 
     return with_names(cut, schema, one, two, three)
 
 
-def kept_text(repeats_removed: DataFrame, text_col: str = "text") -> DataFrame:
-    """The result of ``remove_repeats`` with what was kept as its text; characters cut apart at a span's edge are left out."""
-
-    @F.arrow_udf("string")
-    def decoded(kept: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string())
-
-    text = F.when(F.col(text_col).isNotNull(), F.when(F.col("n_removed") == 0, F.col(text_col)).otherwise(decoded(F.col("kept"))))
-    return repeats_removed.withColumn(text_col, text).drop("n_bytes", "n_removed", "removed", "kept")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(text_frame(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
