@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages of 200 bytes and more that occur elsewhere out of the texts. Null texts stay null; a text that repeats another one whole becomes empty."""
-    return counted(suffixes.kept_text(suffixes.remove_repeats(docs)))
+    return counted(suffixes.remove_repeats(docs, in_place=True))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
