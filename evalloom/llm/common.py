@@ -233,19 +233,23 @@ PRIME = np.uint64((1 << 61) - 1)
 UNREDUCED = 1 << 23
 
 
-def reduced(x: np.ndarray) -> np.ndarray:
-    """Any 64-bit numbers modulo PRIME."""
-    x = (x & PRIME) + (x >> np.uint64(61))
-    return x - PRIME * (x >= PRIME)
+#: Ranges that are hashed at once, so that their numbers stay in a core's cache.
+HASHED = 1 << 14
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo PRIME, but for up to 7 beyond it."""
+    return (x & PRIME) + (x >> np.uint64(61))
 
 
 def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
-    """Products modulo PRIME of numbers below it, by halves of 31 bits."""
+    """Products modulo PRIME of numbers of ``folded``, by halves of 31 bits."""
     low = np.uint64((1 << 31) - 1)
     a1, a0, b1, b0 = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
     middle = a0 * b1 + a1 * b0
-    out = reduced(a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)))
-    return reduced(out + reduced(((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0))
+    # four parts of at most 2^61, 2^32, 2^61 and 2^62
+    out = folded(((a1 * b1) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0)
+    return out - PRIME * (out >= PRIME)
 
 
 def prime_powers(base: int, n: int) -> np.ndarray:
@@ -290,15 +294,22 @@ class RollingHash:
         return low, high
 
     def ranges(self, prefix: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self.grow(len(prefix[0]))
+        out = np.empty(len(start), np.uint64)
+        for i in range(0, len(start), HASHED):
+            out[i : i + HASHED] = self._ranges(prefix, start[i : i + HASHED], end[i : i + HASHED])
+        return out
+
+    def _ranges(self, prefix: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         low, high = prefix
-        self.grow(len(low))
-        total = np.zeros(len(start), np.uint64)
-        for k in range(0, int((end - start).max(initial=0)), UNREDUCED):
-            a = np.minimum(start + k, end)
+        total = np.uint64(0)
+        for k in range(0, max(1, int((end - start).max(initial=0))), UNREDUCED):
+            a = np.minimum(start + k, end) if k else start
             b = np.minimum(a + UNREDUCED, end)
-            h = reduced(high[b] - high[a])
-            h = ((h << np.uint64(31)) & PRIME) | (h >> np.uint64(30))
-            total = reduced(total + reduced(h + reduced(low[b] - low[a])))
+            h = folded(high[b] - high[a])
+            # the high half counts 2^31 times, a rotation of 61 bits
+            h = ((h << np.uint64(31)) & PRIME) + (h >> np.uint64(30))
+            total = folded(total + folded(h + folded(low[b] - low[a])))
         return mix(times(total, self.down[start]))
 
 
