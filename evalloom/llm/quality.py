@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import HASH, materialise, mix, slices, text_frame, utf8, vocabulary_path, words
+from evalloom.llm.common import HASH, looked_up, materialise, mix, slices, text_frame, utf8, vocabulary_path, words
 from evalloom.llm.word_tokens import WordTokens, flattened, kept_in_worker, text_ids
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -224,17 +224,23 @@ def length_bits() -> Column:
 
 
 def in_learned_band(measured: DataFrame, bands: DataFrame, by: str) -> DataFrame:
-    """``measured`` with a column ``in_learned``: whether the measures lie in the closest band there is; true without one."""
-    out = measured.withColumn("_by", F.coalesce(by, F.lit(""))).withColumn("_script", F.col("quality.script")).withColumn("_bits", length_bits())
+    """``measured`` with a column ``in_learned``: whether the measures lie in the closest band there is; true without one.
+
+    The bands are found for each script, ``by`` and length that occur, and then looked up by the rows."""
+    keys = {"_script": F.col("quality.script"), "_by": F.coalesce(by, F.lit("")), "_bits": length_bits()}
+    rows = measured.withColumns(keys).withColumn("_key", F.concat_ws("\x01", *keys))
+    found = rows.groupBy("_key", *keys).agg(F.count("*").alias("_rows"))
     levels = {"_one": ("_script", "_by", "_bits"), "_two": ("_script", "_by"), "_three": ("_script",)}
     names = {"_script": "script", "_by": by, "_bits": "n_bits"}
-    for level, keys in levels.items():
-        own = bands.where(F.col(by).isNotNull() == ("_by" in keys)).where(F.col("n_bits").isNotNull() == ("_bits" in keys))
-        out = out.join(own.select(*(F.col(names[k]).alias(k) for k in keys), F.col("bands").alias(level)), list(keys), "left")
-    band = F.coalesce(*levels)
+    for level, own_keys in levels.items():
+        own = bands.where(F.col(by).isNotNull() == ("_by" in own_keys)).where(F.col("n_bits").isNotNull() == ("_bits" in own_keys))
+        found = found.join(own.select(*(F.col(names[k]).alias(k) for k in own_keys), F.col("bands").alias(level)), list(own_keys), "left")
+    band = F.col("_band")
+    found = materialise(found.select("_key", F.coalesce(*levels).alias("_band"), "_rows"), "quality-bands")
     inside = F.lit(True)
     for c in LEAST_SPREAD:
         inside = inside & F.col(f"quality.{c}").between(band[c]["least"], band[c]["most"])
+    out = looked_up(rows, "_key", found, "_rows", measured.count())
     return out.withColumn("in_learned", F.coalesce(inside, band.isNull())).select(*measured.columns, "in_learned")
 
 
