@@ -39,8 +39,8 @@ def metrics(spark: SparkSession, d: str, dims: int, k: int) -> DataFrame:
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
-    """A claim for each of the first four turns of conversation qid / 10: its label by its length."""
-    turns = table(spark, d, "conversations").where("turn < 4")
+    """A claim for each turn of conversation qid / 10: its label by its length."""
+    turns = table(spark, d, "conversations")
     return turns.select((F.col("conv_id") * 10).alias("qid"), "turn", F.length("text").cast("long").alias("n"))
 
 
@@ -195,8 +195,9 @@ def patches(spark: SparkSession, d: str) -> DataFrame:
 
 def annotation_stats(spark: SparkSession, d: str) -> DataFrame:
     f = flagged(spark, d, 32, 5).select(F.get(F.array(*map(F.lit, ("open", "fixed", "verified", "wontfix"))), (F.expr("qid div 10") % 4).cast("int")).alias("status"), F.coalesce(F.nullif(S.reason(F.col("flags")), F.lit("")), F.lit("unclassified")).alias("reason"))
-    f.createOrReplaceTempView("annotated")
-    return spark.sql("select case when grouping(status) = 0 then 'status' else 'reason' end as kind, coalesce(status, reason) as value, count(*) as n from annotated group by grouping sets ((status), (reason))")
+    kind = F.when(F.grouping("status") == 0, "status").otherwise("reason")
+    counts = f.groupingSets([["status"], ["reason"]], "status", "reason").agg(kind.alias("kind"), F.count("*").alias("n"))
+    return counts.select("kind", F.coalesce("status", "reason").alias("value"), "n")
 
 
 def state_machine(spark: SparkSession, d: str) -> DataFrame:
@@ -218,12 +219,12 @@ def structured(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchors(spark: SparkSession, d: str) -> DataFrame:
-    """Passages of the benchmark (the span the SQL takes) found in the chunks of the documents that hold them."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 120).alias("span"))
+    """Passages of the benchmark found in the chunks of the documents that hold them; chunks overlap by 400 characters, more than the longest passage has."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("span"))
     docs = table(spark, d, "documents").select("doc_id", "text")
     found = passages.holding(items, docs.withColumnRenamed("doc_id", "doc"))
     held = docs.join(found.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    chunks = passages.fixed_chunks(held, 500, 200).select(F.col("doc_id").alias("doc"), F.concat_ws(":", "doc_id", "index").alias("point"), F.lit("").alias("section"), "text")
+    chunks = passages.fixed_chunks(held, 500, 400).select(F.col("doc_id").alias("doc"), F.concat_ws(":", "doc_id", "index").alias("point"), F.lit("").alias("section"), "text")
     return passages.anchored(found, chunks).select("qid", "doc", "point", F.col("level").cast("long").alias("level"))
 
 
@@ -273,7 +274,7 @@ def case_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    snippet = F.nullif(F.trim(F.regexp_replace(F.substring("text", 1, 60), r"[ \n]+", " ")), F.lit(""))
+    snippet = F.nullif(F.trim(F.regexp_replace("text", r"[ \n]+", " ")), F.lit(""))
     return docs.select("doc_id", S.csv_cell(snippet).alias("cell"))
 
 

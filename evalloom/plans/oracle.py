@@ -36,7 +36,7 @@ def run(name: str, dims: int, k: int) -> str:
     return ranked(f"{name}_r", dims, k) + ", " + metric(name, f"{name}_r", k)
 
 
-JUDGED = """claims as (select conv_id * 10 qid, length(text) n from conversations where turn < 4), judged as (select qid, count(*) claims,
+JUDGED = """claims as (select conv_id * 10 qid, length(text) n from conversations), judged as (select qid, count(*) claims,
  count(*) filter (n % 3 = 0) supported, count(*) filter (n % 3 = 1) unsupported, count(*) filter (n % 3 = 2) irrelevant,
  1 + sum(n)::bigint % 5 relevance, 1 + max(n) % 5 helpfulness from claims group by 1)"""
 
@@ -116,14 +116,14 @@ SQL = {
     "state_machine": f"""select {STATES}[event_id % 4 + 1] old, {STATES}[(event_id // 4) % 4 + 1] "new", count(*) n,
  old = "new" or (old || '>' || "new") in ('open>fixed','open>wontfix','fixed>verified','fixed>open','verified>open','wontfix>open') valid from events group by 1, 2""",
     "fixed_chunks": "select doc_id, idx \"index\", s char_start, least(s + 500, length(text)) char_end, substr(text, s + 1, 500) text from " + CHUNKS.format(step=450),
-    "anchor_mapping": "with items as (select item_id qid, substr(text, 1, 120) span from benchmark), found as (select qid, doc_id doc, span, text from items join documents on contains(text, span)), c as " + CHUNKS.format(step=300) + """,
+    "anchor_mapping": "with items as (select item_id qid, text span from benchmark), found as (select qid, doc_id doc, span, text from items join documents on contains(text, span)), c as " + CHUNKS.format(step=100) + """,
  met as (select qid, doc, span, doc || ':' || idx point, case when contains(substr(c.text, s + 1, 500), span) then 2 when contains(lower(regexp_replace(substr(c.text, s + 1, 500), '[\\s[:punct:]]+', '', 'g')), lower(regexp_replace(span, '[\\s[:punct:]]+', '', 'g'))) then 3 end as lvl
  from found join c on c.doc_id = found.doc) select qid, doc, point, lvl::bigint "level" from met qualify lvl = min(lvl) over (partition by qid, doc, span)""",
     "fingerprints": """select doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}') config_hash, substr(sha256(trim(text)), 1, 16) prompt_hash from documents""",
-    "import_report": """with b as (select item_id + 1 line, case when item_id % 7 = 3 then 'q0' else 'q' || item_id end qid, case when item_id % 11 = 6 then 'invalid JSON' when item_id % 5 = 2 or trim(substr(text, 1, 30)) = '' then 'blank question' end error from benchmark),
+    "import_report": """with b as (select item_id + 1 line, case when item_id % 7 = 3 then 'q0' else 'q' || item_id end qid, case when item_id % 11 = 6 then 'invalid JSON' when item_id % 5 = 2 or trim(text) = '' then 'blank question' end error from benchmark),
  f as (select qid, min(line) "first" from b where error is null group by 1) select line, coalesce(error, case when line > "first" then 'duplicate qid' end, 'imported') outcome from b left join f using (qid)""",
     "dataset_case_count": "select c_custkey, (select count(*) from orders where o_custkey = c_custkey) case_count from customer",
-    "report_export_rows": """with s as (select doc_id, nullif(trim(regexp_replace(substr(text, 1, 60), '[ \\n]+', ' ', 'g')), '') c from documents)
+    "report_export_rows": """with s as (select doc_id, nullif(trim(regexp_replace(text, '[ \\n]+', ' ', 'g')), '') c from documents)
  select doc_id, case when regexp_matches(c, '[",\\n\\r]') then '"' || replace(c, '"', '""') || '"' else c end cell from s""",
     "hourly_events": "select epoch(date_trunc('hour', ts))::bigint \"start\", event_type, count(*) n, round(sum(value), 2) total from events group by 1, 2",
 }
