@@ -272,3 +272,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(text_frame(spark, sf_dir, "doc_id", "text"), words=2)
     return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: The same result from all pairs that share one of the rarest shingles, without hashes of sets.
+SQL = r"""WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS shingles FROM d),
+sized AS (SELECT doc_id, len(shingles) AS n, shingles FROM s),
+members AS (SELECT doc_id, n, unnest(shingles) AS shingle FROM sized),
+numbered AS (SELECT doc_id, n, dense_rank() OVER (ORDER BY shingle) AS shingle FROM members),
+counted AS (SELECT *, count(*) OVER (PARTITION BY shingle) AS freq FROM numbered),
+-- two sets at 0.8 share a shingle among the rarest n - ceil(0.8 n) + 1 of either
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY freq, shingle) AS place FROM counted),
+rare AS (SELECT doc_id, n, shingle FROM placed WHERE place <= n - ((80 * n + 99) // 100) + 1),
+candidates AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM rare a JOIN rare b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+links AS (
+  SELECT c.a, c.b FROM candidates c JOIN numbered x ON x.doc_id = c.a JOIN numbered y ON y.doc_id = c.b AND y.shingle = x.shingle
+  GROUP BY c.a, c.b, c.na, c.nb HAVING 100 * count(*) >= 80 * (c.na + c.nb - count(*))),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a),
+least_id AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN least_id USING (doc_id)"""

@@ -352,3 +352,19 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(text_frame(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same result from all strings of 200 bytes, by hexadecimal digits.
+SQL = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+sized AS (SELECT doc_id, x, len(x) // 2 AS n FROM h),
+starts AS (SELECT doc_id, x, unnest(range(0, n - 199)) AS p FROM sized WHERE n >= 200),
+windows AS (SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 400)) AS name FROM starts),
+repeated AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY name) AS c FROM windows) WHERE c > 1),
+marked AS (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 1 ELSE 0 END AS opens FROM repeated),
+numbered AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(p) AS b, max(p) + 200 AS e FROM numbered GROUP BY doc_id, run),
+ordered AS (SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS before FROM runs),
+removed AS (SELECT doc_id, count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS last_end, array_agg(before ORDER BY b) AS f, array_agg(b ORDER BY b) AS t FROM ordered GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE list_aggregate(list_transform(range(1, len(f) + 1), lambda i: substr(x, 2 * f[i] + 1, 2 * (t[i] - f[i]))), 'string_agg', '') || substr(x, 2 * last_end + 1) END)) AS kept_sha256
+FROM sized LEFT JOIN removed USING (doc_id)"""

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -507,3 +508,12 @@ def test_roots_and_likeness_beside_brute_force(spark):
 def test_inserted_paragraphs(spark):
     pair = spark.createDataFrame([("a\nb\n\nc\nd", "a\nnew\nb\n\nc\nd"), ("a\nb", "a\nb"), ("", "x")], "a string, b string")
     assert [r.n for r in pair.select(merkle.edited_paragraphs(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("n")).collect()] == [1, 0, 1]
+
+
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    expected = con.sql(catalog.oracle_sql()[name])
+    got = catalog.queries()[name](spark, DATA).select(*expected.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(expected.fetchall())
