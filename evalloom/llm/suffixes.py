@@ -17,8 +17,9 @@ sampled place within v - 1 steps.
 Every sort moves one sorted block of 64-bit fingerprints for each slice of text and range of fingerprints. A
 fingerprint that a slice holds often is sent twice at most, so that a passage which a third of all documents
 share puts two numbers for each slice into its range. A bit for each fingerprint comes back. Ranges are as many as the corpus needs to keep each
-within ``RANGE_BYTES``. Fingerprints of 64 bits decide; among n suffixes that get to one sort a false match
-comes with probability n^2 / 2^65.
+within ``RANGE_BYTES``. Names that decide are a fingerprint modulo 2^61 - 1 and 32 bits of a second one modulo 2^64
+with another base; among n suffixes that get to one sort a false match comes with probability n^2 / 2^94. The
+tuples of step 1 only decide what is looked at again, and go without the second.
 
 Defined cases: null texts are empty; documents shorter than ``length`` and empty ones lose nothing; repeated
 rows are different documents, so that both lose all they have if long enough; matches may overlap and may lie
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.llm.common import HASH, bounded_batches, materialise, slices, text_frame, utf8
+from evalloom.llm.common import HASH, bounded_batches, materialise, mix, powers, slices, text_frame, utf8
 from evalloom.llm.word_tokens import give_back, ragged
 
 LENGTH = 200
@@ -55,6 +57,10 @@ COVERS = {
 }
 #: Levels of names: of tuples, at the larger depth, at the asked depth, and those at the larger depth that a slice leads.
 TUPLES, LONG, WHOLE, LED = range(4)
+#: The base of the second fingerprint. Two texts under 1,024 bytes can't have one by the structure of powers of two alone.
+BASE = 0x9E3779B97F4A7C15
+#: Fingerprints and, beside each, 32 bits of its second one.
+Names = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -93,24 +99,35 @@ class Slice:
         self.sampled = self.place + np.repeat(self.offsets[:-1], count)
         self.end = np.repeat(self.offsets[1:], count)
 
-    def hashes(self, at: np.ndarray, depth: int) -> np.ndarray:
-        return HASH.ranges(self.prefix, at, at + depth)
-
-    def repeated_samples(self, names: np.ndarray) -> np.ndarray:
+    @cached_property
+    def second(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sums up to each byte of its code times its power, and what takes the power out again."""
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(self.data)), dtype=np.uint64, out=sums[1:])
+        return sums, powers(pow(BASE, -1, 1 << 64), len(self.data))
+
+    def names(self, at: np.ndarray, depth: int) -> Names:
+        values = HASH.ranges(self.prefix, at, at + depth)
+        if depth < self.depths.length or not len(at):
+            return values, np.zeros(len(at), np.uint32)
+        sums, down = self.second
+        return values, (mix((sums[at + depth] - sums[at]) * down[at]) >> np.uint64(32)).astype(np.uint32)
+
+    def repeated_samples(self, names: Names) -> np.ndarray:
         """Which samples' tuples have one of the names."""
-        return np.flatnonzero(among(self.hashes(self.sampled, self.depths.tuple), names))
+        return np.flatnonzero(among(self.names(self.sampled, self.depths.tuple), names))
 
-    def long_samples(self, names: np.ndarray) -> np.ndarray:
+    def long_samples(self, names: Names) -> np.ndarray:
         which = self.repeated_samples(names)
         at = self.sampled[which]
         return at[self.end[which] - at >= self.depths.long]
 
-    def settled(self, long_samples: np.ndarray, long_names: np.ndarray) -> np.ndarray:
+    def settled(self, long_samples: np.ndarray, long_names: Names) -> np.ndarray:
         """Which suffixes step 2 shows to be repeated (given the names that the slice leads: which it stands for)."""
-        at = long_samples[among(self.hashes(long_samples, self.depths.long), long_names)]
+        at = long_samples[among(self.names(long_samples, self.depths.long), long_names)]
         return marked(at, at + self.depths.period + 1, len(self.data))
 
-    def open(self, names: np.ndarray, settled: np.ndarray) -> np.ndarray:
+    def open(self, names: Names, settled: np.ndarray) -> np.ndarray:
         """The suffixes that step 1 leaves and step 2 doesn't settle."""
         which = self.repeated_samples(names)
         at = self.sampled[which]
@@ -120,13 +137,53 @@ class Slice:
         return np.flatnonzero(marked(first[some], last[some] + 1, len(self.data)) & ~settled)
 
 
-def among(values: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Which values are in the sorted array ``names``."""
-    if not len(names):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(names, values)
-    at[at == len(names)] = 0
-    return names[at] == values
+def places(values: Names, names: Names) -> np.ndarray:
+    """Where each value is in the ordered ``names``; -1 where it isn't."""
+    if not len(names[0]):
+        return np.full(len(values[0]), -1)
+    at = np.searchsorted(names[0], values[0])
+    at[at == len(names[0])] = 0
+    like = names[0][at] == values[0]
+    out = np.where(like & (names[1][at] == values[1]), at, -1)
+    left = np.flatnonzero(like & (out < 0))
+    while len(left):  # names may share a fingerprint and differ in the second
+        at[left] += 1
+        left = left[at[left] < len(names[0])]
+        left = left[names[0][at[left]] == values[0][left]]
+        hit = names[1][at[left]] == values[1][left]
+        out[left[hit]] = at[left[hit]]
+        left = left[~hit]
+    return out
+
+
+def among(values: Names, names: Names) -> np.ndarray:
+    """Which values are in the ordered ``names``."""
+    return places(values, names) >= 0
+
+
+def taken(names: Names, which: np.ndarray | slice) -> Names:
+    return names[0][which], names[1][which]
+
+
+def joined(parts: list[Names]) -> Names:
+    return np.concatenate([np.empty(0, np.uint64), *(p[0] for p in parts)]), np.concatenate([np.empty(0, np.uint32), *(p[1] for p in parts)])
+
+
+def ordered(names: Names) -> Names:
+    out = taken(names, np.argsort(names[0]))
+    if ((out[0][1:] == out[0][:-1]) & (out[1][1:] < out[1][:-1])).any():
+        out = taken(names, np.lexsort(names[::-1]))
+    return out
+
+
+def equal(names: Names, apart: int) -> np.ndarray:
+    """Of ordered names from the one numbered ``apart`` on, which are equal to the one so far before."""
+    return (names[0][apart:] == names[0][:-apart]) & (names[1][apart:] == names[1][:-apart])
+
+
+def distinct(names: Names) -> Names:
+    """Ordered names, each once."""
+    return taken(names, np.append(np.ones(min(1, len(names[0])), bool), ~equal(names, 1)))
 
 
 def marked(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -142,14 +199,12 @@ def marked(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def at_most_twice(values: np.ndarray) -> np.ndarray:
-    """Sorted, each value twice at most."""
-    values = np.sort(values)
-    if len(values) < 3:
-        return values
-    keep = np.ones(len(values), bool)
-    keep[2:] = values[2:] != values[:-2]
-    return values[keep]
+def at_most_twice(names: Names) -> Names:
+    """Ordered, each name twice at most."""
+    names = ordered(names)
+    keep = np.ones(len(names[0]), bool)
+    keep[2:] = ~equal(names, 2)
+    return taken(names, keep)
 
 
 def cuts(values: np.ndarray, ranges: int) -> list[int]:
@@ -158,25 +213,25 @@ def cuts(values: np.ndarray, ranges: int) -> list[int]:
     return [0, *np.searchsorted(values, edges).tolist(), len(values)]
 
 
-def blocks(slice_no: int, values: np.ndarray, ranges: int) -> Iterator[tuple[int, int, bytes]]:
+def blocks(slice_no: int, names: Names, ranges: int) -> Iterator[tuple[int, int, bytes]]:
     """A sorted block of fingerprints for each range of them."""
-    values = at_most_twice(values)
-    at = cuts(values, ranges)
+    names = at_most_twice(names)
+    at = cuts(names[0], ranges)
     for r in range(ranges):
         if at[r] < at[r + 1]:
-            yield r, slice_no, wire(values[at[r] : at[r + 1]])
+            yield r, slice_no, wire(taken(names, slice(at[r], at[r + 1])))
 
 
-def named_of(sent: np.ndarray, found: pa.Table, level: int, ranges: int) -> np.ndarray:
-    """Of the fingerprints that a slice sent, those whose bits came back; sorted, each once."""
-    values = at_most_twice(sent)
-    at = cuts(values, ranges)
-    out = [np.empty(0, np.uint64)]
+def named_of(sent: Names, found: pa.Table, level: int, ranges: int) -> Names:
+    """Of the names that a slice sent, those whose bits came back; ordered, each once."""
+    names = at_most_twice(sent)
+    at = cuts(names[0], ranges)
+    out = []
     for own, r, bits in zip(found.column("level").to_pylist(), found.column("range_no").to_pylist(), found.column("bits"), strict=True):
         if own == level:
-            part = values[at[r] : at[r + 1]]
-            out.append(part[np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(part)).astype(bool)])
-    return np.unique(np.concatenate(out))
+            part = taken(names, slice(at[r], at[r + 1]))
+            out.append(taken(part, np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(part[0])).astype(bool)))
+    return distinct(ordered(joined(out)))
 
 
 BLOCKS = T.StructType([T.StructField("range_no", T.IntegerType()), T.StructField("slice_no", T.LongType()), T.StructField("names", T.BinaryType())])
@@ -191,18 +246,19 @@ def table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 def named(sent: DataFrame, level: int, name: str) -> DataFrame:
-    """For each slice's block, a bit for each fingerprint: whether it occurs twice or more anywhere."""
+    """For each slice's block, a bit for each name: whether it occurs twice or more anywhere."""
 
     def compare(group: pa.Table) -> pa.Table:
         parts = [unwire(x.as_py()) for x in group.column("names")]
-        both = np.sort(np.concatenate(parts))
-        names = np.unique(both[1:][both[1:] == both[:-1]])
-        rows, led = [], np.zeros(len(names), bool)
+        both = ordered(joined(parts))
+        names = distinct(taken(taken(both, slice(1, None)), equal(both, 1)))
+        rows, led = [], np.zeros(len(names[0]), bool)
         range_no = group.column("range_no")[0].as_py()
         for slice_no, part in zip(group.column("slice_no").to_pylist(), parts, strict=True):
-            if (hit := among(part, names)).any():
+            at = places(part, names)
+            if (hit := at >= 0).any():
                 rows.append((slice_no, level, range_no, np.packbits(hit).tobytes()))
-                at = np.searchsorted(names, part[hit])
+                at = at[hit]
                 if level == LONG and not led[at].all():
                     first = hit.copy()
                     first[hit] = ~led[at]
@@ -213,13 +269,15 @@ def named(sent: DataFrame, level: int, name: str) -> DataFrame:
     return materialise(sent.groupBy("range_no").applyInArrow(compare, BITS), name)
 
 
-def wire(values: np.ndarray) -> bytes:
-    """Sorted numbers as the bytes of their differences, the first byte of each first: high ones are zeros that compress."""
-    return np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+def wire(names: Names) -> bytes:
+    """Ordered fingerprints as the bytes of their differences, the first byte of each first: high ones are zeros that compress. The second ones follow."""
+    return np.diff(names[0], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + names[1].tobytes()
 
 
-def unwire(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+def unwire(raw: bytes) -> Names:
+    n = len(raw) // 12
+    steps = np.frombuffer(raw, np.uint8, 8 * n).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(raw, np.uint32, n, 8 * n)
 
 
 def row_blocks(docs: DataFrame, text_col: str, slice_bytes: int) -> DataFrame:
@@ -276,11 +334,11 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         for batch in batches:
             for number, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = slice_of(rows_of(block))
-                yield from table(list(blocks(number, s.hashes(s.sampled, depths.tuple), ranges)), ARROW_BLOCKS).to_batches()
+                yield from table(list(blocks(number, s.names(s.sampled, depths.tuple), ranges)), ARROW_BLOCKS).to_batches()
 
-    def known(s: Slice, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def known(s: Slice, found: pa.Table) -> tuple[Names, np.ndarray]:
         """The tuples that occur again, and the samples that are compared at the larger depth."""
-        tuples = named_of(s.hashes(s.sampled, depths.tuple), found, TUPLES, ranges)
+        tuples = named_of(s.names(s.sampled, depths.tuple), found, TUPLES, ranges)
         return tuples, s.long_samples(tuples)
 
     def long_names(group: pa.Table, found: pa.Table) -> pa.Table:
@@ -288,12 +346,12 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             return table([], ARROW_BLOCKS)
         s = slice_of(rows_of(group.column(1)[0]))
         _, long_samples = known(s, found)
-        return table(list(blocks(group.column(0)[0].as_py(), s.hashes(long_samples, depths.long), ranges)), ARROW_BLOCKS)
+        return table(list(blocks(group.column(0)[0].as_py(), s.names(long_samples, depths.long), ranges)), ARROW_BLOCKS)
 
     def merged(s: Slice, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What step 2 settles, the suffixes it leaves open, and the settled ones that the slice leads."""
         tuples, long_samples = known(s, found)
-        sent = s.hashes(long_samples, depths.long)
+        sent = s.names(long_samples, depths.long)
         settled = s.settled(long_samples, named_of(sent, found, LONG, ranges))
         led = s.settled(long_samples, named_of(sent, found, LED, ranges))
         return settled, s.open(tuples, settled), np.flatnonzero(led)
@@ -303,7 +361,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
             return table([], ARROW_BLOCKS)
         s = slice_of(rows_of(group.column(1)[0]))
         at = np.concatenate(merged(s, found)[1:])
-        return table(list(blocks(group.column(0)[0].as_py(), s.hashes(at, length), ranges)), ARROW_BLOCKS)
+        return table(list(blocks(group.column(0)[0].as_py(), s.names(at, length), ranges)), ARROW_BLOCKS)
 
     keyed = base.select("slice_no", "rows")
 
@@ -329,8 +387,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         removed = np.zeros(n, bool)
         if found.num_rows:
             settled, at, led = merged(s, found)
-            again = named_of(s.hashes(np.concatenate([at, led]), length), found, WHOLE, ranges)
-            start = np.concatenate([np.flatnonzero(settled), at[among(s.hashes(at, length), again)]])
+            again = named_of(s.names(np.concatenate([at, led]), length), found, WHOLE, ranges)
+            start = np.concatenate([np.flatnonzero(settled), at[among(s.names(at, length), again)]])
             removed = marked(start, start + length, n)
         spans, kept, gone = [], [], []
         for i, j in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True):

@@ -517,3 +517,18 @@ def test_query_equals_sql(spark, name):
     expected = con.sql(catalog.oracle_sql()[name])
     got = catalog.queries()[name](spark, DATA).select(*expected.columns)
     assert sorted(map(tuple, got.collect())) == sorted(expected.fetchall())
+
+
+def test_names_that_share_a_fingerprint():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 300):
+        names = rng.integers(0, 9, n).astype(np.uint64), rng.integers(0, 5, n).astype(np.uint32)
+        pairs = sorted(zip(*(x.tolist() for x in names), strict=True))
+        assert list(zip(*(x.tolist() for x in suffixes.ordered(names)), strict=True)) == pairs
+        assert suffixes.unwire(suffixes.wire(suffixes.ordered(names)))[1].tolist() == [c for _, c in pairs]
+        twice = [p for i, p in enumerate(pairs) if pairs[max(0, i - 2) : i] != [p, p]]
+        assert list(zip(*(x.tolist() for x in suffixes.at_most_twice(names)), strict=True)) == twice
+        once = suffixes.distinct(suffixes.ordered(suffixes.taken(names, slice(0, n, 2))))
+        half = set(zip(*(x[::2].tolist() for x in names), strict=True))
+        assert len(once[0]) == len(half)
+        assert suffixes.among(names, once).tolist() == [p in half for p in zip(*(x.tolist() for x in names), strict=True)]
