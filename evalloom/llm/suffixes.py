@@ -17,8 +17,8 @@ sampled place within v - 1 steps.
 Every sort moves one sorted block of 64-bit fingerprints for each slice of text and range of fingerprints. A
 fingerprint that a slice holds often is sent twice at most, so that a passage which a third of all documents
 share puts two numbers for each slice into its range. A bit for each fingerprint comes back. Ranges are as many as the corpus needs to keep each
-within ``RANGE_BYTES``. Names that decide are a fingerprint modulo 2^61 - 1 and 32 bits of a second one modulo 2^64
-with another base; among n suffixes that get to one sort a false match comes with probability n^2 / 2^94. The
+within ``RANGE_BYTES``. Names that decide are a fingerprint modulo 2^61 - 1 and 24 bits of a second one modulo 2^64
+with another base; among n suffixes that get to one sort a false match comes with probability n^2 / 2^86. The
 tuples of step 1 only decide what is looked at again, and go without the second.
 
 Defined cases: null texts are empty; documents shorter than ``length`` and empty ones lose nothing; repeated
@@ -59,7 +59,7 @@ COVERS = {
 TUPLES, LONG, WHOLE, LED = range(4)
 #: The base of the second fingerprint. Two texts under 1,024 bytes can't have one by the structure of powers of two alone.
 BASE = 0x9E3779B97F4A7C15
-#: Fingerprints and, beside each, 32 bits of its second one.
+#: Fingerprints and, beside each, 24 bits of its second one.
 Names = tuple[np.ndarray, np.ndarray]
 
 
@@ -111,7 +111,7 @@ class Slice:
         if depth < self.depths.length or not len(at):
             return values, np.zeros(len(at), np.uint32)
         sums, down = self.second
-        return values, (mix((sums[at + depth] - sums[at]) * down[at]) >> np.uint64(32)).astype(np.uint32)
+        return values, (mix((sums[at + depth] - sums[at]) * down[at]) >> np.uint64(40)).astype(np.uint32)
 
     def repeated_samples(self, names: Names) -> np.ndarray:
         """Which samples' tuples have one of the names."""
@@ -271,13 +271,14 @@ def named(sent: DataFrame, level: int, name: str) -> DataFrame:
 
 def wire(names: Names) -> bytes:
     """Ordered fingerprints as the bytes of their differences, the first byte of each first: high ones are zeros that compress. The second ones follow."""
-    return np.diff(names[0], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + names[1].tobytes()
+    return np.diff(names[0], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + names[1].view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
 def unwire(raw: bytes) -> Names:
-    n = len(raw) // 12
-    steps = np.frombuffer(raw, np.uint8, 8 * n).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64), np.frombuffer(raw, np.uint32, n, 8 * n)
+    n = len(raw) // 11
+    steps, second = np.frombuffer(raw, np.uint8, 8 * n).reshape(8, -1), np.zeros((n, 4), np.uint8)
+    second[:, :3] = np.frombuffer(raw, np.uint8, 3 * n, 8 * n).reshape(-1, 3)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64), second.view(np.uint32).ravel()
 
 
 def row_blocks(docs: DataFrame, text_col: str, slice_bytes: int) -> DataFrame:
