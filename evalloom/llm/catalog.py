@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalloom.llm import langid, merkle, minhash, packing, pii, quality, secret_scan, sentencepieces, sharding, suffixes
+from evalloom.llm import inner_products, langid, manifest, merkle, minhash, packing, pii, quality, secret_scan, sentencepieces, sharding, suffixes, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": packing.query,
         "op9_language_id": langid.query,
         "op10_minhash_dedup": minhash.query,
+        "op11_whitening": whitening.query,
+        "op12_merkle_manifest": manifest.query,
+        "op13_exact_top_k": inner_products.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_suffix_dedup": suffixes.SQL, "op10_minhash_dedup": minhash.SQL}
+    return {"op4_suffix_dedup": suffixes.SQL, "op10_minhash_dedup": minhash.SQL, "op12_merkle_manifest": manifest.SQL, "op13_exact_top_k": inner_products.SQL}
