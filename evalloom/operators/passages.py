@@ -171,15 +171,69 @@ def context(ranked: Column, budget: int, separator: int = 2) -> Column:
     return F.aggregate(ranked, start, step)
 
 
+TOKEN = re.compile(r'''[ \t\n\r]*(?:(?P<string>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<value>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|-?Infinity|NaN|true|false|null)|(?P<mark>[][{}:,]))''', re.ASCII)
+#: Deepest nesting of an object that counts.
+NESTING = 500
+# what may come next: inside a list or an object after its start, a comma, a key or a colon, and after a value
+FOLLOWS = {"[": {"value", "]"}, "[,": {"value"}, "{": {"key", "}"}, "{,": {"key"}, "{key": {":"}, "{:": {"value"}, "[value": {",", "]"}, "{value": {",", "}"}}
+
+
+def whole_objects(text: str, start: int) -> tuple[list[tuple[int, int]], list[int], int]:
+    """Reads JSON from a brace until it ends or breaks: the (start, end) of the objects that are whole by then, the
+    braces inside strings, and the place where reading ended. One pass, whatever the nesting."""
+    stack: list[list] = []  # kind, start, deepest nesting inside, what came last
+    done, hidden, at = [], [], start
+    while m := TOKEN.match(text, at):
+        kind, mark = m.lastgroup, m["mark"]
+        allowed = FOLLOWS[stack[-1][0] + stack[-1][3]] if stack else {"value"}
+        if kind == "mark" and mark in "]}":
+            if mark not in allowed:
+                break
+            opened, begun, deep, _ = stack.pop()
+            if opened == "{" and deep < NESTING:
+                done.append((begun, m.end()))
+            if not stack:
+                at = m.end()
+                break
+            stack[-1][2] = max(stack[-1][2], deep + 1)
+            stack[-1][3] = "value"
+        elif kind == "mark" and mark in ",:":
+            if mark not in allowed:
+                break
+            stack[-1][3] = mark
+        elif kind == "mark":
+            if "value" not in allowed:
+                break
+            stack.append([mark, m.start("mark"), 0, ""])
+        elif kind == "string" and "key" in allowed:
+            stack[-1][3] = "key"
+        elif "value" in allowed and stack:
+            stack[-1][3] = "value"
+        else:
+            break
+        if kind == "string":
+            hidden += [m.start("string") + i for i in range(len(m["string"])) if m["string"][i] == "{"] if "{" in m["string"] else []
+        at = m.end()
+    return done, hidden, at
+
+
 def first_object(answer: str | None) -> str | None:
-    """The first balanced object in a text that parses, as JSON."""
-    at = (answer or "").find("{")
+    """The first object in a text that is whole, as JSON. Where reading from a brace breaks, objects inside that were
+    whole before count, and no brace that was open then is tried again; those inside strings are."""
+    text = answer or ""
+    at = text.find("{")
     while at >= 0:
-        try:
-            found, _ = json.JSONDecoder().raw_decode(answer, at)
-            return json.dumps(found, ensure_ascii=False, sort_keys=True)
-        except (ValueError, RecursionError):  # the latter of thousands of nested values
-            at = answer.find("{", at + 1)
+        done, hidden, end = whole_objects(text, at)
+        first = min(done, default=None)
+        before = [h for h in hidden if first is None or h < first[0]]
+        for h in before:
+            inside, _, _ = whole_objects(text, h)
+            if found := [d for d in inside if d[0] == h]:
+                first = found[0]
+                break
+        if first:
+            return json.dumps(json.loads(text[slice(*first)]), ensure_ascii=False, sort_keys=True)
+        at = text.find("{", max(end, at + 1))
     return None
 
 

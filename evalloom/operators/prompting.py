@@ -54,16 +54,28 @@ def collection_name(corpus: Column, chunking_hash: Column) -> Column:
 def split_template(raw: str) -> dict[str, str]:
     """The sections of a template by name; what stands before the first marker is a comment."""
     marks = list(SECTION.finditer(raw))
-    return {m[1]: raw[m.end() : after.start() if after else len(raw)] for m, after in zip(marks, [*marks[1:], None], strict=True)}
+    return {m[1]: raw[m.end() : after.start() if after else len(raw)] for m, after in zip(marks, [*marks, None][1:], strict=True)}
 
 
-def rendered(template: str, **values: Column) -> Column:
-    """A template with its placeholders replaced in one pass; braces around anything else stay."""
-    used = [m for m in re.findall(r"\{([a-zA-Z_]\w*)\}", template, re.ASCII) if m in PLACEHOLDERS]
-    if unknown := set(values) - set(used):
-        raise ValueError(f"not in the template: {sorted(unknown)}")
-    if missing := {"contexts", "question"} & set(used) - set(values):
-        raise ValueError(f"no value for: {sorted(missing)}")
+def checked_placeholders(template: str, required: tuple[str, ...]) -> list[str]:
+    """The placeholders that a template uses. Unknown ones are an error, as are required ones that it lacks."""
+    used = list(dict.fromkeys(re.findall(r"\{([a-zA-Z_]\w*)\}", template, re.ASCII)))
+    if unknown := sorted(set(used) - set(PLACEHOLDERS)):
+        raise ValueError(f"unknown placeholders: {unknown}")
+    if missing := [name for name in required if name not in used]:
+        raise ValueError(f"the template lacks: {missing}")
+    return used
+
+
+def rendered(template: str, required: tuple[str, ...] = ("contexts", "question"), **values: Column) -> Column:
+    """A template with its placeholders replaced in one pass; braces around anything but a name stay.
+
+    A value that the template doesn't use is an error, and so is a required one that isn't given."""
+    used = checked_placeholders(template, required)
+    if unknown := sorted(set(values) - set(used)):
+        raise ValueError(f"not in the template: {unknown}")
+    if missing := [name for name in required if name not in values]:
+        raise ValueError(f"no value for: {missing}")
     parts = re.split("({(?:" + "|".join(PLACEHOLDERS) + ")})", template)
     return F.concat(*(values[p[1:-1]] if p[1:-1] in values and p[:1] == "{" else F.lit(p) for p in parts))
 

@@ -331,13 +331,16 @@ QUERIES: dict[str, Query] = {
 }
 
 
-def queries() -> dict[str, Query]:
-    from evalloom.plans import comparisons, evaluation
+def parts() -> list:
+    """The modules that have more queries (``Q``) and their SQL."""
+    from evalloom.plans import comparisons, evaluation, judged
 
-    return QUERIES | evaluation.Q | comparisons.Q
+    return [evaluation, comparisons, judged]
 
 
-def oracle_sql() -> dict[str, str]:
-    from evalloom.plans import comparisons, evaluation
+def queries() -> dict[str, Query]:
+    return QUERIES | {name: make for part in parts() for name, make in part.Q.items()}
 
-    return oracle.SQL | evaluation.SQL | comparisons.SQL
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.SQL | {name: sql for part in parts() for name, sql in part.SQL.items()}

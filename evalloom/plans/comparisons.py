@@ -267,10 +267,10 @@ def contexts_packed(s: SparkSession, d: str) -> DataFrame:
     return hits.select("qid", P.context_bundle(F.col("hits"), 3000).alias("c")).select("qid", F.sha2("c.text", 256).alias("text"), F.col("c.chars").cast("long").alias("chars"))
 
 
-TEMPLATE = "Use {contexts} and {\"json\": {x}}.\nQ: {question}"
+TEMPLATE = "Use {contexts} and {\"json\": {\"x\": 1}}.\nQ: {question}"
 
 
-@query("prompts_rendered", """select item_id, 'Use c' || item_id || ' {question} and {"json": {x}}.' || chr(10) || 'Q: ' || text prompt, substr(sha256('{"system":"s","user":' || to_json(trim(text))::varchar || '}'), 1, 16) prompt_hash,
+@query("prompts_rendered", """select item_id, 'Use c' || item_id || ' {question} and {"json": {"x": 1}}.' || chr(10) || 'Q: ' || text prompt, substr(sha256('{"system":"s","user":' || to_json(trim(text))::varchar || '}'), 1, 16) prompt_hash,
  sha256('{"model":"m","payload":{"answer":' || to_json(text)::varchar || ',"k":' || item_id || '},"prompt_hash":"p","stage":"claims"}') cache_key, 'corpus' || item_id || '_5f45e034' collection from benchmark""")
 def prompts_rendered(s: SparkSession, d: str) -> DataFrame:
     i, t = F.col("item_id"), F.col("text")
