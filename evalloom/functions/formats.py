@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 NONE = "—"
 
 
+def shown(value: Column, text: Column) -> Column:
+    """The text of a value that is there; formatting a null wouldn't give null."""
+    return F.when(value.isNotNull(), text).otherwise(NONE)
+
+
 def percent(value: Column, digits: int = 1) -> Column:
     """0.9138 as 91.4%."""
-    return F.coalesce(F.format_string(f"%.{digits}f%%", value * 100), F.lit(NONE))
+    return shown(value, F.format_string(f"%.{digits}f%%", value * 100))
 
 
 def score(value: Column, digits: int = 3) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit(NONE))
+    return shown(value, F.format_string(f"%.{digits}f", value))
 
 
 def points(delta: Column, digits: int = 1) -> Column:
     """0.275 as +27.5pp."""
-    return F.coalesce(F.concat(F.when(delta > 0, "+").otherwise(""), F.format_string(f"%.{digits}fpp", delta * 100)), F.lit(NONE))
+    return shown(delta, F.concat(F.when(delta > 0, "+").otherwise(""), F.format_string(f"%.{digits}fpp", delta * 100)))
 
 
 def short_hash(value: Column, n: int = 8) -> Column:

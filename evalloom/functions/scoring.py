@@ -20,7 +20,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def rounded(column: Column, digits: int = 6) -> Column:
+def rounded(column: Column | str, digits: int = 6) -> Column:
     return F.round(column, digits)
 
 
@@ -28,8 +28,9 @@ def low_rank_limit(k: int, ratio: float = 0.5) -> int:
     return max(1, -int(-k * ratio // 1))
 
 
-def flags(m: Column, judge: Column, k: int, ratio: float = 0.5, quality_line: int = 3) -> Column:
+def flags(m: Column, judge: Column, k: int | Column, ratio: float = 0.5, quality_line: int = 3) -> Column:
     """The ordered causes of a case from its metrics (null without gold) and its judgement (null if there is none)."""
+    limit = F.greatest(F.lit(1), F.ceil(k * F.lit(ratio))) if isinstance(k, Column) else F.lit(low_rank_limit(k, ratio))
     gold = F.coalesce(m["gold_count"], F.lit(0)) > 0
     hit = gold & (m["hits"] > 0)
     judged = judge.isNotNull()
@@ -41,7 +42,7 @@ def flags(m: Column, judge: Column, k: int, ratio: float = 0.5, quality_line: in
         "anchor_incomplete": gold & ~hit & grounded,
         "retrieval_miss": gold & ~hit,
         "retrieval_partial": hit & (m["hits"] < m["gold_count"]),
-        "retrieval_low_rank": hit & (m["first_hit_rank"] > low_rank_limit(k, ratio)),
+        "retrieval_low_rank": hit & (m["first_hit_rank"] > limit),
         "hallucination": judged & (bad > 0),
         "off_topic": judged & (off > 0),
         "generation_quality": poor,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalloom.functions.scoring import FLAGS, NOISE_FLOOR, kappa, rounded, transition
+from evalloom.functions.scoring import FLAGS, NOISE_FLOOR, flags, kappa, rounded, transition
 from evalloom.operators.listing import latest
 from evalloom.operators.reports import exact_p
 
@@ -254,3 +254,48 @@ def between_annotators(gold: DataFrame) -> DataFrame:
     enough, scored = F.col("n") >= 2, F.col("score_pairs") >= 2
     k = rounded(kappa(*(F.col(c) for c in ("tp", "fp", "tn", "fn"))), 4)
     return out.select("annotator_a", "annotator_b", F.when(enough, F.col("n")).otherwise(0).alias("binary_pairs"), F.when(enough, k).alias("binary_kappa"), "score_pairs", F.when(scored, F.col("mae")).alias("score_mae"), F.when(scored, F.col("exact")).alias("score_exact_rate")).where("binary_pairs > 0 or score_pairs > 0")
+
+
+# Runs as stored: metrics are maps of whatever keys a run has.
+def map_differences(left: Column, right: Column, tolerance: float = 1e-9, ignored: tuple[str, ...] = ()) -> Column:
+    """The keys, in order, under which two maps of numbers differ; a key that only one of them has differs, unless it's null there."""
+    nothing = F.create_map().cast("map<string,double>")
+    same = F.map_zip_with(F.coalesce(left, nothing), F.coalesce(right, nothing), lambda _, a, b: tolerant_equal(a, b, tolerance))
+    return F.array_sort(F.map_keys(F.map_filter(same, lambda k, equal: ~equal & ~k.isin(*ignored) if ignored else ~equal)))
+
+
+def consistency_outcomes(pairs: DataFrame, cases: DataFrame, tolerance: float = 1e-9, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each pair (pair, left, right, strict) of run structs (run_id, config_hash, dataset_id, corpus_id, status, metrics).
+
+    ``cases`` (run_id, qid, metrics, flags, ids) are those of all runs, read once for each side. ``reasons`` say why a
+    pair can't be compared (exit code 2); else it is consistent (0) unless metrics of the runs, metrics or flags of a
+    case, or the sets of cases differ (1). Another order of ranked ids only counts if the pair is ``strict``."""
+    l, r = F.col("left"), F.col("right")
+    found = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull())
+    settings = found(F.when(~l["config_hash"].eqNullSafe(r["config_hash"]), "config"), F.when(~l["dataset_id"].eqNullSafe(r["dataset_id"]) | ~l["corpus_id"].eqNullSafe(r["corpus_id"]), "data"))
+    unfinished = F.when((l["status"] != "succeeded") | (r["status"] != "succeeded"), F.array(F.lit("status"))).otherwise(F.array().cast("array<string>"))
+    told = pairs.withColumn("reasons", F.when(F.size(settings) > 0, settings).otherwise(unfinished)).withColumn("run_differences", map_differences(l["metrics"], r["metrics"], tolerance, ignored))
+    able = told.where(F.size("reasons") == 0)
+    side = lambda name: able.select("pair", F.col(f"{name}.run_id").alias("run_id")).join(cases, "run_id").select("pair", "qid", F.struct("metrics", "flags", "ids").alias(name))
+    both = side("left").join(side("right"), ["pair", "qid"], "full_outer")
+    shared = l.isNotNull() & r.isNotNull()
+    changed = (F.size(map_differences(l["metrics"], r["metrics"], tolerance, ignored)) > 0) | ~l["flags"].eqNullSafe(r["flags"])
+    counts = both.groupBy("pair").agg(F.count_if(shared & changed).alias("case_diffs"), F.count_if(shared & ~l["ids"].eqNullSafe(r["ids"])).alias("order_diffs"), F.count_if(r.isNull()).alias("only_in_left"), F.count_if(l.isNull()).alias("only_in_right"))
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = told.join(counts, "pair", "left").select("pair", "strict", "reasons", F.when(F.size("reasons") == 0, F.col("run_differences")).otherwise(F.array().cast("array<string>")).alias("run_differences"), *map(n, ("case_diffs", "order_diffs", "only_in_left", "only_in_right")))
+    differ = (F.size("run_differences") > 0) | (F.col("case_diffs") + F.col("only_in_left") + F.col("only_in_right") > 0) | (F.col("strict") & (F.col("order_diffs") > 0))
+    return out.withColumn("exit_code", F.when(F.size("reasons") > 0, 2).when(differ, 1).otherwise(0))
+
+
+def replayed(results: DataFrame, runs: DataFrame, ratio: float = 0.5, quality_line: int = 3) -> DataFrame:
+    """(run_id, qid, k, old_flags, new_flags, changed): flags made again from stored metrics and judgements.
+
+    ``results`` have run_id, qid, metrics (gold_count, retrieved_count, hits, recall, hit, first_hit_rank), judge and
+    flags; ``runs`` run_id and ``top_k`` of their settings. k is the settings', or else the most that a case of the run
+    retrieved, or else 5. Nothing is searched or judged."""
+    most = results.groupBy("run_id").agg(F.max("metrics.retrieved_count").alias("most"))
+    ks = runs.join(most, "run_id", "left").select("run_id", F.when(F.col("top_k") > 0, F.col("top_k")).when(F.col("most") > 0, F.col("most")).otherwise(5).alias("k"))
+    met = results.join(F.broadcast(ks), "run_id")
+    m = F.struct(F.col("metrics.gold_count").alias("gold_count"), hits_of(F.col("metrics")).alias("hits"), F.col("metrics.first_hit_rank").alias("first_hit_rank"))
+    out = met.select("run_id", "qid", "k", F.coalesce("flags", F.array().cast("array<string>")).alias("old_flags"), flags(m, F.col("judge"), F.col("k"), ratio, quality_line).alias("new_flags"))
+    return out.withColumn("changed", F.array_sort("old_flags") != F.array_sort("new_flags"))

@@ -27,8 +27,10 @@ def newest(df: DataFrame, limit: int, default: int = 50, most: int = 200, by: st
 
 
 def one(df: DataFrame, **key: object) -> DataFrame:
-    """The row with a key, none if there is no such row."""
-    return equal_if_given(df, **key).limit(1)
+    """The row with a key, none if there is no such row. Every value counts, 0, '' and None too."""
+    for name, value in key.items():
+        df = df.where(F.col(name).eqNullSafe(F.lit(value)))
+    return df.limit(1)
 
 
 def flagged(df: DataFrame, only: bool = True) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNKS = "array<struct<index:int,text:string,char_start:int,char_end:int,section:string>>"
 HEADING = re.compile(r"(#{1,6})\s+(.*)")
@@ -27,79 +31,120 @@ def fixed_chunks(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id
     return spans.select(id_col, F.col("index").cast("long").alias("index"), F.col("char_start").cast("long").alias("char_start"), F.least(F.col("char_start") + size, F.length(text)).cast("long").alias("char_end"), F.substring(text, F.col("char_start") + 1, F.lit(size)).alias("text"))
 
 
+Span = tuple[int, int]
+STRATEGIES = ("headings", "fixed", "paragraph")
+
+
+def lines_of(raw: str) -> list[tuple[int, int, str]]:
+    """(start, end, line) of each line, with what ends it."""
+    lines = raw.splitlines(keepends=True)
+    ends = list(accumulate(map(len, lines)))
+    return list(zip([0, *ends], ends, lines, strict=False))
+
+
 def sections(raw: str) -> list[tuple[int, int, str]]:
-    """Spans of a markdown text between headings, each with its path of titles."""
-    path: list[tuple[int, str]] = []
-    out, start, at = [], 0, 0
-    for line in raw.splitlines(keepends=True):
-        if m := HEADING.match(line.rstrip("\r\n")):
-            if at > start:
-                out.append((start, at, " / ".join(t for _, t in path)))
-            start, level = at, len(m[1])
-            path = [p for p in path if p[0] < level] + [(level, m[2].strip())]
-        at += len(line)
-    if at > start:
-        out.append((start, at, " / ".join(t for _, t in path)))
-    return [s for s in out if raw[s[0] : s[1]].strip()]
-
-
-def paragraphs(raw: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Runs of lines that aren't blank."""
-    out, at, first = [], start, None
-    for line in raw[start:end].splitlines(keepends=True):
-        if line.strip():
-            first = at if first is None else first
-        elif first is not None:
-            out.append((first, at))
-            first = None
-        at += len(line)
-    return out if first is None else [*out, (first, at)]
-
-
-def packed(raw: str, start: int, end: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """Paragraphs put together up to ``size``; a longer one is cut by sliding windows."""
-    open_start = open_end = None
-    for a, b in paragraphs(raw, start, end):
-        if open_start is not None and b - open_start <= size:
-            open_end = b
-            continue
-        if open_start is not None:
-            yield open_start, open_end
-        open_start, open_end = (a, b) if b - a <= size else (None, None)
-        if open_start is None:
-            s = a
-            while s + size < b:
-                yield s, s + size
-                s += size - overlap
-            yield s, b
-    if open_start is not None:
-        yield open_start, open_end
+    """(start, end, path of titles) of what stands between headings of a markdown text and isn't blank."""
+    heads = [(start, len(m[1]), m[2].strip()) for start, _, line in lines_of(raw) if (m := HEADING.match(line.rstrip("\r\n")))]
+    under = accumulate(heads, lambda path, h: [*(p for p in path if p[1] < h[1]), h], initial=[])
+    cuts = [0, *(h[0] for h in heads), len(raw)]
+    return [(a, b, " / ".join(p[2] for p in path)) for a, b, path in zip(cuts, cuts[1:], under, strict=False) if raw[a:b].strip()]
 
 
-def chunk(raw: str, strategy: str = "headings", size: int = 500, overlap: int = 50, least: int = 80) -> list[dict]:
-    """The chunks of one text; sections shorter than ``least`` go together with what follows or, at the end, precedes."""
-    if strategy not in ("headings", "fixed") or size <= 0 or not 0 <= overlap < size:
-        raise ValueError("bad chunking")
-    blocks = sections(raw) if strategy == "headings" else [(0, len(raw), "")] if raw else []
-    joined: list[tuple[int, int, str]] = []
+def paragraphs(raw: str) -> list[Span]:
+    """Runs of lines that aren't blank."""
+    runs = (list(run) for inked, run in groupby(lines_of(raw), key=lambda line: bool(line[2].strip())) if inked)
+    return [(run[0][0], run[-1][1]) for run in runs]
+
+
+def windows(start: int, end: int, size: int, overlap: int) -> list[Span]:
+    """Windows that advance by size - overlap until one reaches the end."""
+    n = max(0, -(-(end - start - size) // (size - overlap))) + 1
+    return [(s, min(s + size, end)) for s in range(start, start + n * (size - overlap), size - overlap)]
+
+
+def packed(spans: list[Span], size: int, overlap: int) -> Iterator[Span]:
+    """As many spans together as ``size`` holds; a longer one by windows."""
+    ends, i = [b for _, b in spans], 0
+    while i < len(spans):
+        after = bisect_right(ends, spans[i][0] + size, lo=i)
+        yield from [(spans[i][0], ends[after - 1])] if after > i else windows(*spans[i], size, overlap)
+        i = max(after, i + 1)
+
+
+def long_enough(blocks: list[tuple[int, int, str]], raw: str, least: int) -> list[tuple[int, int, str]]:
+    """Blocks put together until each has ``least`` characters between its first and last ink, with the title of the first; what is left at the end goes to the one before."""
+    begin = [a + len(raw[a:b]) - len(raw[a:b].lstrip()) for a, b, _ in blocks]
+    ink = [a + len(raw[a:b].rstrip()) for a, b, _ in blocks]
+    firsts, i = [], 0
+    while i < len(blocks):
+        firsts.append(i)
+        i = bisect_left(ink, begin[i] + least, lo=i) + 1
+    if len(firsts) > 1 and ink[-1] - begin[firsts[-1]] < least:
+        firsts.pop()
+    return [(blocks[i][0], blocks[j - 1][1], blocks[i][2]) for i, j in zip(firsts, [*firsts, len(blocks)][1:], strict=True)]
+
+
+def check_chunking(strategy: str, size: int, overlap: int, least: int) -> None:
+    if strategy not in STRATEGIES or size <= 0 or not 0 <= overlap < size or least < 0:
+        raise ValueError(f"bad chunking: {strategy}, {size}, {overlap}, {least}")
+
+
+def chunk_spans(raw: str, strategy: str = "headings", size: int = 500, overlap: int = 50, least: int = 80) -> list[tuple[int, int, str]]:
+    """(start, end, section) of a text's chunks: its sections, its paragraphs or the whole of it, short ones of the first two together, long ones cut at paragraphs."""
+    if strategy == "fixed":
+        blocks = [(0, len(raw), "")]
+    else:
+        blocks = long_enough(sections(raw) if strategy == "headings" else [(a, b, "") for a, b in paragraphs(raw)], raw, least)
+    out = []
     for a, b, title in blocks:
-        if joined and strategy == "headings" and len(raw[joined[-1][0] : joined[-1][1]].strip()) < least:
-            joined[-1] = (joined[-1][0], b, joined[-1][2])
-        else:
-            joined.append((a, b, title))
-    if len(joined) > 1 and strategy == "headings" and len(raw[joined[-1][0] : joined[-1][1]].strip()) < least:
-        tail = joined.pop()
-        joined[-1] = (joined[-1][0], tail[1], joined[-1][2])
-    out: list[dict] = []
-    for a, b, title in joined:
-        for s, e in [(a, b)] if b - a <= size else packed(raw, a, b, size, overlap):
-            if raw[s:e].strip():
-                out.append({"index": len(out), "text": raw[s:e], "char_start": s, "char_end": e, "section": title})
+        parts = [(a, b)] if b - a <= size else [(a + s, a + e) for s, e in packed(paragraphs(raw[a:b]), size, overlap)]
+        out += [(s, e, title) for s, e in parts if raw[s:e].strip()]
     return out
 
 
+def chunk(raw: str, strategy: str = "headings", size: int = 500, overlap: int = 50, least: int = 80) -> list[dict]:
+    """The chunks of one text as rows."""
+    check_chunking(strategy, size, overlap, least)
+    return [{"index": n, "text": raw[a:b], "char_start": a, "char_end": b, "section": title} for n, (a, b, title) in enumerate(chunk_spans(raw, strategy, size, overlap, least))]
+
+
+class ChunkTable:
+    """A table function of a text and its chunking."""
+
+    def eval(self, text: str, strategy: str, size: int, overlap: int, least: int):
+        for c in chunk(text or "", strategy, size, overlap, least):
+            yield c["index"], c["text"], c["char_start"], c["char_end"], c["section"]
+
+
+chunk_table = F.udtf(ChunkTable, returnType="index: int, text: string, char_start: int, char_end: int, section: string")
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes ``document_chunks(text, strategy, size, overlap, least)`` known to SQL, for use with LATERAL."""
+    spark.udtf.register("document_chunks", chunk_table)
+
+
+def chunk_rows(docs: DataFrame, text: str = "text", strategy: str = "headings", size: int = 500, overlap: int = 50, least: int = 80) -> DataFrame:
+    """A row for each chunk of ``docs``, beside the document's other columns."""
+    check_chunking(strategy, size, overlap, least)
+    kept = [c for c in docs.columns if c != text]
+    schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(n, t) for n, t in (("index", T.IntegerType()), ("text", T.StringType()), ("char_start", T.IntegerType()), ("char_end", T.IntegerType()), ("section", T.StringType())))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in enumerate(batch.column(len(kept)).to_pylist()):
+                if spans := chunk_spans(raw or "", strategy, size, overlap, least):
+                    start, end, section = zip(*spans, strict=True)
+                    own = [batch.column(k).take(pa.array([i] * len(spans))) for k in range(len(kept))]
+                    made = [pa.array(range(len(spans)), pa.int32()), pa.array([raw[a:b] for a, b in zip(start, end, strict=True)], pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(section, pa.string())]
+                    yield pa.RecordBatch.from_arrays([*own, *made], names=schema.names)
+
+    return docs.select(*kept, text).mapInArrow(rows, schema)
+
+
 def chunked(docs: DataFrame, text: str = "text", strategy: str = "headings", size: int = 500, overlap: int = 50, least: int = 80) -> DataFrame:
     """``docs`` with an array ``chunks``."""
+    check_chunking(strategy, size, overlap, least)
 
     @F.pandas_udf(CHUNKS)
     def chunks(texts: pd.Series) -> pd.Series:
@@ -108,12 +153,71 @@ def chunked(docs: DataFrame, text: str = "text", strategy: str = "headings", siz
     return docs.withColumn("chunks", chunks(F.col(text)))
 
 
-def holding(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, doc, span) of the documents (doc, text) whose text holds an item's whole span.
+#: Characters of a block of spans that one automaton looks for, and blocks for which texts are read again.
+BLOCK_CHARS, BLOCKS = 2 << 20, 8
+#: Spans shorter than this are looked for one by one.
+SHORT = 4
+
+
+def holding(items: DataFrame, docs: DataFrame, block_chars: int = BLOCK_CHARS, blocks: int = BLOCKS) -> DataFrame:
+    """(qid, doc, span) of the documents (doc, text) whose text holds an item's whole span. An empty span is held by none.
+
+    As long as the spans are few (``blocks`` of ``block_chars`` characters together, which is measured) they go to all
+    tasks, as automata that find all spans of a block in one pass over a text; more of them are joined by words."""
+    spans = items.where(F.length("span") > 0).select("qid", "span")
+    each = F.length("span") + 64
+    chars = spans.agg(F.sum(each)).first()[0] or 0
+    if chars > block_chars * blocks:
+        return held_by_words(spans, docs)
+    rows, parts, filled = spans.orderBy("span", "qid").collect(), [[]], 0
+    for r in rows:
+        if filled and filled + len(r.span) + 64 > block_chars:
+            parts, filled = [*parts, []], 0
+        parts[-1].append((r.qid, r.span))
+        filled += len(r.span) + 64
+    out = [_held(part, docs, items) for part in parts]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
+
+
+def _held(spans: list[tuple], docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The documents that hold spans (qid, span), by one pass of an automaton over each text."""
+    schema = T.StructType([items.schema["qid"], docs.schema["doc"], T.StructField("span", T.StringType())])
+    by = docs.sparkSession.sparkContext.broadcast(spans)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        of: dict[str, list[int]] = {}
+        for n, (_, span) in enumerate(by.value):
+            of.setdefault(span, []).append(n)
+        automaton = ahocorasick.Automaton()
+        for span in of:
+            if len(span) >= SHORT:
+                automaton.add_word(span, span)
+        automaton.make_automaton()
+        few = [span for span in of if len(span) < SHORT]
+        kinds = [pa.int64() if f.dataType == T.LongType() else None for f in schema]
+        for batch in batches:
+            n, at = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = {span for _, span in automaton.iter(text)} if text and len(automaton) else set()
+                for span in [*found, *(s for s in few if s in (text or ""))]:
+                    n += of[span]
+                    at += [i] * len(of[span])
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([by.value[k][0] for k in n], kinds[0]), batch.column(0).take(pa.array(at)), pa.array([by.value[k][1] for k in n])], names=schema.names)
+
+    return docs.select("doc", "text").mapInArrow(scan, schema)
+
+
+def held_by_words(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """What ``holding`` gives, for any number of spans.
 
     Candidates share three words from inside the span: words with white space on both sides stay words whatever
     stands around the span. Spans with fewer such words go by their first four characters, shorter ones by the
-    first. Only hashes and ids are joined; texts are fetched for candidates alone. An empty span is held by none."""
+    first. Only hashes and ids are joined; texts are fetched for candidates alone."""
     inner = F.split("span", r"\s+")
     spans = items.where(F.length("span") > 0).select("qid", "span", inner.alias("w"))
     long, short = F.size("w") >= 5, F.length("span") >= 4
@@ -149,14 +253,21 @@ def stripped(text: Column) -> Column:
 
 def anchored(anchors: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, doc, span, level, point) of the chunks that hold an anchor's span, at the first level that finds any:
-    1 in the section's title, 2 in the text, 3 in the normalised text or title; a blank span is all chunks, level 0."""
+    1 in the section's title, 2 in the text, 3 in the normalised text or title; a blank span is all chunks, level 0.
+
+    Only chunks of documents with an anchor that is nowhere as it stands are normalised, each once."""
+    anchors = anchors.select("qid", "doc", "span", stripped(F.col("span")).alias("_s"))
     met = anchors.join(chunks, "doc")
-    span = stripped(F.col("span"))
-    loose = normalized(span)
-    level = F.when(span == "", 0).when(F.contains(F.col("section"), span), 1).when(F.contains(F.col("text"), span), 2).when((loose != "") & (F.contains(normalized(F.col("text")), loose) | F.contains(normalized(F.col("section")), loose)), 3)
+    level = F.when(F.col("_s") == "", 0).when(F.contains(F.col("section"), F.col("_s")), 1).when(F.contains(F.col("text"), F.col("_s")), 2)
     found = met.withColumn("level", level).where("level is not null")
     least = F.min("level").over(Window.partitionBy("qid", "doc", "span"))
-    return found.withColumn("_least", least).where("level = _least").select("qid", "doc", "span", "level", "point")
+    plain = found.withColumn("_least", least).where("level = _least").select("qid", "doc", "span", "level", "point")
+    key = ["qid", "doc", "span"]
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"p.{c}")) for c in key]
+    open_ = anchors.alias("a").join(plain.select(*key).distinct().alias("p"), same, "left_anti").select("a.*", normalized(F.col("_s")).alias("_loose")).where("_loose <> ''")
+    loose = chunks.join(open_.select("doc").distinct(), "doc", "left_semi").select("doc", "point", normalized(F.col("text")).alias("_text"), normalized(F.col("section")).alias("_section"))
+    third = open_.join(loose, "doc").where(F.contains(F.col("_text"), F.col("_loose")) | F.contains(F.col("_section"), F.col("_loose")))
+    return plain.unionByName(third.select(*key, F.lit(3).alias("level"), "point"))
 
 
 def context(ranked: Column, budget: int, separator: int = 2) -> Column:

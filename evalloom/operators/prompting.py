@@ -150,22 +150,6 @@ def index_report(docs: DataFrame, points: DataFrame, batch: int = 16) -> DataFra
     return docs.agg(F.count("*").alias("docs")).join(n, F.lit(True)).withColumn("calls", F.ceil(F.col("chunks") / batch))
 
 
-def write_points(points: DataFrame, folder: str, dims: int, vector: str = "embedding", recreate: bool = False) -> None:
-    """Writes points, each id once, as a collection; vectors of another size are refused, as is a collection of another size unless ``recreate``."""
-    spark = points.sparkSession
-    if not points.where(F.size(vector) != dims).isEmpty():
-        raise ValueError(f"vectors must have {dims} values")
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) and not recreate:
-        stored = spark.read.parquet(folder)
-        if not stored.where(F.size(vector) != dims).limit(1).isEmpty():
-            raise ValueError("the collection has vectors of another size")
-        points = points.join(stored.select("point_id"), "point_id", "left_anti")
-        points.dropDuplicates(["point_id"]).write.mode("append").parquet(folder)
-    else:
-        points.dropDuplicates(["point_id"]).write.mode("overwrite").parquet(folder)
-
-
 def csv_line(*cells: Column) -> Column:
     from evalloom.functions.scoring import csv_cell
 

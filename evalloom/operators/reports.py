@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.scoring import NOISE_FLOOR, kappa, rounded, transition
+from evalloom.sources.scratch import written
 
 METRICS = ("recall", "precision", "reciprocal_rank", "hit")
+# Fixed value: the stratum of cases without one.
+NO_STRATUM = "未分类"
 #: Most non-zero differences whose p is exact.
 EXACT = 25
 
@@ -36,7 +39,7 @@ def transitions(pairs: DataFrame) -> DataFrame:
 
 def strata(pairs: DataFrame, key: Column, noise: float = NOISE_FLOOR) -> DataFrame:
     d = F.col("r_recall") - F.col("l_recall")
-    return pairs.groupBy(F.coalesce(key.cast("string"), F.lit("未分类")).alias("stratum")).agg(
+    return pairs.groupBy(F.coalesce(key.cast("string"), F.lit(NO_STRATUM)).alias("stratum")).agg(
         F.count("*").alias("cases"), rounded(F.avg(d)).alias("mean_delta"), F.count_if(d > noise).alias("improved"), F.count_if(d < -noise).alias("worsened"), F.count_if(F.size("l_flags") > 0).alias("flagged_left"), F.count_if(F.size("r_flags") > 0).alias("flagged_right")
     )
 
@@ -46,13 +49,38 @@ def strata_by_flag(pairs: DataFrame) -> DataFrame:
     return each.groupBy("flag").agg(F.count("*").alias("cases"), F.count_if(F.array_contains("l_flags", F.col("flag"))).alias("flagged_left"), F.count_if(F.array_contains("r_flags", F.col("flag"))).alias("flagged_right"))
 
 
+def ordered_bits(x: Column) -> Column:
+    """A double as a long of the same order: its exponent and mantissa, as they are stored. Null for NaN."""
+    size = F.abs(x)
+    e = F.floor(F.log2(size))
+    m = size / F.pow(F.lit(2.0), e)
+    e, m = F.when(m >= 2, e + 1).when(m < 1, e - 1).otherwise(e), F.when(m >= 2, m / 2).when(m < 1, m * 2).otherwise(m)
+    bits = (e + 1023).cast("long") * F.lit(1 << 52) + ((m - 1) * float(1 << 52)).cast("long")
+    # numbers under the smallest normal one are multiples of 2^-1074
+    tiny = (size * 2.0**537 * 2.0**537).cast("long")
+    least = F.when(F.isnan(x), F.lit(None)).when(size == float("inf"), F.lit(2047 << 52)).when(size < 2.0**-1022, tiny).otherwise(bits)
+    return F.when(x < 0, -least).otherwise(least)
+
+
+#: Bits of a difference that its bin leaves open: a bin is a 65,536th of a power of two wide.
+OPEN_BITS = 36
+
+
 def signed_ranks(differences: DataFrame, by: list[str], value: str = "d") -> DataFrame:
-    """For each group: n without zeros, W+ with mid-ranks, its mean, its variance with ties, z with continuity."""
+    """For each group: n without zeros, W+ with mid-ranks, its mean, its variance with ties, z with continuity.
+
+    Equal sizes are counted first. Sizes are ranked within bins, and bins by their counts, so that no task sorts all
+    sizes of a group: a bin's window has the different sizes of a narrow range, a group's window a row a bin."""
     some = differences.where(F.col(value) != 0).withColumn("size", F.abs(value))
     ties = some.groupBy(*by, "size").agg(F.count("*").alias("t"), F.count_if(F.col(value) > 0).alias("up"))
+    ties = ties.withColumn("bin", F.shiftright(ordered_bits(F.col("size")), OPEN_BITS))
+    before = lambda w: F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = ties.groupBy(*by, "bin").agg(F.sum("t").alias("t"))
+    bins = bins.withColumn("below", before(Window.partitionBy(*by).orderBy("bin"))).drop("t")
+    inside = ties.withColumn("within", before(Window.partitionBy(*by, "bin").orderBy("size")))
+    same = [F.col(f"x.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "bin")]
     # mid-rank of a group of ties: those below it, and half of itself
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("rank", before + (F.col("t") + 1) / 2)
+    ranked = inside.alias("x").join(bins.alias("b"), same).select("x.*", "below").withColumn("rank", F.col("below") + F.col("within") + (F.col("t") + 1) / 2)
     out = ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tied"))
     mean = F.col("n") * (F.col("n") + 1) / 4
     variance = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("tied") / 48
@@ -61,6 +89,37 @@ def signed_ranks(differences: DataFrame, by: list[str], value: str = "d") -> Dat
     return out.withColumn("mean", mean).withColumn("variance", variance).withColumn("z", rounded(z)).drop("tied")
 
 
+#: Bits of a value that each step of a median decides.
+STEPS = (48, 32, 16, 0)
+
+
+def exact_median(values: DataFrame, value: str) -> DataFrame:
+    """One row, ``median``: of the values that aren't null or NaN; the mean of the two middle ones of an even number.
+
+    The middle ranks are found by histograms of their leading bits, each of at most 65,536 rows, of the values that
+    share the bits found before; no task sorts or holds the values. Values are counted and written once."""
+    kept = values.select(F.col(value).cast("double").alias("v")).withColumn("k", ordered_bits(F.col("v"))).where("k is not null")
+    counts = written(kept.groupBy("k").agg(F.first("v").alias("v"), F.count("*").alias("n")), "median")
+    wanted = counts.agg(F.sum("n").alias("total")).select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor((F.col("total") + 1) / 2).alias("rank")), F.struct(F.lit(1).alias("side"), (F.floor(F.col("total") / 2) + 1).alias("rank")))).alias("x")).select("x.*", F.lit(None).cast("long").alias("prefix"))
+    above = None
+    for shift in STEPS:
+        bits = counts.withColumn("bits", F.shiftright("k", shift)).withColumn("prefix", F.lit(0) if above is None else F.shiftright("k", above))
+        near = bits.join(F.broadcast(wanted.withColumn("prefix", F.coalesce("prefix", F.lit(0)))), "prefix")
+        cells = near.groupBy("side", "rank", "bits").agg(F.sum("n").alias("n"), F.min("v").alias("v"))
+        up_to = F.sum("n").over(Window.partitionBy("side").orderBy("bits"))
+        cells = cells.withColumn("up_to", up_to).where((F.col("up_to") >= F.col("rank")) & (F.col("up_to") - F.col("n") < F.col("rank")))
+        wanted, above = cells.select("side", (F.col("rank") - F.col("up_to") + F.col("n")).alias("rank"), F.col("bits").alias("prefix"), "v"), shift
+        last, wanted = wanted, wanted.drop("v")
+    return last.agg(F.avg("v").alias("median"))
+
+
+def score_noise(deltas: DataFrame, delta: str) -> DataFrame:
+    """One row: pairs, the largest and the median absolute difference of scores; both null without pairs."""
+    size = written(deltas.select(F.abs(delta).alias("size")), "deltas")
+    out = size.agg(F.count("*").alias("pairs"), rounded(F.max("size")).alias("max_delta"))
+    return out.crossJoin(F.broadcast(exact_median(size, "size"))).withColumn("median_delta", rounded("median")).drop("median")
+
+
 def exact_p(ranked: DataFrame, by: list[str], value: str = "d") -> DataFrame:
     """For each group its two-sided p: for at most ``EXACT`` non-zero differences by a fold over the counts of all rank
     sums, beyond by the normal approximation of ``signed_ranks``; 1 where no difference is non-zero."""

@@ -41,11 +41,13 @@ def top_k(points: DataFrame, queries: DataFrame, dims: int, k: int, id_col: str
     Points go in tiles and queries in blocks; a tile meets each block once, in one matrix product that keeps
     the best ``k`` for each query, so that what is dealt by query is k rows a tile. Blocks are copied to as many
     groups of tiles as there are shuffle partitions, so that no task holds all points. Ids and vectors that are
-    null are left out; a vector of zeros has the score 0; ties go to the smaller id.
+    null are left out, as are vectors with fewer than ``dims`` entries or with entries that are null or not finite;
+    a vector of zeros has the score 0; ties go to the smaller id.
     """
     groups = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = F.slice(F.col(vector), 1, dims).cast("array<double>")
-    known = (F.col(id_col).isNotNull() & F.col(vector).isNotNull())
+    whole = F.forall(first, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    known = F.col(id_col).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) >= dims) & whole
     dealt = tiles(points.where(known).select(id_col, first.alias("v")), TILE).withColumn("part", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(groups)))
     asked = tiles(queries.where(known).select(id_col, first.alias("v")), BLOCK).select(F.col("ids").alias("qids"), F.col("vectors").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"))
     kind = points.schema[id_col].dataType
@@ -76,7 +78,7 @@ def top_k(points: DataFrame, queries: DataFrame, dims: int, k: int, id_col: str
 
 
 def case_metrics(cases: DataFrame, retrieved: DataFrame, gold: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
-    """A row for each case; the metrics are null where a case has no gold."""
+    """A row for each case; the metrics are null where a case has no gold, and not rounded: means and differences are made of them."""
     sizes = gold.groupBy("qid").agg(F.count_distinct(id_col).alias("gold_count"))
     found = retrieved.where(F.col("rank") <= k)
     hits = found.join(gold.select("qid", id_col).distinct(), ["qid", id_col], "left_semi").groupBy("qid").agg(F.count("*").alias("hits"), F.min("rank").cast("long").alias("first_hit_rank"))
@@ -87,9 +89,9 @@ def case_metrics(cases: DataFrame, retrieved: DataFrame, gold: DataFrame, k: int
         "qid",
         F.coalesce("gold_count", F.lit(0)).alias("gold_count"),
         F.when(has, n).alias("hits"),
-        rounded(F.when(has, n / F.col("gold_count"))).alias("recall"),
-        rounded(F.when(has, n / F.lit(k))).alias("precision"),
-        rounded(F.when(has, F.coalesce(1 / F.col("first_hit_rank"), F.lit(0.0)))).alias("reciprocal_rank"),
+        F.when(has, n / F.col("gold_count")).alias("recall"),
+        F.when(has, n / F.lit(k)).alias("precision"),
+        F.when(has, F.coalesce(1 / F.col("first_hit_rank"), F.lit(0.0))).alias("reciprocal_rank"),
         F.when(has, (n > 0).cast("double")).alias("hit"),
         F.when(has, F.col("first_hit_rank")).alias("first_hit_rank"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evalloom.functions import scoring as S
 from evalloom.operators import passages, reports, retrieval, state
 from evalloom.plans import oracle
+from evalloom.sources.scratch import written
 from evalloom.sources.tables import json_lines, table
 from evalloom.streaming.queue import windowed
 
@@ -29,13 +30,32 @@ def retrieved(spark: SparkSession, d: str, dims: int, k: int) -> DataFrame:
     return retrieval.top_k(table(spark, d, "embeddings"), asking(spark, d), dims, k)
 
 
-def gold(spark: SparkSession, d: str) -> DataFrame:
+def searched(spark: SparkSession, d: str, *dims: int) -> DataFrame:
+    """(dims, qid, vec_id, score, rank): the five nearest by each number of dimensions, and by all 64, written as a run's results are: reports read them as often as they like."""
+    found = [retrieved(spark, d, n, 5).withColumn("dims", F.lit(n)) for n in sorted({*dims, 64})]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return written(out, "hits")
+
+
+def hits(spark: SparkSession, d: str, dims: int, k: int, found: DataFrame | None = None) -> DataFrame:
+    """What was retrieved by a number of dimensions, from ``searched`` if that is given."""
+    return retrieved(spark, d, dims, k) if found is None else found.where((F.col("dims") == dims) & (F.col("rank") <= k)).drop("dims")
+
+
+def gold(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
     size = 1 + F.expr("qid div 10") % 3
-    return retrieved(spark, d, 64, 3).where((F.col("rank") <= size) & (F.col("qid") % 70 != 0)).select("qid", "vec_id")
+    return hits(spark, d, 64, 3, found).where((F.col("rank") <= size) & (F.col("qid") % 70 != 0)).select("qid", "vec_id")
 
 
-def metrics(spark: SparkSession, d: str, dims: int, k: int) -> DataFrame:
-    return retrieval.case_metrics(cases(spark, d), retrieved(spark, d, dims, k), gold(spark, d), k)
+def metrics(spark: SparkSession, d: str, dims: int, k: int, found: DataFrame | None = None) -> DataFrame:
+    return retrieval.case_metrics(cases(spark, d), hits(spark, d, dims, k, found), gold(spark, d, found), k)
+
+
+def shown(m: DataFrame) -> DataFrame:
+    """Case metrics as they are written."""
+    return m.withColumns({c: S.rounded(F.col(c)) for c in ("recall", "precision", "reciprocal_rank")})
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +71,8 @@ def judged(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def flagged(spark: SparkSession, d: str, dims: int, k: int, with_judge: bool = False) -> DataFrame:
-    m = metrics(spark, d, dims, k)
+def flagged(spark: SparkSession, d: str, dims: int, k: int, with_judge: bool = False, found: DataFrame | None = None) -> DataFrame:
+    m = metrics(spark, d, dims, k, found)
     if with_judge:
         m = m.join(judged(spark, d), "qid", "left")
         judge = F.when(F.col("claims").isNotNull(), F.struct("claims", "unsupported", "irrelevant", "relevance", "helpfulness"))
@@ -62,7 +82,9 @@ def flagged(spark: SparkSession, d: str, dims: int, k: int, with_judge: bool = F
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return reports.paired(flagged(spark, d, 48, 1), flagged(spark, d, 48, 5)).join(cases(spark, d), "qid")
+    found = searched(spark, d, 48)
+    both = reports.paired(flagged(spark, d, 48, 1, found=found), flagged(spark, d, 48, 5, found=found))
+    return written(both.join(cases(spark, d), "qid"), "pairs")
 
 
 def attribution(spark: SparkSession, d: str) -> DataFrame:
@@ -75,12 +97,12 @@ def flag_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def worst(spark: SparkSession, d: str) -> DataFrame:
-    return metrics(spark, d, 32, 5).where("recall is not null").orderBy("recall", "qid").limit(10).select("qid", "recall", "reciprocal_rank")
+    return metrics(spark, d, 32, 5).where("recall is not null").orderBy("recall", "qid").limit(10).select("qid", S.rounded("recall").alias("recall"), S.rounded("reciprocal_rank").alias("reciprocal_rank"))
 
 
 def k_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    deep, wanted, asked = retrieved(spark, d, 32, 5), gold(spark, d), cases(spark, d)
-    out = [retrieval.run_aggregate(retrieval.case_metrics(asked, deep, wanted, k), k) for k in (1, 3, 5)]
+    found = searched(spark, d, 32)
+    out = [retrieval.run_aggregate(metrics(spark, d, 32, k, found), k) for k in (1, 3, 5)]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
@@ -135,7 +157,8 @@ def inter_annotator(spark: SparkSession, d: str) -> DataFrame:
 
 def closure(spark: SparkSession, d: str) -> DataFrame:
     status = F.get(F.array(*map(F.lit, ("open", "fixed", "verified", "wontfix"))), (F.expr("qid div 10") % 4).cast("int"))
-    return reports.closure(cases(spark, d).select("qid", status.alias("status")), flagged(spark, d, 48, 1), flagged(spark, d, 48, 5).where("qid % 130 <> 0"))
+    found = searched(spark, d, 48)
+    return reports.closure(cases(spark, d).select("qid", status.alias("status")), flagged(spark, d, 48, 1, found=found), flagged(spark, d, 48, 5, found=found).where("qid % 130 <> 0"))
 
 
 def closure_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -143,17 +166,18 @@ def closure_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def consistency(spark: SparkSession, d: str) -> DataFrame:
+    found = searched(spark, d, 48)
+
     def run(dims: int, part: str) -> DataFrame:
-        ids = retrieved(spark, d, dims, 5).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
-        return ids.join(flagged(spark, d, dims, 5).select("qid", "flags"), "qid").where(part)
+        ids = hits(spark, d, dims, 5, found).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
+        return ids.join(flagged(spark, d, dims, 5, found=found).select("qid", "flags"), "qid").where(part)
 
     return reports.consistency(run(48, "qid % 110 <> 0"), run(64, "qid % 130 <> 0"))
 
 
 def score_noise(spark: SparkSession, d: str) -> DataFrame:
     a, b = (retrieved(spark, d, n, 5).select("qid", "vec_id", F.col("score").alias(c)) for n, c in ((62, "x"), (64, "y")))
-    delta = F.abs(F.col("x") - F.col("y"))
-    return a.join(b, ["qid", "vec_id"]).agg(F.count("*").alias("pairs"), S.rounded(F.max(delta)).alias("max_delta"), S.rounded(F.median(delta)).alias("median_delta"))
+    return reports.score_noise(a.join(b, ["qid", "vec_id"]).select((F.col("x") - F.col("y")).alias("d")), "d")
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -285,8 +309,8 @@ def hourly(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "knn_topk": lambda s, d: retrieved(s, d, 64, 5).select("qid", "vec_id", S.rounded("score").alias("score"), F.col("rank").cast("long").alias("rank")),
-    "case_metrics_k5": lambda s, d: metrics(s, d, 32, 5),
-    "case_metrics_k1": lambda s, d: metrics(s, d, 48, 1),
+    "case_metrics_k5": lambda s, d: shown(metrics(s, d, 32, 5)),
+    "case_metrics_k1": lambda s, d: shown(metrics(s, d, 48, 1)),
     "run_aggregate": lambda s, d: retrieval.run_aggregate(metrics(s, d, 32, 5), 5),
     "k_sensitivity": k_sensitivity,
     "attribution_flags": attribution,
@@ -333,9 +357,9 @@ QUERIES: dict[str, Query] = {
 
 def parts() -> list:
     """The modules that have more queries (``Q``) and their SQL."""
-    from evalloom.plans import comparisons, evaluation, judged
+    from evalloom.plans import chunks, comparisons, evaluation, judged, search, streams, whole
 
-    return [evaluation, comparisons, judged]
+    return [evaluation, comparisons, judged, search, streams, chunks, whole]
 
 
 def queries() -> dict[str, Query]:

@@ -11,6 +11,7 @@ from evalloom.operators import passages
 from evalloom.operators import prompting as P
 from evalloom.plans import catalog, oracle
 from evalloom.plans.evaluation import NAMESPACE, state_of
+from evalloom.sources.scratch import written
 from evalloom.sources.tables import table
 
 Q, SQL = {}, {}
@@ -25,23 +26,23 @@ def query(name: str, sql: str):
 
 
 # Two evaluated runs whose judgements look at the lengths of whole conversations.
-def side(s: SparkSession, d: str, k: int, shift: int, judged: str) -> DataFrame:
+def side(s: SparkSession, d: str, found: DataFrame, k: int, shift: int, judged: str) -> DataFrame:
     n = (F.length("text") + shift).cast("long")
     label = F.col("n") % 3
     j = table(s, d, "conversations").where(judged).select((F.col("conv_id") * 10).alias("qid"), n.alias("n")).groupBy("qid").agg(
         F.count("*").alias("claims"), F.count_if(label == 0).alias("supported"), F.count_if(label == 1).alias("unsupported"), F.count_if(label == 2).alias("irrelevant"), (1 + F.sum("n") % 5).alias("relevance"), (1 + F.max("n") % 5).alias("helpfulness"))
     judge = F.struct("claims", "supported", "unsupported", "irrelevant", "relevance", "helpfulness")
-    m = catalog.metrics(s, d, 48, k).join(j.select("qid", judge.alias("judge")), "qid", "left")
+    m = catalog.metrics(s, d, 48, k, found).join(j.select("qid", judge.alias("judge")), "qid", "left")
     flags = S.flags(F.struct("gold_count", "hits", "first_hit_rank"), F.col("judge"), k)
-    return m.select("qid", "gold_count", "hits", "recall", "precision", "reciprocal_rank", "hit", "judge", flags.alias("flags"))
+    return m.select("qid", "gold_count", "hits", "recall", "precision", "reciprocal_rank", "hit", "first_hit_rank", "judge", flags.alias("flags"))
 
 
-def left(s: SparkSession, d: str) -> DataFrame:
-    return side(s, d, 1, 0, "true")
-
-
-def right(s: SparkSession, d: str) -> DataFrame:
-    return side(s, d, 5, 1, "conv_id % 4 <> 0").where("qid % 130 <> 0")
+def stored_runs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The cases of both runs, searched for and judged once and written."""
+    found = catalog.searched(s, d, 48)
+    one, two = side(s, d, found, 1, 0, "true"), side(s, d, found, 5, 1, "conv_id % 4 <> 0").where("qid % 130 <> 0")
+    rows = written(one.withColumn("run_id", F.lit(1)).unionByName(two.withColumn("run_id", F.lit(2))), "runs")
+    return rows.where("run_id = 1").drop("run_id"), rows.where("run_id = 2").drop("run_id")
 
 
 def judged_sql(name: str, shift: int, where: str) -> str:
@@ -71,7 +72,7 @@ P_SQL = """, nz as (select metric, r - l d from v where r <> l), rk as (select m
 
 
 def pairs(s: SparkSession, d: str) -> DataFrame:
-    return X.paired_cases(left(s, d), right(s, d))
+    return X.paired_cases(*stored_runs(s, d))
 
 
 @query("ab_report", BOTH + METRIC_ROWS + P_SQL + f" select *, abs(delta) <= 2.1e-3 below_noise, not ({LOWER}) higher_is_better, p_value < 0.05 and abs(delta) > 2.1e-3 significant from t")
@@ -81,7 +82,8 @@ def ab_report(s: SparkSession, d: str) -> DataFrame:
 
 @query("ab_comparable", BOTH + " select (select count(*) from l) left_cases, (select count(*) from r) right_cases, count(*) shared_cases, count(*) filter (l.claims is not null and r.claims is not null) judged_cases, '' reason, true comparable from l join r on l.qid = r.qid")
 def ab_comparable(s: SparkSession, d: str) -> DataFrame:
-    return X.comparability(left(s, d), right(s, d), pairs(s, d))
+    left, right = stored_runs(s, d)
+    return X.comparability(left, right, X.paired_cases(left, right))
 
 
 @query("ab_changed_cases", BOTH + f" select * from (select l.qid, {oracle.MOVED.format(l='l.flags', r='r.flags')} transition from l join r on l.qid = r.qid) where transition <> 'stable'")
@@ -117,12 +119,12 @@ def annotated(s: SparkSession, d: str) -> DataFrame:
 
 @query("closure_report", CLOSED + " select * from records")
 def closure_report(s: SparkSession, d: str) -> DataFrame:
-    return X.closure_records(annotated(s, d), left(s, d), right(s, d))
+    return X.closure_records(annotated(s, d), *stored_runs(s, d))
 
 
 @query("closure_totals", CLOSED + " select count(*) annotated, " + ", ".join(f"count(*) filter (verdict = '{v}') {v}" for v in X.VERDICT_ORDER) + ", " + ", ".join(f"count(*) filter (status = '{v}') status_{v}" for v in S.TRANSITIONS) + ", count(*) filter (eligible) eligible_for_verify from records")
 def closure_totals(s: SparkSession, d: str) -> DataFrame:
-    return X.closure_summary(X.closure_records(annotated(s, d), left(s, d), right(s, d)))
+    return X.closure_summary(X.closure_records(annotated(s, d), *stored_runs(s, d)))
 
 
 # here a metric that a side lacks isn't 0
@@ -149,14 +151,20 @@ CONSISTENT = "with " + oracle.GOLD + ", " + oracle.run("a", 60, 5) + ", " + orac
 KEYS = ["recall", "hits", "first_hit_rank"]
 
 
-def consistent_side(s: SparkSession, d: str, dims: int, where: str) -> DataFrame:
-    ids = catalog.retrieved(s, d, dims, 5).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
-    return catalog.flagged(s, d, dims, 5).join(ids, "qid").select("qid", *KEYS, "flags", "ids").where(where)
+def consistent_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    found = catalog.searched(s, d, 60)
+
+    def one(dims: int, where: str) -> DataFrame:
+        ids = catalog.hits(s, d, dims, 5, found).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
+        return catalog.flagged(s, d, dims, 5, found=found).join(ids, "qid").select("qid", *KEYS, "flags", "ids").where(where)
+
+    rows = written(one(60, "qid % 110 <> 0").withColumn("run_id", F.lit(1)).unionByName(one(64, "qid % 130 <> 0").withColumn("run_id", F.lit(2))), "runs")
+    return rows.where("run_id = 1").drop("run_id"), rows.where("run_id = 2").drop("run_id")
 
 
 @query("case_differences", CONSISTENT + " select qid, array_to_string(metrics, ',') metrics, flags_differ, order_differs from x")
 def case_differences(s: SparkSession, d: str) -> DataFrame:
-    out = X.metric_differences(consistent_side(s, d, 60, "qid % 110 <> 0"), consistent_side(s, d, 64, "qid % 130 <> 0"), KEYS)
+    out = X.metric_differences(*consistent_sides(s, d), KEYS)
     return out.withColumn("metrics", F.array_join("metrics", ","))
 
 
@@ -164,12 +172,12 @@ def case_differences(s: SparkSession, d: str) -> DataFrame:
  1::bigint exit_code from x""")
 def consistency_report(s: SparkSession, d: str) -> DataFrame:
     run = F.struct(F.lit("h").alias("config_hash"), F.lit(1).alias("dataset_id"), F.lit(2).alias("corpus_id"), F.lit("succeeded").alias("status"))
-    return X.consistency_verdict(consistent_side(s, d, 60, "qid % 110 <> 0"), consistent_side(s, d, 64, "qid % 130 <> 0"), F.struct(run.alias("left"), run.alias("right")), KEYS)
+    return X.consistency_verdict(*consistent_sides(s, d), F.struct(run.alias("left"), run.alias("right")), KEYS)
 
 
 @query("attribution_replay", BOTH + " select l.qid, array_to_string(l.flags, ',') old_flags, array_to_string(r.flags, ',') new_flags, list_sort(l.flags) <> list_sort(r.flags) changed from l join r on l.qid = r.qid")
 def attribution_replay(s: SparkSession, d: str) -> DataFrame:
-    out = X.replay(left(s, d), right(s, d))
+    out = X.replay(*stored_runs(s, d))
     return out.withColumn("old_flags", F.array_join("old_flags", ",")).withColumn("new_flags", F.array_join("new_flags", ","))
 
 
@@ -181,7 +189,8 @@ def attribution_settings(s: SparkSession, d: str) -> DataFrame:
 
 @query("suggestions", BOTH + f" select qid, case when claims is null and reason = 'hallucination' then 'unknown' else reason end reason from (select qid, claims, {oracle.REASON} reason from (select qid, case when qid % 30 = 0 then ['hallucination'] else flags end flags, claims from r))")
 def suggestions(s: SparkSession, d: str) -> DataFrame:
-    r = right(s, d).withColumn("flags", F.when(F.col("qid") % 30 == 0, F.array(F.lit("hallucination"))).otherwise(F.col("flags")))
+    _, right = stored_runs(s, d)
+    r = right.withColumn("flags", F.when(F.col("qid") % 30 == 0, F.array(F.lit("hallucination"))).otherwise(F.col("flags")))
     return r.select("qid", X.suggestion(F.col("flags"), F.col("judge").isNotNull(), S.reason(F.col("flags"))).alias("reason"))
 
 

@@ -91,9 +91,9 @@ def flagged_cases(s: SparkSession, d: str) -> DataFrame:
     return L.flagged(catalog.flagged(s, d, 32, 5, True)).select("qid", F.array_join("flags", ",").alias("flags"))
 
 
-@query("cases_with_flag", F5 + " select qid, recall from f where list_contains(flags, 'retrieval_partial')")
+@query("cases_with_flag", F5 + " select qid, round(recall, 6) recall from f where list_contains(flags, 'retrieval_partial')")
 def cases_with_flag(s: SparkSession, d: str) -> DataFrame:
-    return L.with_flag(catalog.flagged(s, d, 32, 5, True), "retrieval_partial").select("qid", "recall")
+    return L.with_flag(catalog.flagged(s, d, 32, 5, True), "retrieval_partial").select("qid", S.rounded("recall").alias("recall"))
 
 
 @query("flag_summary", F5 + " select flag, count(*) n, row_number() over (order by count(*) desc, flag) place from (select unnest(flags) flag from f) group by 1")
@@ -104,10 +104,10 @@ def flag_summary(s: SparkSession, d: str) -> DataFrame:
     return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "flag")).cast("long"))
 
 
-@query("worst_cases_cli", "with " + oracle.GOLD + ", " + oracle.run("m", 32, 5) + " select qid, recall, coalesce(first_hit_rank, 0) rank from m where recall is not null order by recall, -coalesce(first_hit_rank, 0), qid limit 10")
+@query("worst_cases_cli", "with " + oracle.GOLD + ", " + oracle.run("m", 32, 5) + " select qid, round(recall, 6) recall, coalesce(first_hit_rank, 0) rank from m where recall is not null order by m.recall, -coalesce(first_hit_rank, 0), qid limit 10")
 def worst_cases_cli(s: SparkSession, d: str) -> DataFrame:
     m = catalog.metrics(s, d, 32, 5).where("recall is not null").withColumn("rank", F.coalesce("first_hit_rank", F.lit(0)))
-    return m.orderBy("recall", -F.col("rank"), "qid").limit(10).select("qid", "recall", "rank")
+    return m.orderBy("recall", -F.col("rank"), "qid").limit(10).select("qid", S.rounded("recall").alias("recall"), "rank")
 
 
 @query("case_signals", F5 + " select f.qid, coalesce('q' || c.difficulty, '') name, len(flags)::bigint n from f left join (select * from cases where category % 2 = 0) c on f.qid = c.qid")

@@ -25,8 +25,8 @@ GOLD = ranked("deep", 64, 3) + ", gold as (select qid, vec_id from deep where ra
 
 
 def metric(name: str, source: str, k: int) -> str:
-    return f"""{name} as (select c.qid, coalesce(g.n, 0) gold_count, case when g.n is not null then coalesce(h.n, 0) end hits, round(case when g.n is not null then coalesce(h.n, 0) / g.n end, 6) recall,
- round(case when g.n is not null then coalesce(h.n, 0) / {k}.0 end, 6)::double "precision", round(case when g.n is not null then coalesce(1.0 / h.first, 0) end, 6)::double reciprocal_rank,
+    return f"""{name} as (select c.qid, coalesce(g.n, 0) gold_count, case when g.n is not null then coalesce(h.n, 0) end hits, case when g.n is not null then coalesce(h.n, 0) / g.n::double end recall,
+ case when g.n is not null then coalesce(h.n, 0) / {k}::double end "precision", case when g.n is not null then coalesce(1 / h.first::double, 0) end reciprocal_rank,
  case when g.n is not null then (coalesce(h.n, 0) > 0)::int::double end hit, case when g.n is not null then h.first end first_hit_rank from cases c
  left join (select qid, count(*) n from gold group by 1) g on c.qid = g.qid
  left join (select r.qid, count(*) n, min(rank) "first" from {source} r join gold using (qid, vec_id) where rank <= {k} group by 1) h on c.qid = h.qid)"""
@@ -66,17 +66,18 @@ CLOSURE = AB + f""", ann as (select qid, {STATES}[(qid // 10) % 4 + 1] status fr
  case when r.flags is null then 'unverifiable' else replace(replace({MOVED.format(l="l.flags", r="r.flags")}, 'fixed', 'improved'), 'broke', 'worsened') end verdict,
  case when l.recall is null or r.recall is null then 'incomparable' when abs(r.recall - l.recall) <= 2.1e-3 then 'same' when r.recall > l.recall then 'better' else 'worse' end evidence
  from ann a join l on a.qid = l.qid left join (select * from r where qid % 130 <> 0) r on a.qid = r.qid), records as (select *, verdict = 'improved' and status = 'fixed' eligible from closed)"""
+SHOWN = ' select qid, gold_count, hits, round(recall, 6) recall, round("precision", 6) "precision", round(reciprocal_rank, 6) reciprocal_rank, hit, first_hit_rank from m'
 METRIC_ROWS = " union all ".join(f"select '{n}' metric, {c.format('l')} l, {c.format('r')} r from pairs" for n, c in (("recall", "{}_recall"), ("precision", "{}_precision"), ("reciprocal_rank", "{}_rr"), ("hit", "{}_hit")))
 
 SQL = {
     "knn_topk": "with " + ranked("k", 64, 5) + " select qid, vec_id, round(score, 6) score, rank from k",
-    "case_metrics_k5": "with " + GOLD + ", " + run("m", 32, 5) + " select * from m",
-    "case_metrics_k1": "with " + GOLD + ", " + run("m", 48, 1) + " select * from m",
+    "case_metrics_k5": "with " + GOLD + ", " + run("m", 32, 5) + SHOWN,
+    "case_metrics_k1": "with " + GOLD + ", " + run("m", 48, 1) + SHOWN,
     "run_aggregate": "with " + GOLD + ", " + run("m", 32, 5) + " " + AGGREGATE.format(k=5, m="m"),
     "k_sensitivity": "with " + GOLD + ", " + ranked("r", 32, 5) + ", " + ", ".join(metric(f"m{k}", "r", k) for k in (1, 3, 5)) + " " + " union all ".join(AGGREGATE.format(k=k, m=f"m{k}") for k in (1, 3, 5)),
     "attribution_flags": FLAGS + f" select qid, array_to_string(flags, ',') flags, {REASON} reason from f",
     "flag_counts": FLAGS + " select flag, count(*) cases from (select unnest(flags) flag from f) group by 1",
-    "worst_cases": "with " + GOLD + ", " + run("m", 32, 5) + " select qid, recall, reciprocal_rank from m where recall is not null order by recall, qid limit 10",
+    "worst_cases": "with " + GOLD + ", " + run("m", 32, 5) + " select qid, round(recall, 6) recall, round(reciprocal_rank, 6) reciprocal_rank from m where recall is not null order by m.recall, qid limit 10",
     "ab_summary": AB + f""", rows as ({METRIC_ROWS}), s as (select metric, count(*) cases, round(avg(l), 6) mean_left, round(avg(r), 6) mean_right, count(*) filter (r - l > 2.1e-3) improved,
  count(*) filter (r - l < -2.1e-3) worsened, count(*) filter (abs(r - l) <= 2.1e-3) unchanged from rows group by 1) select *, round(mean_right - mean_left, 6) delta, abs(round(mean_right - mean_left, 6)) <= 2.1e-3 below_noise from s""",
     "ab_transitions": AB + f" select {MOVED.format(l='lf', r='rf')} transition, count(*) cases from pairs group by 1",

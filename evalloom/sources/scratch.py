@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder but for those that begin with ``_`` or a dot; none if there is no folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+    return [n for n in names if n[0] not in "_."]
+
+
 def deleted(spark: SparkSession, path: str) -> bool:
     """Deletes a folder; whether there was one."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,7 +46,9 @@ def deleted(spark: SparkSession, path: str) -> bool:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table: what made it isn't done again, whoever reads it, and whatever executors are lost. See ``scratch``."""
+    """``df`` as a table: what made it isn't done again, whoever reads it, and whatever executors are lost.
+
+    ``scratch`` deletes it; what is left goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/evalloom-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -55,3 +66,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in _OPEN[before:]:
             deleted(spark, path)
         del _OPEN[before:]
+
+
+@atexit.register
+def _delete_all() -> None:
+    with suppress(Exception):  # a session that has ended before
+        spark = SparkSession.getActiveSession()
+        for path in _OPEN if spark else []:
+            deleted(spark, path)
