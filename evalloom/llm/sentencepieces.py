@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by a batched Viterbi search.
 
-Words of equal length advance together: for each end place, the hashes of all substrings that end there probe
+Words of equal length (longer ones: of about equal length, and the windows of a very long one) advance together: for each end place, the hashes of all substrings that end there probe
 the sorted keys of the pieces, and the best predecessor of every word is the largest of the scores by a
 vectorised maximum; back-pointers give the segmentation. A character that no piece covers is written as its
 UTF-8 bytes. White space follows the vocabulary's rules: a dummy space before the text, each space as U+2581,
@@ -13,7 +13,8 @@ result of the merges.
 
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids; U+2581 in a text
 decodes to a space (as it does in the original); ties go to the longest last piece; ids that aren't in the
-vocabulary decode to nothing.
+vocabulary decode to nothing; an empty table gives an empty result, repeated rows equal results; a text of any
+length, with or without spaces, is encoded whole, in time in proportion to its length; other columns are kept.
 """
 
 from __future__ import annotations
@@ -35,8 +36,13 @@ SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Spaces and the word after them; pieces never cross a word's end.
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
-#: Characters of the words that advance together.
-BATCH = 400_000
+#: Characters of the words that advance together, and of those of more than ``SHORT`` characters.
+BATCH, LONG_BATCH = 400_000, 1_000_000
+#: Words up to this length advance with their equals, longer ones with those up to a quarter longer.
+SHORT = 24
+#: A word of more characters is cut into windows of at least ``WINDOW``, which advance together.
+ALONE, WINDOW = 8192, 256
+EXACT = float(1 << 30)
 #: Words that a worker remembers with their ids; an executor core has two workers, one of them to decode.
 REMEMBERED = 200_000
 #: Ids that are decoded at once.
@@ -68,7 +74,8 @@ class Pieces:
         keys = np.array([self.key(self.texts[i]) for i in by_length], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(by_length, np.int64)[order]
-        self.scores = np.array([score[i] for i in by_length])[order]
+        # multiples of 2^-30, so that sums don't depend on how a word is cut
+        self.scores = np.round(np.array([score[i] for i in by_length])[order] * EXACT) / EXACT
         # where the keys with each first 16 bits begin
         self.directory = np.append(np.searchsorted(self.keys, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)), len(keys))
         # the bytes that each id decodes to, one after another
@@ -77,7 +84,7 @@ class Pieces:
         self.raw_count = np.array([len(x) for x in raw], np.int64)
         self.raw_begin = np.cumsum(self.raw_count) - self.raw_count
         self.unknown = min(score.values(), default=0.0) if not ranks else float(-np.log(2.0 + n))
-        self.unknown -= 10.0
+        self.unknown = float(np.round((self.unknown - 10.0) * EXACT) / EXACT)
 
     @staticmethod
     def key(text: str) -> int:
@@ -130,13 +137,16 @@ class Pieces:
         length = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(length, kind="stable")
         flat, count = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
-        edges = np.searchsorted(length[order], np.unique(length))
-        for rows in np.split(order, edges[1:]) if len(order) else []:
-            n = int(length[rows[0]])
-            step = max(1, BATCH // max(1, n * min(n, self.longest)))
+        at, sorted_length = 0, length[order]
+        while at < len(order):
+            n = int(sorted_length[at])
+            most = n if n <= SHORT else min(n + n // 4, ALONE)
+            end = at + 1 if n > ALONE else int(np.searchsorted(sorted_length, most, side="right"))
+            rows, at = order[at:end], end
+            step = max(1, BATCH // max(1, n * min(n, self.longest)) if n <= SHORT else LONG_BATCH // most)
             for s in range(0, len(rows), step):
                 own = [words[i] for i in rows[s : s + step].tolist()]
-                ids, many = self.encode_equal(own, n)
+                ids, many = self.encode_equal(own, n) if n <= ALONE else self.encode_long(own[0])
                 flat.append(ids)
                 count.append(many)
         ids, many = np.concatenate(flat), np.concatenate(count)
@@ -145,11 +155,15 @@ class Pieces:
         return ids[ragged(begin[back], many[back])], many[back]
 
     def encode_equal(self, words: list[str], n: int) -> Encoded:
+        """Words of at least ``n`` characters that advance together; shorter ones are filled up, and read from their own ends."""
         if not n:
             return np.empty(0, np.uint32), np.zeros(len(words), np.int64)
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        most = int(length.max())
+        codes = np.zeros((len(words), most), np.uint32)
+        codes[np.arange(most) < length[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         back, piece = self.segment(codes)
-        column, end = np.arange(len(words)), np.full(len(words), n, np.int64)
+        column, end = np.arange(len(words)), length.copy()
         steps = []
         while end.any():
             steps.append(np.where(end > 0, piece[end, column], -2))
@@ -158,7 +172,7 @@ class Pieces:
         if (found == -1).any():  # characters without a piece: their bytes
             lists = []
             for word, ids, row in zip(words, found.tolist(), back.T.tolist(), strict=True):
-                out, at = [], n
+                out, at = [], len(word)
                 for i in (x for x in reversed(ids) if x != -2):
                     out.extend([i] if i >= 0 else [self.bytes[x] for x in reversed(word[at - 1].encode("utf-8", "replace"))])
                     at -= row[at]
@@ -166,6 +180,62 @@ class Pieces:
             return flattened(lists)
         return found[found != -2].astype(np.uint32), (found != -2).sum(1)
 
+    def advance(self, prefix: np.ndarray, starts: np.ndarray, steps: int, best: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of one word advance together from ``starts``. ``best`` has, for each window and column, the scores at the
+        start and at the longest - 1 places before it (the last one first); gives those at the windows' ends, and with
+        ``keep`` the length and id of the last piece at each place (first column). Places beyond the word stay as they are."""
+        n, windows = len(prefix) - 1, np.arange(len(starts))
+        lengths = np.arange(self.longest, 0, -1)
+        power = powers(int(BASE), self.longest + 1)[lengths]
+        back, piece = np.zeros((steps if keep else 0, len(starts)), np.int16), np.full((steps if keep else 0, len(starts)), -1, np.int32)
+        for t in range(1, steps + 1):
+            end = np.minimum(starts + t, n)
+            inside = (starts + t <= n) & (end - lengths[:, None] >= 0)
+            begin = np.maximum(end - lengths[:, None], 0)
+            at, hit = self.probe(mix(prefix[end][None, :] - prefix[begin] * power[:, None]))
+            score = np.where(hit & inside, self.scores[at], -np.inf)
+            score[-1] = np.where(hit[-1], score[-1], self.unknown)
+            # best[:, i] is i places back, so that a piece of l characters begins at i = l - 1
+            total = best[:, lengths - 1] + score.T[:, :, None]
+            choice = total.argmax(1)
+            if keep:
+                first = choice[:, 0]
+                back[t - 1] = lengths[first]
+                piece[t - 1] = np.where(hit[first, windows], self.ids[at[first, windows]], -1)
+            moved = np.concatenate([np.take_along_axis(total, choice[:, None, :], 1), best[:, :-1]], 1)
+            best = np.where((starts + t <= n)[:, None, None], moved, best)
+        return best, back, piece
+
+    def encode_long(self, word: str) -> Encoded:
+        """One word of any length, cut into windows.
+
+        Its windows first advance from each of the places before them at which a piece may end, one column for each; the
+        scores at the windows' starts follow from these one after another. With these all windows advance once more, as
+        they would have one after another, and the pieces are read from the end. A window is about as long as the root of
+        the word, so that a word of n characters takes steps like the root of n."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n, longest = len(codes), self.longest
+        window = max(WINDOW, int(np.sqrt(n)))
+        starts = np.arange(0, n, window)
+        prefix = np.zeros(n + 1, np.uint64)
+        value, base, whole = 0, int(BASE), (1 << 64) - 1
+        prefix[1:] = np.fromiter((value := (value * base + c + 1) & whole for c in codes.tolist()), np.uint64, n)
+        begin = np.full((len(starts), longest, longest), -np.inf)
+        begin[:, np.arange(longest), np.arange(longest)] = 0.0
+        ends, _, _ = self.advance(prefix, starts, window, begin, False)
+        scores = np.full((len(starts), longest), -np.inf)
+        scores[0, 0] = 0.0
+        for k in range(1, len(starts)):
+            scores[k] = (ends[k - 1] + scores[k - 1][None, :]).max(1)
+        _, back, piece = self.advance(prefix, starts, window, scores[:, :, None], True)
+        back, piece = back.T.ravel()[:n].tolist(), piece.T.ravel()[:n].tolist()
+        out, at = [], n
+        while at:
+            i = piece[at - 1]
+            out.extend([i] if i >= 0 else [self.bytes[x] for x in reversed(word[at - 1].encode("utf-8", "replace"))])
+            at -= back[at - 1]
+        return np.array(out[::-1], np.uint32), np.array([len(out)])
+
     def decode_all(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
         """The texts of lists of ids, list i from edges[i] on. The first space of a text goes; bytes that aren't UTF-8 are replaced."""
         known = (ids >= 0) & (ids < len(self.texts))
