@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm.common import HASH, looked_up, materialise, mix, slices, text_frame, utf8, vocabulary_path, words
+from evalloom.llm.common import HASH, fresh, looked_up, materialise, mix, slices, text_frame, utf8, vocabulary_path, words
 from evalloom.llm.word_tokens import WordTokens, flattened, kept_in_worker, text_ids
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -227,26 +227,28 @@ def in_learned_band(measured: DataFrame, bands: DataFrame, by: str) -> DataFrame
     """``measured`` with a column ``in_learned``: whether the measures lie in the closest band there is; true without one.
 
     The bands are found for each script, ``by`` and length that occur, and then looked up by the rows."""
-    keys = {"_script": F.col("quality.script"), "_by": F.coalesce(by, F.lit("")), "_bits": length_bits()}
-    rows = measured.withColumns(keys).withColumn("_key", F.concat_ws("\x01", *keys))
-    found = rows.groupBy("_key", *keys).agg(F.count("*").alias("_rows"))
-    levels = {"_one": ("_script", "_by", "_bits"), "_two": ("_script", "_by"), "_three": ("_script",)}
-    names = {"_script": "script", "_by": by, "_bits": "n_bits"}
+    script, of, bits, key, size, band_col = (fresh(n, measured.columns) for n in ("script_key", "by_key", "bits_key", "band_key", "band_rows", "band"))
+    keys = {script: F.col("quality.script"), of: F.coalesce(by, F.lit("")), bits: length_bits()}
+    rows = measured.withColumns(keys).withColumn(key, F.concat_ws("\x01", *keys))
+    found = rows.groupBy(key, *keys).agg(F.count("*").alias(size))
+    # the closest bands first: of script, ``by`` and length, of the first two, of the script
+    levels = {fresh(f"level_{n}", found.columns): tuple(keys)[:n] for n in (3, 2, 1)}
+    names = dict(zip(keys, ("script", by, "n_bits"), strict=True))
     for level, own_keys in levels.items():
-        own = bands.where(F.col(by).isNotNull() == ("_by" in own_keys)).where(F.col("n_bits").isNotNull() == ("_bits" in own_keys))
+        own = bands.where(F.col(by).isNotNull() == (of in own_keys)).where(F.col("n_bits").isNotNull() == (bits in own_keys))
         found = found.join(own.select(*(F.col(names[k]).alias(k) for k in own_keys), F.col("bands").alias(level)), list(own_keys), "left")
-    band = F.col("_band")
-    found = materialise(found.select("_key", F.coalesce(*levels).alias("_band"), "_rows"), "quality-bands")
+    band = F.col(band_col)
+    found = materialise(found.select(key, F.coalesce(*levels).alias(band_col), size), "quality-bands")
     inside = F.lit(True)
     for c in LEAST_SPREAD:
         inside = inside & F.col(f"quality.{c}").between(band[c]["least"], band[c]["most"])
-    out = looked_up(rows, "_key", found, "_rows", measured.count())
-    return out.withColumn("in_learned", F.coalesce(inside, band.isNull())).select(*measured.columns, "in_learned")
+    out = looked_up(rows, key, found, size, measured.count())
+    return out.withColumn("in_learned", F.coalesce(inside, band.isNull())).select(*[c for c in measured.columns if c.lower() != "in_learned"], "in_learned")
 
 
-def verdicts(docs: DataFrame, by: str = "lang") -> DataFrame:
-    """``docs`` without their texts, with ``quality`` and whether it is kept."""
-    measured = materialise(measure(docs).drop("text"), "quality")
+def verdicts(docs: DataFrame, by: str = "lang", text_col: str = "text") -> DataFrame:
+    """``docs`` without their texts, with ``quality`` and whether it is kept; columns named ``quality``, ``kept`` and ``in_learned`` are replaced, others stay."""
+    measured = materialise(measure(docs, text_col).drop(text_col), "quality")
     q = F.col("quality")
     out = in_learned_band(measured, learned_bands(measured, by), by)
     return out.withColumn("kept", ~base_failed(q) & in_band(q) & F.col("in_learned")).drop("in_learned")
