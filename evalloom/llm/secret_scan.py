@@ -4,8 +4,8 @@ The base patterns (assignments, access keys, long hex runs) always give their sp
 weighs each value that stands in a credential context - what is assigned to a password, token or key
 name, a bearer token, the password part of a URL - by the least number of guesses, in bits, that a
 segmentation of it into dictionary words (common passwords, then the words of a public vocabulary), dates, repeats, keyboard walks, separators and brute-force characters needs.
-A value at or above ``min_bits`` adds a span of kind ``guess``; placeholders such as ``changeme`` or
-``xxxxxx`` stay below it.
+A value at or above ``min_bits`` adds a span of kind ``guess``; placeholders such as ``changeme``, ``xxxxxx`` or
+``${DATABASE_PASSWORD}`` and references such as ``getConfig().getToken()`` stay below it.
 
 Defined cases: a null text is empty and has no spans; an empty table gives an empty result; repeated rows give
 equal results; spans that are equal count once; other columns are kept, one named ``into`` is replaced; offsets count code
@@ -44,13 +44,13 @@ USERINFO = re.compile(r"://[^\s/@:]+:([^\s/@]{4,})@")
 CUES = ("passw", "secret", "token", "api", "pwd", "pass", "access", "credential")
 
 # Common words and passwords, the most frequent first; a word's guess number is its place.
-WORDS = """password secret token admin welcome login master dragon monkey letmein qwerty football baseball
+WORDS = """password secret token get key api config env your here replace with secrets environ admin welcome login master dragon monkey letmein qwerty football baseball
 sunshine princess shadow superman batman trustno iloveyou charlie michael jordan hunter killer george
 computer internet server database system default guest root user test demo example sample dummy change
-changeme change_me me your my key api access private public service account client hello world summer winter spring
+changeme change_me me my access private public process service account client settings hello world summer winter spring
 autumn flower orange purple yellow silver golden cookie cheese coffee ginger pepper hammer soccer hockey
 tiger eagle falcon phoenix ranger thunder matrix freedom whatever nothing none null true false placeholder
-redacted hidden todo fixme insert here value string name pass the and for with from this that not""".split()
+redacted hidden todo fixme insert value string name pass the and for from this that not""".split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 #: Whose words, of three to twenty letters, follow those above in the order of its ids.
 VOCABULARY = "word_bpe_49k.json"
@@ -62,7 +62,10 @@ PLACE = {c: (y, x) for y, row in enumerate(KEYBOARD) for x, c in enumerate(row)}
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d", re.ASCII)
 YEAR = re.compile(r"(?:19|20)\d\d", re.ASCII)
 DATE_BITS, YEAR_BITS = math.log2(365 * 120), math.log2(120)
-SEPARATORS, SEPARATOR_BITS = "_-.", math.log2(3)
+# what stands between words, alone or in pairs that open and close references and templates
+SEPARATORS = {"_", "-", ".", "<", ">", "(", ")", "[", "]", "{", "}", "$", "%", ":", "/"}
+PAIRS = {"${", "$(", "{{", "}}", "()", "<%", "%>", "::"}
+SEPARATOR_BITS = math.log2(3)
 CLASS_BITS = {"digit": math.log2(10), "lower": math.log2(26), "upper": math.log2(26), "other": math.log2(33), "wide": 12.0}
 
 
@@ -90,6 +93,14 @@ def dictionary(path: str) -> dict[str, int]:
     return rank
 
 
+def variation(word: str, low: str, plain: str) -> float:
+    """The bits of how a dictionary word is written: one for a first capital or all capitals, else one a capital, and one for each character that stands for a letter."""
+    changed = sum(x != y for x, y in zip(low, plain, strict=True))
+    capitals = sum(x != y for x, y in zip(word, low, strict=True))
+    regular = capitals == sum(x.isalpha() for x in low) or (capitals == 1 and word[0] != low[0])
+    return changed + (1 if capitals and regular else capitals)
+
+
 def guess_bits(value: str, rank: dict[str, int] = RANK) -> tuple[float, list[tuple[str, int, int]]]:
     """The least bits of a segmentation of ``value``, and its segments (kind, start, end).
 
@@ -146,10 +157,11 @@ def guess_bits(value: str, rank: dict[str, int] = RANK) -> tuple[float, list[tup
                 relax(j + 4, best[j] + 2.0 + YEAR_BITS, "date", j)
         if j < n and value[j] in SEPARATORS:
             relax(j + 1, best[j] + 2.0 + SEPARATOR_BITS, "separator", j)
+        if value[j : j + 2] in PAIRS:
+            relax(j + 2, best[j] + 2.0 + SEPARATOR_BITS, "separator", j)
         for k in range(j + 3, min(n, j + longest) + 1):
             if place := rank.get(plain[j:k]):
-                changed = sum(x != y for x, y in zip(value[j:k], plain[j:k], strict=True))
-                relax(k, best[j] + 2.0 + math.log2(place + 1) + changed, "word", j)
+                relax(k, best[j] + 2.0 + math.log2(place + 1) + variation(value[j:k], low[j:k], plain[j:k]), "word", j)
     out, j = [], n
     while j:
         i, kind = back[j]

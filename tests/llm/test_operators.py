@@ -250,7 +250,11 @@ def least_bits(value):
     def segment(i, j):
         v, n, out = value[i:j], j - i, [sum(map(s.char_bits, value[i:j]))]
         if rank := s.RANK.get(plain[i:j]):
-            out.append(np.log2(rank + 1) + sum(a != b for a, b in zip(v, plain[i:j], strict=True)))
+            capitals, letters = sum(map(str.isupper, v)), sum(map(str.isalpha, v))
+            written = 0 if not capitals else 1 if capitals == letters or (capitals == 1 and v[0].isupper()) else capitals
+            out.append(np.log2(rank + 1) + written + sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True)))
+        if v in s.SEPARATORS or v in s.PAIRS:
+            out.append(s.SEPARATOR_BITS)
         out += [sum(map(s.char_bits, v[:k])) + np.log2(n // k) for k in (1, 2, 3, 4) if n >= max(3, 2 * k) and n % k == 0 and v == v[:k] * (n // k)]
         if n >= 4 and all(s.adjacent(a, b) for a, b in zip(low[i:j], low[i + 1 : j], strict=False)):
             out.append(np.log2(47) + 1.5 * (n - 1))
@@ -266,7 +270,7 @@ def least_bits(value):
 
 def test_guess_bits_beside_brute_force():
     rng = np.random.default_rng(3)
-    parts = ["zxcvbn", "qwer", "master", "m", "xx", "abab", "1999", "20240131", "P@ssw0rd", "7", "aaa", "#", "key", "asdf", "12"]
+    parts = ["zxcvbn", "qwer", "master", "m", "xx", "abab", "1999", "20240131", "P@ssw0rd", "7", "aaa", "#", "key", "asdf", "12", "Key", "TOKEN", "mAster", "M4ster", "${", "}}", "()", "_", ".", "::"]
     values = ["".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(300)] + ["".join(rng.choice(list("ab1"), rng.integers(1, 30))) for _ in range(300)]
     for v in [*values, "zxcvbnmaster1", "x" * 60, "abc" * 20 + "d"]:
         bits, segments = secret_scan.guess_bits(v)
@@ -276,6 +280,19 @@ def test_guess_bits_beside_brute_force():
         assert secret_scan.guess_bits(v)[0] < secret_scan.MIN_BITS
 
 
+def test_planted_secrets_and_placeholders():
+    from evalloom.llm.common import vocabulary_path
+
+    rank = secret_scan.dictionary(vocabulary_path(secret_scan.VOCABULARY))
+    flagged = lambda v: any(k == "guess" for k, _, _ in secret_scan.find_secrets(f"password = {v}", rank=rank))
+    placeholders = ["${DATABASE_PASSWORD}", "<your-api-key-here>", "process.env.SECRET_TOKEN", "{{secrets.api_token}}", "REPLACE_WITH_YOUR_PASSWORD", "getConfig().getSecretToken()", "YOUR_API_KEY", "os.environ[TOKEN]", "settings.PASSWORD", "config.get(SECRET_KEY)", "self.api_key", "changeme123", "xxxxxxxxxxxx", "Password2024", "qwertyuiop"]
+    assert [v for v in placeholders if flagged(v)] == []
+    rng = np.random.default_rng(8)
+    kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_."]
+    found = [flagged("".join(rng.choice(list(c), n))) for c in kinds for n in (12, 16, 24, 40) for _ in range(50)]
+    assert sum(found) >= 0.99 * len(found)
+
+
 def test_language_id(spark):
     out = langid.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
