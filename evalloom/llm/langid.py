@@ -27,11 +27,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalloom.llm.common import SLICE_BYTES, bounded_batches, text_frame
+from evalloom.llm.common import SLICE_BYTES, bounded_batches, discard, materialise, text_frame
 from evalloom.llm.word_tokens import give_back
 
 ORDER = 3
@@ -193,9 +193,9 @@ class Scorer:
         begin = np.cumsum([0, *(length + ORDER)])[:-1]
         stop = begin + length
         both = np.ravel(np.column_stack([begin, stop]))
-        sums = np.add.reduceat(np.concatenate([cost, np.zeros((1, cost.shape[1]), np.float32)]), both, axis=0)[::2]
+        sums = np.add.reduceat(np.concatenate([cost, np.zeros((1, cost.shape[1]), np.float32)]), both, axis=0, dtype=np.float64)[::2]
         sums[length == 0] = 0
-        return sums.astype(np.float64)
+        return sums
 
 
 def has_letter(text: str) -> bool:
@@ -203,24 +203,23 @@ def has_letter(text: str) -> bool:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fits a model a language on at most ``rows_per_language`` texts of each, ``sample_chars`` characters of a longer one. The sample's cut-off hashes and the counts, both bounded by it, come to the driver."""
+    """Fits a model a language on at most ``rows_per_language`` texts of each, ``sample_chars`` characters of a longer one. The counts, bounded by the sample, come to the driver."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    # a bounded heap of the smallest hashes for each language and task, then of all
-    part = rows.groupBy("lang", F.spark_partition_id().alias("p")).agg(F.slice(F.array_sort(F.collect_set("h")), 1, rows_per_language).alias("h"))
-    cut = part.select("lang", F.explode("h").alias("h")).groupBy("lang").agg(F.element_at(F.slice(F.array_sort(F.collect_set("h")), 1, rows_per_language), -1).alias("cut")).collect()
+    # the smallest hashes of each language: tasks keep so many each before any are dealt, and a row a language comes of them
+    order = Window.partitionBy("lang").orderBy("h")
+    least = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_per_language)
+    cut = materialise(least.groupBy("lang").agg(F.max("h").alias("cut")), "langid-sample")
     stats: dict[str, pd.DataFrame] = {}
-    if cut:
-        within = F.lit(False)
-        for r in cut:
-            within = within | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["cut"]))
-        sample = rows.where(within).withColumn("text", F.substring("text", 1, sample_chars)).dropDuplicates(["lang", "h"]).select("lang", "text")
+    if not cut.isEmpty():
+        sample = rows.join(cut, "lang").where("h <= cut").withColumn("text", F.substring("text", 1, sample_chars)).dropDuplicates(["lang", "h"]).select("lang", "text")
 
         def counted(key: tuple[str], frame: pd.DataFrame) -> pd.DataFrame:
             return count_contexts(frame.text.tolist()).assign(lang=key[0])[["lang", "n", "gram", "count"]]
 
         found = sample.groupBy("lang").applyInPandas(counted, "lang string, n long, gram long, count long").toPandas()
         stats = {k: v for k, v in found.groupby("lang")}
+    discard(cut)
     return Model.from_counts(stats)
 
 
