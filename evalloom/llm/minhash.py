@@ -15,7 +15,8 @@ miss: a pair at similarity 0.8 shares none of 32 bands of 5 rows with a probabil
 Defined cases: null texts, empty ones and texts without words have the empty set, size 0, and are linked with
 nothing; repeated rows are equal sets; a null id names a component only if all ids in it are null; several
 rows with the id that names their component are all ``kept``, but ``chosen`` is one row of each component;
-other columns are kept, whatever their names.
+an empty table gives an empty result; texts of any length have all their shingles; other columns are kept,
+whatever their names.
 """
 
 from __future__ import annotations

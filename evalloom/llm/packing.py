@@ -11,7 +11,8 @@ The tokeniser sees words cut at ASCII white space, which its own rules never joi
 different word is encoded once a worker.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; ties in length go by
-the pieces' numbers; an empty table gives an empty result.
+the pieces' numbers; an empty table gives an empty result; a text of any length is encoded whole and cut into
+pieces; of other columns only the id is kept.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ beyond these base kinds, IBANs (modulo 97), account numbers after a cue, social
 cue, and user names with passwords in URLs.
 
 Defined cases: a null text is empty and has no spans; base kinds are leftmost and non-overlapping within
-their kind, and a failing match is dropped without a retry inside it; repeated rows give equal results;
-offsets count code points, ends are exclusive. Spans of different kinds may overlap; ``redact`` replaces
+their kind, and a failing match is dropped without a retry inside it; repeated rows give equal results; an
+empty table gives an empty result; a text of any length is scanned whole; other columns are kept, one named
+``into`` is replaced; offsets count code points, ends are exclusive. Spans of different kinds may overlap; ``redact`` replaces
 each maximal covered stretch once, under the kind that starts first.
 """
 

@@ -23,7 +23,8 @@ tuples of step 1 only decide what is looked at again, and go without the second.
 
 Defined cases: null texts are empty; documents shorter than ``length`` and empty ones lose nothing; repeated
 rows are different documents, so that both lose all they have if long enough; matches may overlap and may lie
-in one document; other columns are kept, whatever their names.
+in one document; an empty table gives an empty result; texts of any length are taken whole; other columns are
+kept, whatever their names.
 """
 
 from __future__ import annotations
