@@ -1,4 +1,4 @@
-"""Expressions: cosine, case metrics, attribution flags, transitions, agreement, formats."""
+"""Expressions: case metrics, attribution flags, transitions, agreement, formats."""
 
 from __future__ import annotations
 
@@ -15,11 +15,6 @@ TRANSITIONS = {"open": ("fixed", "wontfix"), "fixed": ("verified", "open"), "ver
 REASONS = {"no_gold": "dataset", "anchor_incomplete": "dataset", "retrieval_miss": "retrieval", "retrieval_partial": "retrieval", "retrieval_low_rank": "retrieval", "hallucination": "hallucination", "off_topic": "generation", "generation_quality": "generation", "no_claims": "generation"}
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def rounded(column: Column | str, digits: int = 6) -> Column:
     return F.round(column, digits)
 

@@ -129,13 +129,17 @@ def coverage(cases: DataFrame, least: float = 0.0) -> DataFrame:
     return out.withColumn("coverage", rounded(share, 4)).withColumn("enough", share >= least)
 
 
-def anchor_diagnostics(mapped_anchors: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(kind, value, n): histograms of gold chunks a case and matches an anchor, anchors that match every chunk of their document, repeated ids."""
+def anchor_diagnostics(mapped_anchors: DataFrame, chunks: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """(kind, value, n): histograms of gold chunks a case and matches an anchor, anchors that match every chunk of their document, and, of ``cases`` (qid), how many ids come how often, if more than once."""
     sizes = chunks.groupBy("doc").agg(F.count("*").alias("chunks"))
     matches = F.size("points").cast("long")
     every = mapped_anchors.join(sizes, "doc").where((F.col("chunks") > 1) & (matches == F.col("chunks")))
     row = lambda df, kind, value: df.groupBy(value.alias("value")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "value", "n")
-    return row(case_gold(mapped_anchors), "gold", F.size("gold").cast("long")).unionByName(row(mapped_anchors, "matches", matches)).unionByName(row(every, "every chunk", F.col("chunks")))
+    out = row(case_gold(mapped_anchors), "gold", F.size("gold").cast("long")).unionByName(row(mapped_anchors, "matches", matches)).unionByName(row(every, "every chunk", F.col("chunks")))
+    if cases is None:
+        return out
+    times = cases.groupBy("qid").agg(F.count("*").alias("times")).where("times > 1")
+    return out.unionByName(row(times, "repeated id", F.col("times")))
 
 
 def index_points(chunks: DataFrame, corpus: int, chunking_hash: str, namespace: str) -> DataFrame:

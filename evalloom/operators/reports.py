@@ -66,27 +66,50 @@ def ordered_bits(x: Column) -> Column:
 OPEN_BITS = 36
 
 
-def signed_ranks(differences: DataFrame, by: list[str], value: str = "d") -> DataFrame:
-    """For each group: n without zeros, W+ with mid-ranks, its mean, its variance with ties, z with continuity.
+def _ranked(differences: DataFrame, by: list[str], value: str) -> DataFrame:
+    """For each group: n without zeros, W+ with mid-ranks, the sum of t^3 - t over ties, and in ``ranks`` twice the ranks of up to ``EXACT`` with how often each comes.
 
     Equal sizes are counted first. Sizes are ranked within bins, and bins by their counts, so that no task sorts all
-    sizes of a group: a bin's window has the different sizes of a narrow range, a group's window a row a bin."""
-    some = differences.where(F.col(value) != 0).withColumn("size", F.abs(value))
-    ties = some.groupBy(*by, "size").agg(F.count("*").alias("t"), F.count_if(F.col(value) > 0).alias("up"))
-    ties = ties.withColumn("bin", F.shiftright(ordered_bits(F.col("size")), OPEN_BITS))
+    sizes of a group: a bin's window has the different sizes of a narrow range, a group's window a row a bin. Ranks
+    that small are few in any group, and all there are in a group of as many."""
+    sizes = differences.withColumn("size", F.abs(value)).groupBy(*by, "size").agg(F.count("*").alias("rows"), F.count_if(F.col(value) > 0).alias("up"))
+    counts = F.col("size") > 0
+    ties = sizes.withColumn("t", F.when(counts, F.col("rows")).otherwise(0)).withColumn("bin", F.when(counts, F.shiftright(ordered_bits(F.col("size")), OPEN_BITS)).otherwise(-1))
     before = lambda w: F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = ties.groupBy(*by, "bin").agg(F.sum("t").alias("t"))
     bins = bins.withColumn("below", before(Window.partitionBy(*by).orderBy("bin"))).drop("t")
     inside = ties.withColumn("within", before(Window.partitionBy(*by, "bin").orderBy("size")))
     same = [F.col(f"x.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "bin")]
     # mid-rank of a group of ties: those below it, and half of itself
-    ranked = inside.alias("x").join(bins.alias("b"), same).select("x.*", "below").withColumn("rank", F.col("below") + F.col("within") + (F.col("t") + 1) / 2)
-    out = ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tied"))
-    mean = F.col("n") * (F.col("n") + 1) / 4
-    variance = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("tied") / 48
-    d = F.col("w_plus") - F.col("mean")
-    z = F.when(F.col("variance") > 0, (d + F.when(d > 0, -0.5).otherwise(0.5)) / F.sqrt("variance"))
-    return out.withColumn("mean", mean).withColumn("variance", variance).withColumn("z", rounded(z)).drop("tied")
+    ranked = inside.alias("x").join(bins.alias("b"), same).select("x.*", "below").withColumn("rank", F.when(F.col("t") > 0, F.col("below") + F.col("within") + (F.col("t") + 1) / 2))
+    few = F.when(F.col("rank") <= EXACT, F.struct((2 * F.col("rank")).cast("int").alias("rank2"), F.col("t").cast("int").alias("t")))
+    return ranked.groupBy(*by).agg(F.sum("t").alias("n"), F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).alias("w_plus"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tied"), F.collect_list(few).alias("ranks"))
+
+
+def _with_z(ranked: DataFrame) -> DataFrame:
+    n, d = F.col("n"), F.col("w_plus") - F.col("mean")
+    out = ranked.withColumn("mean", n * (n + 1) / 4).withColumn("variance", n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48)
+    return out.withColumn("z", rounded(F.when(F.col("variance") > 0, (d + F.when(d > 0, -0.5).otherwise(0.5)) / F.sqrt("variance"))))
+
+
+def signed_ranks(differences: DataFrame, by: list[str], value: str = "d") -> DataFrame:
+    """For each group with a difference that isn't 0: n without zeros, W+ with mid-ranks, its mean, its variance with ties, z with continuity."""
+    return _with_z(_ranked(differences, by, value).where("n > 0")).drop("tied", "ranks")
+
+
+def exact_p(differences: DataFrame, by: list[str], value: str = "d") -> DataFrame:
+    """For each group its two-sided p: for at most ``EXACT`` non-zero differences by a fold over the counts of all rank
+    sums, beyond by the normal approximation of ``signed_ranks``; 1 where no difference is non-zero."""
+    out = _with_z(_ranked(differences, by, value))
+    few = (F.col("n") > 0) & (F.col("n") <= EXACT)
+    ranks = F.flatten(F.transform("ranks", lambda r: F.array_repeat(r["rank2"], r["t"])))
+    total, w2 = F.col("n") * (F.col("n") + 1), (2 * F.col("w_plus")).cast("long")
+    start = F.transform(F.sequence(F.lit(0), F.least(total, F.lit(EXACT * (EXACT + 1))).cast("int")), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    counts = F.aggregate(ranks, start, lambda c, r: F.transform(c, lambda x, i: x + F.when(i >= r, F.get(c, i - r)).otherwise(0.0)))
+    tail = F.aggregate(F.slice(counts, 1, F.least(w2, total - w2).cast("int") + 1), F.lit(0.0), lambda s, x: s + x)
+    exact = F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), F.col("n")))
+    p = F.when(F.col("n") == 0, 1.0).when(few, rounded(exact)).otherwise(F.coalesce(rounded(normal_p(F.col("z"))), F.lit(1.0)))
+    return out.select(*by, "n", "w_plus", p.alias("p"))
 
 
 #: Bits of a value that each step of a median decides.
@@ -120,28 +143,6 @@ def score_noise(deltas: DataFrame, delta: str) -> DataFrame:
     return out.crossJoin(F.broadcast(exact_median(size, "size"))).withColumn("median_delta", rounded("median")).drop("median")
 
 
-def exact_p(ranked: DataFrame, by: list[str], value: str = "d") -> DataFrame:
-    """For each group its two-sided p: for at most ``EXACT`` non-zero differences by a fold over the counts of all rank
-    sums, beyond by the normal approximation of ``signed_ranks``; 1 where no difference is non-zero."""
-    sizes = ranked.groupBy(*by).agg(F.count_if(F.col(value) != 0).alias("n"))
-    same = lambda l, r: [l[c].eqNullSafe(r[c]) for c in by]
-    few = sizes.where((F.col("n") > 0) & (F.col("n") <= EXACT)).alias("few")
-    some = ranked.where(F.col(value) != 0).withColumn("size", F.abs(value))
-    some = some.join(few, same(some, few), "left_semi")
-    w = Window.partitionBy(*by)
-    rank2 = 2 * F.rank().over(w.orderBy("size")) + F.count("*").over(Window.partitionBy(*by, "size")) - 1
-    rows = some.withColumn("rank2", rank2.cast("int"))
-    small = rows.groupBy(*by).agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("rank2") > 0, F.col("rank2"))).alias("ranks"), F.sum(F.when(F.col(value) > 0, F.col("rank2")).otherwise(0)).alias("w2"))
-    total = F.col("n") * (F.col("n") + 1)
-    start = F.transform(F.sequence(F.lit(0), total.cast("int")), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    counts = F.aggregate("ranks", start, lambda c, r: F.transform(c, lambda x, i: x + F.when(i >= r, F.get(c, i - r)).otherwise(0.0)))
-    tail = F.aggregate(F.slice(counts, 1, F.least(F.col("w2"), total - F.col("w2")).cast("int") + 1), F.lit(0.0), lambda s, x: s + x)
-    exact = small.select(*by, "n", (F.col("w2") / 2).alias("w_plus"), rounded(F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), F.col("n")))).alias("p"))
-    large = signed_ranks(ranked, by, value).where(F.col("n") > EXACT).select(*by, "n", "w_plus", F.coalesce(rounded(normal_p(F.col("z"))), F.lit(1.0)).alias("p"))
-    none = sizes.where("n = 0").select(*by, "n", F.lit(0.0).alias("w_plus"), F.lit(1.0).alias("p"))
-    return exact.unionByName(large).unionByName(none)
-
-
 def normal_p(z: Column) -> Column:
     """Two-sided p of a standard normal value."""
 

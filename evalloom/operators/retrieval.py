@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,31 +77,35 @@ def top_k(points: DataFrame, queries: DataFrame, dims: int, k: int, id_col: str
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def case_metrics(cases: DataFrame, retrieved: DataFrame, gold: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
-    """A row for each case; the metrics are null where a case has no gold, and not rounded: means and differences are made of them."""
-    sizes = gold.groupBy("qid").agg(F.count_distinct(id_col).alias("gold_count"))
-    found = retrieved.where(F.col("rank") <= k)
-    hits = found.join(gold.select("qid", id_col).distinct(), ["qid", id_col], "left_semi").groupBy("qid").agg(F.count("*").alias("hits"), F.min("rank").cast("long").alias("first_hit_rank"))
-    joined = cases.select("qid").join(sizes, "qid", "left").join(hits, "qid", "left")
+def case_metrics(cases: DataFrame, retrieved: DataFrame, gold: DataFrame, k: int | str, id_col: str = "vec_id", by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """A row for each case; the metrics are null where a case has no gold, and not rounded: means and differences are made of them.
+
+    ``by`` are the columns that name a case (a run's number too, for several runs at once); ``k`` is a number or a column of
+    ``cases`` and of ``retrieved``."""
+    depth = F.col(k) if isinstance(k, str) else F.lit(k)
+    keys, kept = list(by), [k] if isinstance(k, str) else []
+    sizes = gold.groupBy(*keys).agg(F.count_distinct(id_col).alias("gold_count"))
+    found = retrieved.where(F.col("rank") <= depth)
+    hits = found.join(gold.select(*keys, id_col).distinct(), [*keys, id_col], "left_semi").groupBy(*keys).agg(F.count("*").alias("hits"), F.min("rank").cast("long").alias("first_hit_rank"))
+    joined = cases.select(*keys, *kept).join(sizes, keys, "left").join(hits, keys, "left")
     has = F.col("gold_count").isNotNull()
     n = F.coalesce("hits", F.lit(0))
     return joined.select(
-        "qid",
+        *keys,
+        *kept,
         F.coalesce("gold_count", F.lit(0)).alias("gold_count"),
         F.when(has, n).alias("hits"),
         F.when(has, n / F.col("gold_count")).alias("recall"),
-        F.when(has, n / F.lit(k)).alias("precision"),
+        F.when(has, n / depth).alias("precision"),
         F.when(has, F.coalesce(1 / F.col("first_hit_rank"), F.lit(0.0))).alias("reciprocal_rank"),
         F.when(has, (n > 0).cast("double")).alias("hit"),
         F.when(has, F.col("first_hit_rank")).alias("first_hit_rank"),
     )
 
 
-def run_aggregate(metrics: DataFrame, k: int) -> DataFrame:
-    """One row: means over cases with gold (0 without any), counts of the rest."""
+def _aggregates() -> list[Column]:
     mean = lambda c: rounded(F.coalesce(F.avg(c), F.lit(0.0)))
-    return metrics.agg(
-        F.lit(k).cast("long").alias("k"),
+    return [
         F.count("*").alias("cases_total"),
         F.count("recall").alias("cases_evaluated"),
         F.count_if(F.col("recall").isNull()).alias("cases_skipped_no_gold"),
@@ -111,4 +115,14 @@ def run_aggregate(metrics: DataFrame, k: int) -> DataFrame:
         mean("hit").alias("hit_at_k"),
         rounded(F.avg(F.when(F.col("recall").isNotNull(), F.col("gold_count"))), 4).alias("avg_gold_chunks"),
         rounded(F.avg("hits"), 4).alias("avg_hits"),
-    )
+    ]
+
+
+def run_aggregate(metrics: DataFrame, k: int) -> DataFrame:
+    """One row: means over cases with gold (0 without any), counts of the rest."""
+    return metrics.agg(F.lit(k).cast("long").alias("k"), *_aggregates())
+
+
+def run_aggregates(metrics: DataFrame) -> DataFrame:
+    """The same for each ``k`` of the cases of several runs."""
+    return metrics.groupBy(F.col("k").cast("long").alias("k")).agg(*_aggregates())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.functions import scoring as S
-from evalloom.operators import passages, reports, retrieval, state
+from evalloom.operators import listing, passages, reports, retrieval, state
 from evalloom.plans import oracle
 from evalloom.sources.scratch import written
 from evalloom.sources.tables import json_lines, table
@@ -53,6 +53,14 @@ def metrics(spark: SparkSession, d: str, dims: int, k: int, found: DataFrame | N
     return retrieval.case_metrics(cases(spark, d), hits(spark, d, dims, k, found), gold(spark, d, found), k)
 
 
+def run_metrics(spark: SparkSession, d: str, found: DataFrame, runs: dict[int, tuple[int, int]]) -> DataFrame:
+    """Case metrics of several runs (run_id: dimensions and k) in one go, with run_id and k."""
+    each = spark.createDataFrame([(i, *v) for i, v in runs.items()], "run_id int, dims int, k int")
+    every = F.broadcast(each.select("run_id", "k"))
+    got = found.join(F.broadcast(each), "dims").drop("dims")
+    return retrieval.case_metrics(cases(spark, d).crossJoin(every), got, gold(spark, d, found).crossJoin(every.select("run_id")), "k", by=("run_id", "qid"))
+
+
 def shown(m: DataFrame) -> DataFrame:
     """Case metrics as they are written."""
     return m.withColumns({c: S.rounded(F.col(c)) for c in ("recall", "precision", "reciprocal_rank")})
@@ -77,14 +85,23 @@ def flagged(spark: SparkSession, d: str, dims: int, k: int, with_judge: bool = F
         m = m.join(judged(spark, d), "qid", "left")
         judge = F.when(F.col("claims").isNotNull(), F.struct("claims", "unsupported", "irrelevant", "relevance", "helpfulness"))
     else:
-        judge = F.lit(None).cast("struct<claims:bigint,unsupported:bigint,irrelevant:bigint,relevance:bigint,helpfulness:bigint>")
+        judge = F.lit(None).cast(NOT_JUDGED)
     return m.withColumn("flags", S.flags(F.struct("gold_count", "hits", "first_hit_rank"), judge, k))
 
 
+NOT_JUDGED = "struct<claims:bigint,unsupported:bigint,irrelevant:bigint,relevance:bigint,helpfulness:bigint>"
+
+
+def stored_flags(spark: SparkSession, d: str, found: DataFrame, runs: dict[int, tuple[int, int]]) -> DataFrame:
+    """``run_metrics`` with the flags that retrieval alone can give, written."""
+    m = run_metrics(spark, d, found, runs)
+    return written(m.withColumn("flags", S.flags(F.struct("gold_count", "hits", "first_hit_rank"), F.lit(None).cast(NOT_JUDGED), F.col("k"))), "runs")
+
+
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    found = searched(spark, d, 48)
-    both = reports.paired(flagged(spark, d, 48, 1, found=found), flagged(spark, d, 48, 5, found=found))
-    return written(both.join(cases(spark, d), "qid"), "pairs")
+    rows = stored_flags(spark, d, searched(spark, d, 48), {1: (48, 1), 2: (48, 5)})
+    both = reports.paired(rows.where("run_id = 1"), rows.where("run_id = 2"))
+    return both.join(cases(spark, d), "qid")
 
 
 def attribution(spark: SparkSession, d: str) -> DataFrame:
@@ -101,9 +118,8 @@ def worst(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    found = searched(spark, d, 32)
-    out = [retrieval.run_aggregate(metrics(spark, d, 32, k, found), k) for k in (1, 3, 5)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    m = run_metrics(spark, d, searched(spark, d, 32), {k: (32, k) for k in (1, 3, 5)})
+    return retrieval.run_aggregates(m)
 
 
 def strata(spark: SparkSession, d: str) -> DataFrame:
@@ -157,8 +173,8 @@ def inter_annotator(spark: SparkSession, d: str) -> DataFrame:
 
 def closure(spark: SparkSession, d: str) -> DataFrame:
     status = F.get(F.array(*map(F.lit, ("open", "fixed", "verified", "wontfix"))), (F.expr("qid div 10") % 4).cast("int"))
-    found = searched(spark, d, 48)
-    return reports.closure(cases(spark, d).select("qid", status.alias("status")), flagged(spark, d, 48, 1, found=found), flagged(spark, d, 48, 5, found=found).where("qid % 130 <> 0"))
+    rows = stored_flags(spark, d, searched(spark, d, 48), {1: (48, 1), 2: (48, 5)})
+    return reports.closure(cases(spark, d).select("qid", status.alias("status")), rows.where("run_id = 1"), rows.where("run_id = 2 and qid % 130 <> 0"))
 
 
 def closure_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -291,9 +307,8 @@ def imported(spark: SparkSession, d: str) -> DataFrame:
 
 
 def case_counts(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    c = table(spark, d, "customer")
-    return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("case_count"))
+    counted = listing.counted_children(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders"), "c_custkey", "o_custkey")
+    return counted.withColumnRenamed("n", "case_count")
 
 
 def export_rows(spark: SparkSession, d: str) -> DataFrame:

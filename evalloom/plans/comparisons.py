@@ -26,22 +26,18 @@ def query(name: str, sql: str):
 
 
 # Two evaluated runs whose judgements look at the lengths of whole conversations.
-def side(s: SparkSession, d: str, found: DataFrame, k: int, shift: int, judged: str) -> DataFrame:
-    n = (F.length("text") + shift).cast("long")
+def stored_runs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The cases of both runs, searched for and judged once and written; the second one's judge sees other lengths and not all conversations."""
+    n = (F.length("text") + F.col("run_id") - 1).cast("long")
     label = F.col("n") % 3
-    j = table(s, d, "conversations").where(judged).select((F.col("conv_id") * 10).alias("qid"), n.alias("n")).groupBy("qid").agg(
+    turns = table(s, d, "conversations").select("conv_id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("run_id")).where("run_id = 1 or conv_id % 4 <> 0")
+    j = turns.select("run_id", (F.col("conv_id") * 10).alias("qid"), n.alias("n")).groupBy("run_id", "qid").agg(
         F.count("*").alias("claims"), F.count_if(label == 0).alias("supported"), F.count_if(label == 1).alias("unsupported"), F.count_if(label == 2).alias("irrelevant"), (1 + F.sum("n") % 5).alias("relevance"), (1 + F.max("n") % 5).alias("helpfulness"))
     judge = F.struct("claims", "supported", "unsupported", "irrelevant", "relevance", "helpfulness")
-    m = catalog.metrics(s, d, 48, k, found).join(j.select("qid", judge.alias("judge")), "qid", "left")
-    flags = S.flags(F.struct("gold_count", "hits", "first_hit_rank"), F.col("judge"), k)
-    return m.select("qid", "gold_count", "hits", "recall", "precision", "reciprocal_rank", "hit", "first_hit_rank", "judge", flags.alias("flags"))
-
-
-def stored_runs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The cases of both runs, searched for and judged once and written."""
-    found = catalog.searched(s, d, 48)
-    one, two = side(s, d, found, 1, 0, "true"), side(s, d, found, 5, 1, "conv_id % 4 <> 0").where("qid % 130 <> 0")
-    rows = written(one.withColumn("run_id", F.lit(1)).unionByName(two.withColumn("run_id", F.lit(2))), "runs")
+    m = catalog.run_metrics(s, d, catalog.searched(s, d, 48), {1: (48, 1), 2: (48, 5)}).where("run_id = 1 or qid % 130 <> 0")
+    m = m.join(j.select("run_id", "qid", judge.alias("judge")), ["run_id", "qid"], "left")
+    flags = S.flags(F.struct("gold_count", "hits", "first_hit_rank"), F.col("judge"), F.col("k"))
+    rows = written(m.select("run_id", "qid", "gold_count", "hits", "recall", "precision", "reciprocal_rank", "hit", "first_hit_rank", "judge", flags.alias("flags")), "runs")
     return rows.where("run_id = 1").drop("run_id"), rows.where("run_id = 2").drop("run_id")
 
 
@@ -154,12 +150,12 @@ KEYS = ["recall", "hits", "first_hit_rank"]
 def consistent_sides(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     found = catalog.searched(s, d, 60)
 
-    def one(dims: int, where: str) -> DataFrame:
-        ids = catalog.hits(s, d, dims, 5, found).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
-        return catalog.flagged(s, d, dims, 5, found=found).join(ids, "qid").select("qid", *KEYS, "flags", "ids").where(where)
-
-    rows = written(one(60, "qid % 110 <> 0").withColumn("run_id", F.lit(1)).unionByName(one(64, "qid % 130 <> 0").withColumn("run_id", F.lit(2))), "runs")
-    return rows.where("run_id = 1").drop("run_id"), rows.where("run_id = 2").drop("run_id")
+    ids = found.groupBy("dims", "qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
+    m = catalog.run_metrics(s, d, found, {60: (60, 5), 64: (64, 5)})
+    flags = S.flags(F.struct("gold_count", "hits", "first_hit_rank"), F.lit(None).cast(catalog.NOT_JUDGED), F.col("k"))
+    rows = m.withColumn("flags", flags).join(ids.withColumnRenamed("dims", "run_id"), ["run_id", "qid"]).select("run_id", "qid", *KEYS, "flags", "ids")
+    rows = written(rows.where("(run_id = 60 and qid % 110 <> 0) or (run_id = 64 and qid % 130 <> 0)"), "runs")
+    return rows.where("run_id = 60").drop("run_id"), rows.where("run_id = 64").drop("run_id")
 
 
 @query("case_differences", CONSISTENT + " select qid, array_to_string(metrics, ',') metrics, flags_differ, order_differs from x")
@@ -226,6 +222,7 @@ def between_annotators(s: SparkSession, d: str) -> DataFrame:
 
 # Anchors at every level: a passage as it stands, in other case and punctuation, a title, nothing, and what isn't there.
 CHUNKS = "(select doc_id, i idx, substr(text, i * 450 + 1, 500) text, 'Part ' || doc_id % 7 section from (select doc_id, text, unnest(range(case when length(text) <= 500 then 1 else cast(ceil((length(text) - 500) / 450.0) as bigint) + 1 end)) i from documents where length(text) > 0))"
+# Fixed value: white space and the punctuation that doesn't count when texts are compared loosely.
 NORM = "lower(regexp_replace({}, '[\\s#*`>:\\-—、,，。.；;!！?？()（）\\[\\]【】\"''“”‘’]+', '', 'g'))"
 ANCHORS = f"""anchors as (select doc_id qid, case when doc_id % 11 = 5 then doc_id + 1000000 else doc_id end doc, case doc_id % 5 when 0 then substr(text, 101, 60) when 1 then translate(replace(substr(text, 201, 40), ' ', ' - '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') when 2 then 'Part ' || doc_id % 7 when 3 then '  ' else 'no such passage anywhere' end span from documents),
  c as {CHUNKS}, t as (select qid, doc, span, trim(span, ' ' || chr(10) || chr(9) || chr(13)) s from anchors), met as (select t.*, doc || ':' || idx point, case when s = '' then 0 when contains(section, s) then 1 when contains(text, s) then 2
@@ -257,9 +254,11 @@ def anchor_coverage(s: SparkSession, d: str) -> DataFrame:
     return P.coverage(P.case_gold(mapped(s, d).withColumn("qid", F.col("qid") % 40)), 0.5)
 
 
-@query("anchor_diagnostics", "with " + ANCHORS + ", z as (select doc_id, count(*) n from c group by 1) select 'gold' kind, len(points) \"value\", count(*) n from mapped group by 2 union all select 'matches', len(points), count(*) from mapped group by 2 union all select 'every chunk', z.n, count(*) from mapped m join z on z.doc_id = m.doc where z.n > 1 and len(points) = z.n group by 2")
+@query("anchor_diagnostics", "with " + ANCHORS + ", z as (select doc_id, count(*) n from c group by 1) select 'gold' kind, len(points) \"value\", count(*) n from mapped group by 2 union all select 'matches', len(points), count(*) from mapped group by 2 union all select 'every chunk', z.n, count(*) from mapped m join z on z.doc_id = m.doc where z.n > 1 and len(points) = z.n group by 2 union all select 'repeated id', n, count(*) from (select least(qid, 700) q, count(*) n from anchors group by 1 having count(*) > 1) group by 2")
 def anchor_diagnostics(s: SparkSession, d: str) -> DataFrame:
-    return P.anchor_diagnostics(mapped(s, d), chunks(s, d))
+    """The cases' ids here are the documents', all from 700 on the same."""
+    cases = table(s, d, "documents").select(F.least("doc_id", F.lit(700)).alias("qid"))
+    return P.anchor_diagnostics(mapped(s, d), chunks(s, d), cases)
 
 
 @query("index_report", f"with c as {CHUNKS} select (select count(*) from documents) docs, count(*) chunks, count(*) points, sum(length(text))::bigint chars, ceil(count(*) / 16)::bigint calls from c")
