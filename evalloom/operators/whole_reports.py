@@ -293,10 +293,16 @@ CHUNKING = {"strategy": "headings", "chunk_size": 500, "overlap": 50, "min_chars
 
 
 def settings_error(c: Column, top_k: Column, generation: Column, judge: Column) -> Column:
-    """The first thing that is wrong with a pipeline: chunking (a struct), how many to retrieve, generation and judge (structs, null if off)."""
-    tokens = lambda x: x["max_tokens"].between(1, 32_768) & (x["max_context_chars"] > 0) & x["temperature"].between(0, 2)
-    on = lambda x, ok: x.isNull() | F.coalesce(ok, F.lit(False))
-    return L.first_error(strategy=c["strategy"].isin(*STRATEGIES), chunk_size=c["chunk_size"] > 0, overlap=(c["overlap"] >= 0) & (c["overlap"] < c["chunk_size"]), min_chars=c["min_chars"] >= 0, top_k=top_k <= 50, generation=on(generation, (F.trim(generation["prompt_id"]) != "") & tokens(generation)), judge=on(judge, (F.trim(judge["claims_prompt_id"]) != "") & tokens(judge) & (judge["max_claims"] > 0)), judge_needs_generation=judge.isNull() | generation.isNotNull())
+    """The first thing that is wrong with a pipeline: chunking (a struct), how many to retrieve, generation and judge (structs, null if off).
+
+    What is wrong with a section is named after it, as in ``judge.max_claims``."""
+    said = lambda x, n: F.trim(F.coalesce(x[n], F.lit(""))) != ""
+    model = lambda x, prompt: {"provider": said(x, "provider"), "model": said(x, "model"), prompt: said(x, prompt), "temperature": x["temperature"].between(0, 2), "max_tokens": x["max_tokens"] > 0, "max_context_chars": x["max_context_chars"] > 0}
+    checks = {"strategy": c["strategy"].isin(*STRATEGIES), "chunk_size": c["chunk_size"] > 0, "overlap": (c["overlap"] >= 0) & (c["overlap"] < c["chunk_size"]), "min_chars": c["min_chars"] >= 0, "top_k": top_k <= 50}
+    checks |= {f"generation.{n}": generation.isNull() | F.coalesce(ok, F.lit(False)) for n, ok in model(generation, "prompt_id").items()}
+    judged = model(judge, "claims_prompt_id") | {"rubric_prompt_id": ~F.coalesce(judge["enable_rubric"], F.lit(True)) | said(judge, "rubric_prompt_id"), "max_claims": judge["max_claims"] > 0}
+    checks |= {f"judge.{n}": judge.isNull() | F.coalesce(ok, F.lit(False)) for n, ok in judged.items()}
+    return L.first_error(**checks, judge_needs_generation=judge.isNull() | generation.isNotNull())
 
 
 def object_json(column: Column, fields: dict[str, str]) -> Column:
