@@ -75,3 +75,18 @@ def cache_stats(cache: DataFrame) -> DataFrame:
 def rubric_score(value: Column) -> Column:
     """A score of 1 to 5 from a mean: rounded half up, null for none and for what isn't above 0."""
     return F.when(value > 0, F.least(F.floor(value + 0.5), F.lit(5)).cast("int"))
+
+
+def has_key(document: Column, key: str) -> Column:
+    """Whether a JSON object has a key, with a value or with null; false for anything else than an object."""
+    return F.coalesce(F.array_contains(F.json_object_keys(document), key), F.lit(False))
+
+
+def has_value(document: Column, key: str) -> Column:
+    """Whether a JSON object has a value other than null under a key."""
+    return F.coalesce(F.get_json_object(document, f"$.{key}") != "null", F.lit(False)) & has_key(document, key)
+
+
+def rubric_counts(results: DataFrame, judge: str = "judge") -> DataFrame:
+    """One row from judgements as JSON: those with a rubric key, and those whose rubric isn't null."""
+    return results.agg(F.count_if(has_key(F.col(judge), "rubric")).alias("rubric_cases"), F.count_if(has_value(F.col(judge), "rubric")).alias("rubric_scored_cases"))

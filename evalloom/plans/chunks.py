@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalloom.operators import experiments as X
-from evalloom.operators import imports, passages
+from evalloom.operators import imports, indexing, passages
 from evalloom.operators.collections import Collections
 from evalloom.plans import catalog, comparisons, oracle
 from evalloom.sources.scratch import shared_folder, written
@@ -180,3 +180,22 @@ def collection_upserted(s: SparkSession, d: str) -> DataFrame:
         kept.upsert("corpus1_5f45e034", part)
     info = kept.info("corpus1_5f45e034")
     return kept.read("corpus1_5f45e034").crossJoin(F.broadcast(info)).select("point_id", F.get("embedding", F.lit(0)).alias("first"), F.col("dims").cast("long").alias("dims"), "points")
+
+
+NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
+WHOLE_SQL = "blocks as (select doc_id, t, 0::bigint a, length(t) b, '' title, 1::bigint k from docs)"
+FIXED_SQL = "with recursive " + LINES_SQL.format(text="text") + ", " + WHOLE_SQL + ", " + CHUNKED_SQL
+POINT_SQL = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+FIXED_HASH = indexing.chunking_hash("fixed", SIZE, OVERLAP, LEAST)
+
+
+@query("corpus_indexed", f"""select doc_id doc, count(*) points, sum(char_end - char_start)::bigint chars, min({POINT_SQL}) first_id, 'corpus7_{FIXED_HASH[:8]}' "collection", (select count(*) from documents) docs
+ from (select *, sha1(unhex('{NAMESPACE}') || encode('7:' || doc_id || ':' || "index" || ':{FIXED_HASH}')) h from ({FIXED_SQL})) group by 1""")
+def corpus_indexed(s: SparkSession, d: str) -> DataFrame:
+    """Documents indexed twice: the collection is as after the first time."""
+    kept = Collections(s, f"{shared_folder(s)}/evalloom-tables/collections-{uuid.uuid4().hex}")
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    for _ in range(2):
+        name, report = indexing.index_corpus(kept, 7, docs, NAMESPACE, "fixed", SIZE, OVERLAP, LEAST)
+    out = kept.read(name).groupBy("doc").agg(F.count("*").alias("points"), F.sum(F.length("text")).alias("chars"), F.min("point_id").alias("first_id"), F.max("collection").alias("collection"))
+    return out.crossJoin(F.broadcast(report.select("docs")))

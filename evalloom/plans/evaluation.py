@@ -277,6 +277,16 @@ def judge_usage_whole(s: SparkSession, d: str) -> DataFrame:
     return usage.judge_usage(answers(s, d))
 
 
+@query("rubric_keys", "select count(*) filter (conv_id % 7 <> 0 and conv_id % 4 in (1, 2)) rubric_cases, count(*) filter (conv_id % 7 <> 0 and conv_id % 4 = 2) rubric_scored_cases from conversations")
+def rubric_keys(s: SparkSession, d: str) -> DataFrame:
+    """Judgements without a rubric, with an empty one, with one, broken ones, and none."""
+    i = F.col("conv_id")
+    said = F.to_json(F.struct(F.array(F.struct("text")).alias("claims"), F.struct(F.lit(3).alias("relevance")).alias("rubric")))
+    empty = F.concat(F.lit('{"rubric": null, "claims": '), F.to_json(F.array("text")), F.lit("}"))
+    judge = F.when(i % 7 != 0, F.when(i % 4 == 0, "{}").when(i % 4 == 1, empty).when(i % 4 == 2, said).otherwise('{"rubric": '))
+    return usage.rubric_counts(table(s, d, "conversations").select(judge.alias("judge")))
+
+
 @query("run_rates", JUDGE_SQL + " select round(claims_supported / claims_total, 6) claim_support_rate, round(claims_unsupported / claims_total, 6) hallucination_rate, round(claims_irrelevant / claims_total, 6) irrelevant_rate, round(claims_total / cases_judged, 4) avg_claims_per_answer, true judged, true rates_consistent from u")
 def run_rates(s: SparkSession, d: str) -> DataFrame:
     return usage.run_rates(usage.judge_usage(answers(s, d))).select("claim_support_rate", "hallucination_rate", "irrelevant_rate", "avg_claims_per_answer", "judged", "rates_consistent")

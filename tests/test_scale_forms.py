@@ -214,3 +214,28 @@ def test_one_takes_every_value(spark):
 def test_flags_of_unknown_names_come_last(spark):
     out = spark.range(1).select(X.ordered_flags(F.array(*map(F.lit, ("zzz", "off_topic", "no_gold", "aaa")))).alias("f")).first().f
     assert out == ["no_gold", "off_topic", "zzz", "aaa"]
+
+
+def test_a_corpus_indexed_again_is_the_same(spark, tmp_path):
+    from evalloom.operators import indexing
+
+    assert indexing.chunking_hash()[:8] == "5f45e034"
+    c = Collections(spark, str(tmp_path), buckets=2)
+    docs = spark.createDataFrame([(1, "# A\n" + "word " * 300), (2, "short"), (3, None), (4, " ")], "doc long, text string")
+    name, report = indexing.index_corpus(c, 3, docs, "6ba7b8109dad11d180b400c04fd430c8", dims=32)
+    first = sorted((r.point_id, r.doc, r["index"], tuple(r.embedding)) for r in c.read(name).collect())
+    row = report.first()
+    assert name == "corpus3_5f45e034" and (row.docs, row.chunks, row.points, row.calls) == (4, 5, 5, 1)
+    indexing.index_corpus(c, 3, docs, "6ba7b8109dad11d180b400c04fd430c8", dims=32)
+    assert sorted((r.point_id, r.doc, r["index"], tuple(r.embedding)) for r in c.read(name).collect()) == first and c.info(name).first().points == 5
+    with pytest.raises(ValueError, match="32 entries, not 16"):
+        indexing.index_corpus(c, 3, docs, "6ba7b8109dad11d180b400c04fd430c8", dims=16)
+
+
+def test_keys_of_json(spark):
+    from evalloom.operators import usage
+
+    values = ['{"rubric": null}', '{"rubric": {"relevance": 1}}', '{"rubric": "null"}', "{}", "[]", "broken", None, '{"other": 1}']
+    out = spark.createDataFrame([(v,) for v in values], "judge string")
+    assert [(r.k, r.v) for r in out.select(usage.has_key(F.col("judge"), "rubric").alias("k"), usage.has_value(F.col("judge"), "rubric").alias("v")).collect()][:2] == [(True, False), (True, True)]
+    assert usage.rubric_counts(out).first().rubric_cases == 3
