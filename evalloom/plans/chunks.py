@@ -61,7 +61,7 @@ def headed(s: SparkSession, d: str) -> DataFrame:
 
 @query("section_chunks", "with recursive " + LINES_SQL.format(text=HEADED_SQL) + ", " + HEADS_SQL + ", " + CHUNKED_SQL)
 def section_chunks(s: SparkSession, d: str) -> DataFrame:
-    return passages.chunk_rows(headed(s, d)).select("doc_id", "index", "char_start", "char_end", "section", F.sha2("text", 256).alias("digest"))
+    return passages.chunk_rows(headed(s, d)).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("index", "char_start", "char_end")), "section", F.sha2("text", 256).alias("digest"))
 
 
 @query("paragraph_chunks", "with recursive " + LINES_SQL.format(text=SPACED_SQL) + ", " + PARAGRAPHS_SQL + ", " + BLOCKS_SQL + ", " + CHUNKED_SQL)
@@ -69,7 +69,7 @@ def paragraph_chunks(s: SparkSession, d: str) -> DataFrame:
     """By the table function that SQL has."""
     passages.register_functions(s)
     spaced = table(s, d, "documents").where("text <> ''").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return s.sql(f"select d.doc_id, c.index, c.char_start, c.char_end, c.section, sha2(c.text, 256) digest from {{docs}} d, lateral document_chunks(d.text, 'paragraph', {SIZE}, {OVERLAP}, {LEAST}) c", docs=spaced)
+    return s.sql(f"select d.doc_id, bigint(c.index) index, bigint(c.char_start) char_start, bigint(c.char_end) char_end, c.section, sha2(c.text, 256) digest from {{docs}} d, lateral document_chunks(d.text, 'paragraph', {SIZE}, {OVERLAP}, {LEAST}) c", docs=spaced)
 
 
 # Runs as stored, each pair with its outcome: a copy, another order of ids, other metrics, other settings, other data, an unfinished run.

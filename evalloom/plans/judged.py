@@ -109,7 +109,7 @@ def judged_through_cache(s: SparkSession, d: str) -> DataFrame:
     out, _ = judged(s, d)
     m = F.col("judge.meta")
     kept = [m[c].alias(c) for c in ("rubric_skipped_reason", "claims_calls", "claims_cache_hits", "rubric_calls", "rubric_cache_hits", "protocol_retries", "prompt_tokens")]
-    return out.select("case_id", "error", F.array_join("judge.claims.label", ",").alias("labels"), "judge.rubric.relevance", "judge.rubric.helpfulness", *kept, m["cache_saved_prompt_tokens"].alias("saved"))
+    return out.select("case_id", "error", F.array_join("judge.claims.label", ",").alias("labels"), F.col("judge.rubric.relevance").cast("long").alias("relevance"), F.col("judge.rubric.helpfulness").cast("long").alias("helpfulness"), *kept, m["cache_saved_prompt_tokens"].alias("saved"))
 
 
 @query("judge_cache_after", f"""with {CASES_SQL}, keys as (select distinct question, answer, contexts from asked where length(answer) % 5 = 0),

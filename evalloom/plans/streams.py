@@ -14,6 +14,8 @@ from evalloom.streaming import leases
 from evalloom.streaming.keyed import KeyedTable, drain_into
 
 Q, SQL = {}, {}
+#: Most partitions of the streamed queue's state.
+STATE_PARTITIONS = 32
 
 
 def query(name: str, sql: str):
@@ -54,7 +56,9 @@ def queue_events(s: SparkSession, d: str) -> DataFrame:
  count(*) filter (job_id % 10 <> 0 and fails = 3) failed, count(*) total, coalesce(sum(least(fails, 3)) filter (job_id % 10 <> 0), 0)::bigint failures, count(*) filter (job_id % 10 = 0) reclaimed from i group by 1""")
 def queue_streamed(s: SparkSession, d: str) -> DataFrame:
     """The stream ends and starts again twice; what is later moves its time on, until the lost workers' leases are over."""
-    for key, value in leases.STORE.items():
+    # the number of a state's partitions stays as it is at the first start
+    before = s.conf.get("spark.sql.shuffle.partitions")
+    for key, value in (leases.STORE | {"spark.sql.shuffle.partitions": str(min(int(before), STATE_PARTITIONS))}).items():
         s.conf.set(key, value)
     base = folder(s, "queue")
     kept = KeyedTable(s, f"{base}/items", ["job_id", "case_id"], ["nth"])
@@ -62,6 +66,7 @@ def queue_streamed(s: SparkSession, d: str) -> DataFrame:
     for part in (queue_events(s, d), late(1), late(2)):
         part.write.mode("append").parquet(f"{base}/pending")
         drain_into(kept, f"{base}/pending", leases.EVENTS, f"{base}/checkpoint", leases.items)
+    s.conf.set("spark.sql.shuffle.partitions", before)
     items = kept.read(s.createDataFrame([], leases.ITEMS).schema).where("job_id >= 0")
     more = items.groupBy("job_id").agg(F.sum("retry_count").cast("long").alias("failures"), F.count_if(F.col("cause") == "stale").alias("reclaimed"))
     return state.progress(items, "job_id", "status").join(more, "job_id")

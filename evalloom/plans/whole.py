@@ -92,9 +92,9 @@ MD_SQL = AB + f""", n as (select count(*) filter (transition = 'fixed') fixed, c
  union all select 2, 9, 0, metric, '| ' || {labels('metric', W.PAIRED_LABELS)} || case when higher_is_better then '' else '（越低越好）' end || ' | ' || {num('mean_left')} || ' | ' || {num('mean_right')} || ' | ' || {POINTS.format(x='delta')} || ' | ' || improved || ' | ' || worsened || ' | ' || {num('p_value')} || ' | ' || case when below_noise then '噪声内' when significant then '显著' else '不显著' end || '（' || cases || ' 题） |' from shown
  union all select 3, 0, 0, '', '' union all select 3, 1, 0, '', '## 修好的题（' || fixed || '）' from n union all select 3, 2, 0, '', '- 无' from n where fixed = 0 union all select 4, 0, 0, '', '' union all select 4, 1, 0, '', '## 变坏的题（' || broke || '）' from n union all select 4, 2, 0, '', '- 无' from n where broke = 0
  union all select 5, 0, 0, '', '' from n where changed > 0 union all select 5, 1, 0, '', '## 标签变化但不好不坏（' || changed || '）' from n where changed > 0
- union all select 2 + list_position(['fixed', 'broke', 'changed'], transition), 3, 0, qid::varchar, '- ' || qid || '：' || {flags_text('fl', True)} || ' → ' || {flags_text('fr', True)} from moved
- union all select b, i, 0, '', case i when 1 then '## ' || title when 3 then '| 分组 | 题数 | Recall 均值差 | 改善 | 恶化 | 有标签(左→右) |' when 4 then '|---|---|---|---|---|---|' else '' end from (values (6, 'category', '按类别'), (7, 'difficulty', '按难度'), (8, 'flag', '按归因标签')) h(b, k, title), range(5) g(i) where k in (select "by" from strata)
- union all select 5 + list_position(['category', 'difficulty', 'flag'], "by"), 9, {STRATA_SQL}, "key", '| ' || "key" || ' | ' || cases || ' | ' || {POINTS.format(x='mean_delta')} || ' | ' || improved || ' | ' || worsened || ' | ' || case when fl = 0 and fr = 0 then '—' else fl || ' → ' || fr end || ' |' from strata) select * from x"""
+ union all select (2 + list_position(['fixed', 'broke', 'changed'], transition))::int, 3, 0, qid::varchar, '- ' || qid || '：' || {flags_text('fl', True)} || ' → ' || {flags_text('fr', True)} from moved
+ union all select b, i::int, 0, '', case i when 1 then '## ' || title when 3 then '| 分组 | 题数 | Recall 均值差 | 改善 | 恶化 | 有标签(左→右) |' when 4 then '|---|---|---|---|---|---|' else '' end from (values (6, 'category', '按类别'), (7, 'difficulty', '按难度'), (8, 'flag', '按归因标签')) h(b, k, title), range(5) g(i) where k in (select "by" from strata)
+ union all select (5 + list_position(['category', 'difficulty', 'flag'], "by"))::int, 9, {STRATA_SQL}, "key", '| ' || "key" || ' | ' || cases || ' | ' || {POINTS.format(x='mean_delta')} || ' | ' || improved || ' | ' || worsened || ' | ' || case when fl = 0 and fr = 0 then '—' else fl || ' → ' || fr end || ' |' from strata) select * from x"""
 
 
 @query("compare_markdown", MD_SQL)
