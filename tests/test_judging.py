@@ -113,7 +113,7 @@ def test_answers_are_trimmed_and_asked_for_again(spark, tmp_path):
 
 
 @pytest.mark.parametrize(("template", "required", "said"), [("{contexts} {foo} {question}", ("contexts",), "unknown"), ("{question}", ("contexts", "question"), "lacks"), ("{contexts} {question}", ("contexts", "answer"), "lacks")])
-def test_templates_are_checked(template, required, said):
+def test_templates_are_checked(spark, template, required, said):
     with pytest.raises(ValueError, match=said):
         J.Prompt("s", template, required)
     with pytest.raises(ValueError, match=said):
