@@ -2,29 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalloom.functions import scoring as S
 from evalloom.operators import passages, retrieval
 from evalloom.sources.scratch import written
 
 DIMS = 128
+#: Rows whose vectors a task makes at a time, and words whose entries it remembers.
+SLICE, MOST_WORDS = 512, 1 << 19
+SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def with_term_vectors(rows: DataFrame, text: str, into: str = "embedding", dims: int = DIMS, least: int = 1) -> DataFrame:
+    """``rows`` with a vector each: how often words (lower case, between white space) of at least so many characters fall on each entry.
+
+    Null for texts without words. A text is counted where it is: nothing is dealt, and a word's entry is looked up once a task."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(into, T.ArrayType(T.DoubleType()))])
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry: dict[str, int] = {}
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                found, known = np.zeros((batch.num_rows, dims)), np.zeros(batch.num_rows, bool)
+                for n, low in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    if words := [w for w in SPACE.split(low or "") if w and len(w) >= least]:
+                        if len(entry) > MOST_WORDS:
+                            entry.clear()
+                        for w in words:
+                            if w not in entry:
+                                entry[w] = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:7], 16) % dims
+                        found[n], known[n] = np.bincount([entry[w] for w in words], minlength=dims), True
+                starts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dims, mask=np.append(~known, False))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(starts, pa.array(found.ravel()))], names=schema.names)
 
-def term_bucket(word: Column, dims: int) -> Column:
-    """The entry of a word: the first 28 bits of its MD5, modulo ``dims``."""
-    return (F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("long") % dims).cast("int")
+    return rows.withColumn("_low", F.lower(text)).mapInArrow(counted, schema)
 
 
 def term_vectors(texts: DataFrame, id_col: str, text: str, into: str = "embedding", dims: int = DIMS, least: int = 1) -> DataFrame:
-    """(id, vector) of texts: how often words (lower case, between white space) of at least so many characters fall on each entry.
+    """(id, vector) of texts, as ``with_term_vectors`` makes them; texts of one id are added up.
 
-    Texts without words have no row. Words are counted before they are dealt, by text and entry, so that a common word is no hot key."""
-    words = texts.select(F.col(id_col), F.explode(F.split(F.lower(text), r"\s+")).alias("word")).where(F.length("word") >= least)
-    counts = words.groupBy(id_col, term_bucket(F.col("word"), dims).alias("entry")).agg(F.count("*").cast("double").alias("n"))
-    met = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("entry", "n"))).alias("m"))
-    return met.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias(into))
+    Texts without words have no row."""
+    each = with_term_vectors(texts.select(F.col(id_col), F.col(text)), text, into, dims, least).where(F.col(into).isNotNull())
+    zeros = F.array_repeat(F.lit(0.0), dims)
+    return each.groupBy(id_col).agg(F.aggregate(F.collect_list(into), zeros, lambda a, v: F.zip_with(a, v, lambda x, y: x + y)).alias(into))
 
 
 def chunk_points(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFrame:
@@ -40,7 +70,7 @@ def evaluated(docs: DataFrame, cases: DataFrame, anchors: DataFrame, k: int = 5,
     points = written(chunk_points(docs, size, overlap), "chunks")
     gold = passages.anchored(anchors.select("qid", "doc", "span"), points).select("qid", "point").distinct()
     gold = written(gold, "gold")
-    vectors = term_vectors(points, "point", "text", dims=dims)
+    vectors = with_term_vectors(points.select("point", "text"), "text", dims=dims).where("embedding is not null")
     asked = cases.join(gold.select("qid").distinct(), "qid", "left_semi")
     questions = term_vectors(asked, "qid", "question", dims=dims)
     # queries and points have ids of one type; a question's can't be a point's, for these have a colon

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +52,15 @@ class KeyedTable:
         if self.whole(number):
             return
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        touched = {r[0] for r in batch.select(bucket.alias(BUCKET)).distinct().collect()}  # at most as many as there are buckets
-        stored = self.read(batch.schema, touched, number)
-        both = stored.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
-        newest = both.groupBy(*(F.col(k).alias(f"_key_{k}") for k in self.keys)).agg(F.max_by(F.struct(*batch.columns), F.struct(*self.order, "_new")).alias("x")).select("x.*")
-        newest.withColumn(BUCKET, bucket).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(self._batch(number))
+        stored = self.versions(number)
+        # rows of a batch that touches only some buckets must not bring in the others; at most as many as there are buckets
+        touched = {r[0] for r in batch.select(bucket.alias(BUCKET)).distinct().collect()} if stored else set()
+        both = self.read(batch.schema, touched, number).withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
+        # dealt once, by bucket and part of it, so that rows meet and are written where they are
+        parts = -(-2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        dealt = both.withColumns({BUCKET: bucket, "_part": F.pmod(F.hash(*self.keys), F.lit(parts))}).repartition(BUCKET, "_part")
+        newest = dealt.groupBy(BUCKET, "_part", *(F.col(k).alias(f"_key_{k}") for k in self.keys)).agg(F.max_by(F.struct(*batch.columns), F.struct(*self.order, "_new")).alias("x")).select("x.*", BUCKET)
+        newest.write.mode("overwrite").partitionBy(BUCKET).parquet(self._batch(number))
 
     def vacuum(self) -> int:
         """Deletes batches that no bucket needs any more; how many. Only for when nobody reads."""
@@ -71,7 +76,16 @@ def drain_into(table: KeyedTable, pending: str, schema: str, checkpoint: str, wo
     if files_each:
         reader = reader.option("maxFilesPerTrigger", files_each)
     trigger = {"processingTime": f"{seconds} seconds"} if seconds else {"availableNow": True}
-    query = work(reader.parquet(pending)).writeStream.outputMode("update").foreachBatch(table.merge).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+    def merged(batch: DataFrame, number: int) -> None:
+        # kept on disk, since a stream's batch must not be worked out for its buckets and then again for its rows
+        kept = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            table.merge(kept, number)
+        finally:
+            kept.unpersist()
+
+    query = work(reader.parquet(pending)).writeStream.outputMode("update").foreachBatch(merged).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     if not seconds:
         query.awaitTermination()
     return query

@@ -80,3 +80,13 @@ def test_term_vectors(spark):
     df = spark.createDataFrame([(1, "A b a\n"), (2, " "), (3, None)], "id long, text string")
     out = {r.id: r.embedding for r in offline.term_vectors(df, "id", "text", dims=16).collect()}
     assert set(out) == {1} and sorted(out[1])[-2:] == [1.0, 2.0] and sum(out[1]) == 3.0
+
+
+def test_texts_are_counted_where_they_are(spark):
+    df = spark.createDataFrame([(1, "a b\x0bA"), (2, " "), (3, None), (1, "c")], "id long, text string")
+    out = offline.with_term_vectors(df, "text", dims=16, least=1)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [(r.id, r.text, r.embedding and sum(r.embedding)) for r in out.collect()]
+    assert got == [(1, "a b\x0bA", 3.0), (2, " ", None), (3, None, None), (1, "c", 1.0)]
+    # texts of one id are added up
+    assert {r.id: sum(r.embedding) for r in offline.term_vectors(df, "id", "text", dims=16).collect()} == {1: 4.0}
