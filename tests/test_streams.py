@@ -1,5 +1,6 @@
 """Keyed tables and the stateful queue: repeated batches, cases that come twice, failures, dead letters, lost workers."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,62 @@ def test_stateful_queue(spark, tmp_path):
     assert (batch.status, batch.retry_count, batch.last_error) == (done.status, done.retry_count, done.last_error)
 
 
+def test_a_shard_is_one_call_to_the_store(spark):
+    calls = []
+
+    class Value:
+        """A value of the state that counts what is asked of it."""
+
+        kept = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.kept is not None
+
+        def get(self):
+            calls.append("get")
+            return self.kept
+
+        def update(self, value):
+            calls.append("update")
+            self.kept = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def listTimers(self):
+            return []
+
+        def registerTimer(self, at):
+            calls.append(at)
+
+    queue = leases.Leases(1000, 3)
+    queue.init(Handle())
+    batch = lambda *kinds: iter([pd.DataFrame([(c, False, k, None, n, n) for c in range(500) for n, k in enumerate(kinds)], columns=["case_id", "whole", "kind", "error", "at_ms", "seq"])])
+    (out,) = queue.handleInputRows((1, 0), batch("enqueue", "claim", "failed", "claim"), None)
+    assert len(out) == 500 and set(out.status) == {"running"} and set(out.retry_count) == {1} and len(calls) == 3
+    (out,) = queue.handleInputRows((1, 0), batch("done"), None)
+    assert set(out.status) == {"succeeded"} and out.nth.nunique() == 500 and out.nth.min() > 4 * 499 and len(calls) == 7
+
+
+def test_a_batch_of_a_stream_is_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    spark.createDataFrame([(1, c, "a", 0) for c in range(10)], SCHEMA).write.parquet(str(tmp_path / "in"))
+    t = KeyedTable(spark, str(tmp_path / "out"), KEYS, ["at"], buckets=2)
+
+    def noted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    for n in range(2):
+        drain_into(t, str(tmp_path / "in"), SCHEMA, str(tmp_path / "check"), lambda df: df.mapInPandas(noted, SCHEMA))
+        if not n:
+            spark.createDataFrame([(1, c, "b", 1) for c in range(5)], SCHEMA).write.mode("append").parquet(str(tmp_path / "in"))
+    assert seen.value == 15 and [a for _, a in rows(spark, t)] == ["b"] * 5 + ["a"] * 5
+
+
 def test_aborted_jobs(spark):
     items = spark.createDataFrame([(1, 1, "running"), (1, 2, "succeeded"), (2, 3, "running")], "job_id long, case_id long, status string")
     jobs = spark.createDataFrame([(1, "running")], "job_id long, status string")
