@@ -90,3 +90,24 @@ def test_texts_are_counted_where_they_are(spark):
     assert got == [(1, "a b\x0bA", 3.0), (2, " ", None), (3, None, None), (1, "c", 1.0)]
     # texts of one id are added up
     assert {r.id: sum(r.embedding) for r in offline.term_vectors(df, "id", "text", dims=16).collect()} == {1: 4.0}
+
+
+def test_copies_of_queries_grow_with_the_queries_alone(spark):
+    points = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {}
+    for n in (4, 400):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        out = retrieval.top_k(points, points.where("vec_id % 10 = 0"), 2, 3)
+        got[n] = (sorted(map(tuple, out.collect())), retrieval.point_groups(spark))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[4][0] == got[400][0] and got[4][1] <= got[400][1] <= 2 * spark.sparkContext.defaultParallelism < 400
+
+
+def test_a_task_keeps_the_best_of_all_its_tiles(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE", 5)
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    points = spark.range(0, 200, 1, 1).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 7).cast("double")).alias("embedding"))
+    out = {(r.qid, r["rank"]): r.vec_id for r in retrieval.top_k(points, points.where("vec_id % 40 = 1"), 2, 4).collect()}
+    same = lambda q: [v for v in range(200) if v % 7 == q % 7 and v != q][:4]
+    assert out == {(q, i + 1): v for q in range(1, 200, 40) for i, v in enumerate(same(q))}
