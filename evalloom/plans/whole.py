@@ -40,9 +40,14 @@ def with_strata(s: SparkSession, d: str, df: DataFrame) -> DataFrame:
     return df.join(c, "qid")
 
 
-def compared(s: SparkSession, d: str, least: int = 0) -> W.ABReport:
+def compared_rows(s: SparkSession, d: str) -> DataFrame:
     left, right = comparisons.stored_runs(s, d)
-    rows = written(with_strata(s, d, left).withColumn("run_id", F.lit(1)).unionByName(with_strata(s, d, right).withColumn("run_id", F.lit(2))), "runs")
+    return written(with_strata(s, d, left).withColumn("run_id", F.lit(1)).unionByName(with_strata(s, d, right).withColumn("run_id", F.lit(2))), "runs")
+
+
+def compared(s: SparkSession, d: str, least: int = 0, rows: DataFrame | None = None) -> W.ABReport:
+    """The report on both runs' cases, which are searched for unless they are given."""
+    rows = compared_rows(s, d) if rows is None else rows
     return W.ab_report(rows.where("run_id = 1").drop("run_id"), rows.where(f"run_id = 2 and qid >= {least}").drop("run_id"), True, least == 0)
 
 
@@ -60,9 +65,9 @@ AB = comparisons.BOTH + ", info as (select qid, case when category % 4 <> 0 then
 def ab_whole_report(s: SparkSession, d: str) -> DataFrame:
     """Two runs that can be compared, and two that share too few cases, of which nothing is said."""
     last = catalog.cases(s, d).agg(F.max("qid").alias("m")).first()["m"]
-    out = []
+    out, rows = [], compared_rows(s, d)
     for kind, least in (("whole", 0), ("few", last - 100)):
-        r = compared(s, d, least)
+        r = compared(s, d, least, rows)
         count = lambda df, name: F.broadcast(df.agg(F.count("*").alias(name)))
         row = r.head.crossJoin(count(r.summary, "metrics")).crossJoin(count(r.moved, "moved")).crossJoin(count(r.strata, "strata"))
         out.append(row.select(F.lit(kind).alias("kind"), "reason", "comparable", "attribution_missing", "shared_cases", "judged_cases", "metrics", "moved", "strata"))

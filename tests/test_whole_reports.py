@@ -166,3 +166,12 @@ def test_calibration_with_everything(spark):
     assert row.inter_annotator.binary_pairs == 5
     alone = W.calibration(gold.where("annotator = 'bo'"), 60).first()
     assert alone.relevance is None and alone.inter_annotator is None and alone.disagreements == []
+
+
+def test_both_ab_reports_come_from_one_search(spark, monkeypatch):
+    from evalloom.plans import catalog, whole
+
+    calls, searched = [], catalog.searched
+    monkeypatch.setattr(catalog, "searched", lambda *a: calls.append(a) or searched(*a))
+    whole.ab_whole_report(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
