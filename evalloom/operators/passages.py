@@ -10,11 +10,11 @@ from itertools import accumulate, groupby
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNKS = "array<struct<index:int,text:string,char_start:int,char_end:int,section:string>>"
 HEADING = re.compile(r"(#{1,6})\s+(.*)")
 
 
@@ -124,20 +124,45 @@ def register_functions(spark: SparkSession) -> None:
     spark.udtf.register("document_chunks", chunk_table)
 
 
+#: Characters of texts that a task cuts at a time (a longer text alone).
+SLICE_CHARS = 1 << 20
+CHUNK_FIELDS = [T.StructField(n, t) for n, t in (("index", T.IntegerType()), ("text", T.StringType()), ("char_start", T.IntegerType()), ("char_end", T.IntegerType()), ("section", T.StringType()))]
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Runs of a batch's rows with their texts, so that a task holds the chunks of ``SLICE_CHARS`` characters, whatever a batch has."""
+    for batch in batches:
+        # by bytes, of which a text has at least as many
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        start, filled = 0, 0
+        for i, size in enumerate([*sizes, None]):
+            if i > start and (size is None or filled + size > SLICE_CHARS):
+                part = batch.slice(start, i - start)
+                yield part, [t or "" for t in part.column(text).to_pylist()]
+                start, filled = i, 0
+            filled += size or 0
+
+
+def chunk_columns(texts: list[str], strategy: str, size: int, overlap: int, least: int) -> tuple[list[int], list[pa.Array]]:
+    """How many chunks each text has, and the columns of all of them."""
+    spans = [chunk_spans(raw, strategy, size, overlap, least) for raw in texts]
+    each = [(n, raw[a:b], a, b, title) for raw, of in zip(texts, spans, strict=True) for n, (a, b, title) in enumerate(of)]
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+    return [len(of) for of in spans], [pa.array([x[k] for x in each], kind) for k, kind in enumerate(kinds)]
+
+
 def chunk_rows(docs: DataFrame, text: str = "text", strategy: str = "headings", size: int = 500, overlap: int = 50, least: int = 80) -> DataFrame:
     """A row for each chunk of ``docs``, beside the document's other columns."""
     check_chunking(strategy, size, overlap, least)
     kept = [c for c in docs.columns if c != text]
-    schema = T.StructType([*docs.select(*kept).schema.fields, *(T.StructField(n, t) for n, t in (("index", T.IntegerType()), ("text", T.StringType()), ("char_start", T.IntegerType()), ("char_end", T.IntegerType()), ("section", T.StringType())))])
+    schema = T.StructType([*docs.select(*kept).schema.fields, *CHUNK_FIELDS])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, raw in enumerate(batch.column(len(kept)).to_pylist()):
-                if spans := chunk_spans(raw or "", strategy, size, overlap, least):
-                    start, end, section = zip(*spans, strict=True)
-                    own = [batch.column(k).take(pa.array([i] * len(spans))) for k in range(len(kept))]
-                    made = [pa.array(range(len(spans)), pa.int32()), pa.array([raw[a:b] for a, b in zip(start, end, strict=True)], pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(section, pa.string())]
-                    yield pa.RecordBatch.from_arrays([*own, *made], names=schema.names)
+        for batch, texts in slices(batches, len(kept)):
+            counts, made = chunk_columns(texts, strategy, size, overlap, least)
+            if sum(counts):
+                at = pa.array([i for i, n in enumerate(counts) for _ in range(n)], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(kept))), *made], names=schema.names)
 
     return docs.select(*kept, text).mapInArrow(rows, schema)
 
@@ -145,12 +170,16 @@ def chunk_rows(docs: DataFrame, text: str = "text", strategy: str = "headings",
 def chunked(docs: DataFrame, text: str = "text", strategy: str = "headings", size: int = 500, overlap: int = 50, least: int = 80) -> DataFrame:
     """``docs`` with an array ``chunks``."""
     check_chunking(strategy, size, overlap, least)
+    schema = T.StructType([*docs.schema.fields, T.StructField("chunks", T.ArrayType(T.StructType(CHUNK_FIELDS)))])
+    place, names = docs.columns.index(text), [f.name for f in CHUNK_FIELDS]
 
-    @F.pandas_udf(CHUNKS)
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk(t or "", strategy, size, overlap, least))
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, place):
+            counts, made = chunk_columns(texts, strategy, size, overlap, least)
+            chunks = pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), pa.StructArray.from_arrays(made, names=names))
+            yield pa.RecordBatch.from_arrays([*batch.columns, chunks], names=schema.names)
 
-    return docs.withColumn("chunks", chunks(F.col(text)))
+    return docs.mapInArrow(listed, schema)
 
 
 #: Characters of a block of spans that one automaton looks for, and blocks for which texts are read again.
