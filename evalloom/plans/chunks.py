@@ -139,7 +139,9 @@ def case_lines(s: SparkSession, d: str) -> DataFrame:
     qid = F.when(n == 2, "  ").when(n == 11, "again").otherwise(F.concat(F.lit("q"), i.cast("string")))
     body = F.to_json(F.struct(qid.alias("qid"), F.when(n.isin(2, 3), "").otherwise(F.col("text")).alias("question"), F.when(n != 9, anchor).alias("gold_anchors"), F.when(n == 5, "hard").when(n == 6, "易").alias("difficulty")))
     value = F.when(n == 0, "").when(n == 1, "{broken").when(n == 4, F.concat(F.lit('{"qid": "x'), i.cast("string"), F.lit('", "question": "y", "gold_anchors": 3}'))).when(n == 10, "[1, 2]").otherwise(body)
-    return table(s, d, "documents").where("text is not null").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", value.alias("value"))
+    # dealt by ranges, in order: a source's lines are parts of its file, written by as many tasks as it takes
+    docs = table(s, d, "documents").where("text is not null").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", "text")
+    return docs.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id").select("source", "doc_id", value.alias("value"))
 
 
 IMPORT_SQL = """i0 as (select coalesce(source, 'none') source, doc_id, doc_id % 20 n, text, row_number() over (partition by coalesce(source, 'none') order by doc_id) line from documents where text is not null),
@@ -161,12 +163,11 @@ def import_totals(s: SparkSession, d: str) -> DataFrame:
 
 def imported_cases(s: SparkSession, d: str) -> DataFrame:
     folder = f"{shared_folder(s)}/evalloom-tables/cases-{uuid.uuid4().hex}"
-    lines = case_lines(s, d).repartition("source").sortWithinPartitions("source", "doc_id")
-    lines.select("source", "value").write.partitionBy("source").text(folder)
-    named = numbered_lines(s, folder).withColumn("source", F.regexp_extract("file", "source=([^/]*)/", 1)).withColumn("file", F.col("source"))
+    case_lines(s, d).select("source", "value").write.partitionBy("source").text(folder)
+    named = numbered_lines(s, folder, parts=True).withColumn("source", F.regexp_extract("file", "source=([^/]*)$", 1)).withColumn("file", F.col("source"))
     stored = table(s, d, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("qid"))
     docs = table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc"))
-    return imports.checked(imports.parsed(named), stored, docs)
+    return imports.checked(written(imports.parsed(named), "cases"), stored, docs)
 
 
 @query("collection_upserted", "select vec_id::varchar point_id, case when vec_id % 3 = 0 then -embedding[1] else embedding[1] end::double \"first\", 64::bigint dims, (select count(*) from embeddings) points from embeddings")

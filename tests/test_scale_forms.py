@@ -239,3 +239,34 @@ def test_keys_of_json(spark):
     out = spark.createDataFrame([(v,) for v in values], "judge string")
     assert [(r.k, r.v) for r in out.select(usage.has_key(F.col("judge"), "rubric").alias("k"), usage.has_value(F.col("judge"), "rubric").alias("v")).collect()][:2] == [(True, False), (True, True)]
     assert usage.rubric_counts(out).first().rubric_cases == 3
+
+
+def test_parts_of_a_folder_are_numbered_as_one_file(spark, tmp_path):
+    for folder, name, lines in (("a", "part-0.txt", "x\ny\n"), ("a", "part-1.txt", "z\n"), ("b", "part-1.txt", "u\n")):
+        (tmp_path / f"source={folder}").mkdir(exist_ok=True)
+        (tmp_path / f"source={folder}" / name).write_text(lines)
+    out = numbered_lines(spark, str(tmp_path), parts=True)
+    assert sorted((r.file[-1], r.line, r.value) for r in out.collect()) == [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "z"), ("b", 1, "u")]
+
+
+def test_a_source_is_written_by_many_tasks(spark, tmp_path):
+    from evalloom.plans import chunks
+
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("one").alias("source"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    with_aqe = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r[0] for r in chunks.case_lines(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_aqe)
+    assert max(sizes) < 3000 and sum(sizes) == 4000
+    assert chunks.import_totals(spark, str(tmp_path)).first().total == 3800
+
+
+def test_texts_are_cut_in_slices():
+    import pyarrow as pa
+
+    texts = ["a" * 700_000, None, "b" * 700_000, "c" * 3_000_000, "", "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["n", "t"])
+    got = [(part.column(0).to_pylist(), [len(t) for t in of]) for part, of in passages.slices(iter([batch, batch.slice(0, 0)]), 1)]
+    assert got == [([0, 1], [700_000, 0]), ([2], [700_000]), ([3], [3_000_000]), ([4, 5], [0, 1])]
