@@ -42,8 +42,10 @@ def with_term_vectors(rows: DataFrame, text: str, into: str = "embedding", dims:
                             if w not in entry:
                                 entry[w] = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:7], 16) % dims
                         found[n], known[n] = np.bincount([entry[w] for w in words], minlength=dims), True
-                starts = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dims, mask=np.append(~known, False))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(starts, pa.array(found.ravel()))], names=schema.names)
+                # a null in the starts would make the row before it longer
+                starts = pa.array(np.append(0, np.cumsum(known) * dims), pa.int32())
+                vectors = pa.ListArray.from_arrays(starts, pa.array(found[known].ravel()), mask=pa.array(~known))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=schema.names)
 
     return rows.withColumn("_low", F.lower(text)).mapInArrow(counted, schema)
 
@@ -63,19 +65,114 @@ def chunk_points(docs: DataFrame, size: int = 500, overlap: int = 100) -> DataFr
     return chunks.select("doc", F.concat_ws(":", F.col("doc").cast("string"), F.col("index").cast("string")).alias("point"), F.lit("").alias("section"), "text")
 
 
+class Entries(dict):
+    """Entries of words, looked up once; forgotten when they are too many."""
+
+    def __init__(self, dims: int) -> None:
+        self.dims = dims
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > MOST_WORDS:
+            self.clear()
+        entry = self[word] = int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:7], 16) % self.dims
+        return entry
+
+
+# The white space that parts words, and what Python takes for white space besides.
+GAPS = np.array([(chr(c) in " \t\n\x0b\f\r") + 2 * (chr(c).isspace() and chr(c) not in " \t\n\x0b\f\r") for c in range(0x3002)], np.uint8)
+
+
+def window_counts(text: str, low: str, size: int, overlap: int, entry: Entries) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, counts): the counts of words of a text's sliding windows, at most ``TILE`` windows at a time; ``low`` is the text in lower case.
+
+    Each word of the text is looked up once; a window has the words that lie in it whole, and what it cuts off others at its ends."""
+    step, length = size - overlap, len(text)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    gap = GAPS[np.minimum(points, len(GAPS) - 1)]
+    edges = np.flatnonzero(np.diff(gap == 1, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    words = [w for w in SPACE.split(low) if w] if gap.max() > 1 else low.split()
+    at = np.fromiter(map(entry.__getitem__, words), np.int64, len(words))
+
+    def cut(j: int, start: int, end: int) -> str:
+        whole = text[starts[j]:ends[j]]
+        # places stay unless a letter becomes two; a sigma's form depends on what follows
+        same = len(words[j]) == len(whole) and "\u03a3" not in whole
+        return words[j][start - starts[j]:end - starts[j]] if same else text[start:end].lower()
+
+    windows = 1 if length <= size else -(-(length - size) // step) + 1
+    for first in range(0, windows, retrieval.TILE):
+        a = np.arange(first, min(first + retrieval.TILE, windows)) * step
+        b = np.minimum(a + size, length)
+        lo, hi = np.searchsorted(starts, a), np.searchsorted(ends, b, "right")
+        n = np.maximum(hi - lo, 0)
+        inside = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        cells = np.repeat(np.arange(len(a)), n) * entry.dims + at[inside]
+        ends_cut = []
+        for i in np.flatnonzero((lo > 0) & (ends[lo - 1] > a)) if len(ends) else ():
+            ends_cut.append(i * entry.dims + entry[cut(lo[i] - 1, a[i], min(ends[lo[i] - 1], b[i]))])
+        for i in np.flatnonzero(hi < len(starts)):
+            if a[i] <= starts[hi[i]] < b[i]:
+                ends_cut.append(i * entry.dims + entry[cut(hi[i], starts[hi[i]], b[i])])
+        every = np.concatenate([cells, np.array(ends_cut, np.int64)])
+        yield first, np.bincount(every, minlength=len(a) * entry.dims).reshape(len(a), -1).astype(np.float64)
+
+
+def window_tiles(docs: DataFrame, size: int = 500, overlap: int = 100, dims: int = DIMS) -> DataFrame:
+    """``retrieval.tiles`` of the windows of documents (doc, text), named as by ``chunk_points``, with vectors as by ``with_term_vectors``.
+
+    A task reads its documents and counts their words where they are; windows without words are left out."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry, names, held = Entries(dims), [], []
+
+        def tile() -> pa.RecordBatch:
+            counts = np.concatenate(held)
+            unit = counts / np.linalg.norm(counts, axis=1, keepdims=True)
+            ids = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.array(names, pa.string()))
+            return pa.RecordBatch.from_arrays([ids, pa.array([unit.tobytes()], pa.binary())], names=["ids", "vectors"])
+
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                for doc, text, low in zip(*(c.to_pylist() for c in whole.slice(i, SLICE).columns), strict=True):
+                    for first, counts in window_counts(text, low, size, overlap, entry):
+                        known = np.flatnonzero(counts.any(axis=1))
+                        names += [str(first + n) if doc is None else f"{doc}:{first + n}" for n in known]
+                        held.append(counts[known])
+                        if len(names) >= retrieval.TILE:
+                            yield tile()
+                            names, held = [], []
+        if names:
+            yield tile()
+
+    kept = docs.where(F.length("text") > 0).select(F.col("doc").cast("string"), "text", F.lower("text").alias("_low"))
+    return kept.mapInArrow(packed, T.StructType([T.StructField("ids", T.ArrayType(T.StringType())), T.StructField("vectors", T.BinaryType())]))
+
+
+#: Questions that go to every task.
+FEW = 1 << 14
+
+
+def searched(docs: DataFrame, questions: DataFrame, k: int, size: int, overlap: int, dims: int = DIMS) -> DataFrame:
+    """(qid, point, score, rank) of questions (point, embedding) over the windows of documents (doc, text); windows of up to ``FEW`` questions' search are dealt nowhere."""
+    few = questions.limit(FEW + 1).count() <= FEW
+    asked = retrieval.tiles((questions.coalesce(1) if few else questions).select("point", F.col("embedding").alias("v")), retrieval.BLOCK)
+    return retrieval.nearest(window_tiles(docs, size, overlap, dims), asked, k, "point", few)
+
+
 def evaluated(docs: DataFrame, cases: DataFrame, anchors: DataFrame, k: int = 5, size: int = 500, overlap: int = 100, dims: int = DIMS) -> tuple[DataFrame, DataFrame]:
     """(hits, metrics) of cases (qid, question) over documents (doc, text), with the chunks that hold a case's anchors (qid, doc, span) as gold.
 
-    Cases without gold are not searched for, and have no metrics. Chunks and their vectors are written once for both uses."""
-    points = written(chunk_points(docs, size, overlap), "chunks")
-    gold = passages.anchored(anchors.select("qid", "doc", "span"), points).select("qid", "point").distinct()
+    Cases without gold are not searched for, and have no metrics. Only documents with anchors are cut into texts, for gold; the search
+    counts words where documents are, each once."""
+    anchors = written(anchors.select("qid", "doc", "span"), "anchors")
+    points = written(chunk_points(docs.join(anchors.select("doc").distinct(), "doc", "left_semi"), size, overlap), "chunks")
+    gold = passages.anchored(anchors, points).select("qid", "point").distinct()
     gold = written(gold, "gold")
-    vectors = with_term_vectors(points.select("point", "text"), "text", dims=dims).where("embedding is not null")
     asked = cases.join(gold.select("qid").distinct(), "qid", "left_semi")
-    questions = term_vectors(asked, "qid", "question", dims=dims)
     # queries and points have ids of one type; a question's can't be a point's, for these have a colon
-    q = questions.select(F.col("qid").cast("string").alias("point"), "embedding")
-    hits = retrieval.top_k(vectors, q, dims, k, "point").select(F.col("qid"), "rank", "point", "score")
+    questions = term_vectors(asked, "qid", "question", dims=dims).select(F.col("qid").cast("string").alias("point"), "embedding")
+    hits = searched(docs, written(questions, "questions"), k, size, overlap, dims).select("qid", "rank", "point", "score")
     hits = written(hits, "hits")
     named = asked.select(F.col("qid").cast("string").alias("qid"))
     return hits, retrieval.case_metrics(named, hits, gold.select(F.col("qid").cast("string").alias("qid"), "point"), k, "point")

@@ -111,3 +111,64 @@ def test_a_task_keeps_the_best_of_all_its_tiles(spark, monkeypatch):
     out = {(r.qid, r["rank"]): r.vec_id for r in retrieval.top_k(points, points.where("vec_id % 40 = 1"), 2, 4).collect()}
     same = lambda q: [v for v in range(200) if v % 7 == q % 7 and v != q][:4]
     assert out == {(q, i + 1): v for q in range(1, 200, 40) for i, v in enumerate(same(q))}
+
+
+def test_a_text_without_words_leaves_the_vector_before_it_alone(spark):
+    df = spark.createDataFrame([(1, "a"), (2, " "), (3, None), (4, "b c")], "id long, text string").coalesce(1)
+    assert [r.embedding and len(r.embedding) for r in offline.with_term_vectors(df, "text", dims=16).collect()] == [16, None, None, 16]
+    assert {r.id: (len(r.embedding), sum(r.embedding)) for r in offline.term_vectors(df, "id", "text", dims=16).collect()} == {1: (16, 1.0), 4: (16, 2.0)}
+
+
+def test_windows_counted_by_document_equal_windows_counted_alone(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE", 4)
+    texts = ["one Two  three\tfour five", "ΑΣΟΣ ΟΔΟΣ. ΣΑΣ' İstanbul İI DİŞ", "a b c\x1cd   e\x85f", "x" * 40, " \n ", "", None, "é😀 " * 9, " lead and trail ", "\x0b\x0cab\rcd", "w " * 50]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "no name"), (20, "Z")], "doc long, text string").repartition(2)
+    for size, overlap in ((7, 3), (5, 0), (2, 1), (100, 40)):
+        alone = offline.with_term_vectors(offline.chunk_points(docs, size, overlap).select("point", "text"), "text", dims=16).where("embedding is not null")
+        expected = {r.ids[0]: bytes(r.vectors) for r in retrieval.tiles(alone.select("point", "embedding"), 1).collect()}
+        got = {}
+        for r in offline.window_tiles(docs, size, overlap, 16).collect():
+            got |= {name: bytes(r.vectors[i * 128:i * 128 + 128]) for i, name in enumerate(r.ids)}
+        assert got == expected
+
+
+def test_windows_are_not_dealt_for_few_questions(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3}") for i in range(60)], "doc long, text string").repartition(3)
+    questions = offline.term_vectors(spark.createDataFrame([(f"q{i}", f"w{i} w1") for i in range(5)], "point string, text string"), "point", "text", dims=32)
+    out = offline.searched(docs, questions, 3, 8, 4, 32)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    few = sorted(map(tuple, out.collect()))
+    monkeypatch.setattr(offline, "FEW", 4)
+    many = offline.searched(docs, questions, 3, 8, 4, 32)
+    assert "strategy=broadcast" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert few == sorted(map(tuple, many.collect())) and len(few) == 15
+
+
+def test_results_are_merged_before_any_is_let_go(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE", 5)
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    monkeypatch.setattr(retrieval, "HELD", 44)
+    monkeypatch.setattr(retrieval, "point_groups", lambda spark: 1)
+    sizes = {}
+    for n in (200, 2000):
+        points = spark.range(0, n, 1, 1).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), (F.col("id") % 7).cast("double")).alias("embedding"))
+        asked = points.where("vec_id < 5")
+        each = []
+        whole = retrieval.best_of_tasks
+        monkeypatch.setattr(retrieval, "best_of_tasks", lambda *a: each.append(whole(*a)) or each[0])
+        out = {(r.qid, r["rank"]): r.vec_id for r in retrieval.top_k(points, asked, 2, 4).collect()}
+        monkeypatch.setattr(retrieval, "best_of_tasks", whole)
+        assert out == {(q, i + 1): v for q in range(5) for i, v in enumerate([v for v in range(n) if v % 7 == q % 7 and v != q][:4])}
+        sizes[n] = each[0].count()
+    # five queries' best four, from one task, however many tiles it saw
+    assert sizes == {200: 20, 2000: 20}
+
+
+def test_blocks_with_the_same_first_query_keep_their_own_floors(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE", 2)
+    monkeypatch.setattr(retrieval, "BLOCK", 1)
+    df = points(spark, [(i, [1.0, i / 10]) for i in range(12)])
+    asked = points(spark, [(-1, [1.0, 0.0]), (-1, [-1.0, 0.05])]).coalesce(1)
+    out = [r.vec_id for r in retrieval.top_k(df, asked, 2, 3).orderBy("rank").collect()]
+    assert out == [0, 1, 2]
