@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,44 +79,48 @@ class Entries(dict):
         return entry
 
 
-# The white space that parts words, and what Python takes for white space besides.
-GAPS = np.array([(chr(c) in " \t\n\x0b\f\r") + 2 * (chr(c).isspace() and chr(c) not in " \t\n\x0b\f\r") for c in range(0x3002)], np.uint8)
+def window_counts(texts: list[str], lows: list[str], size: int, overlap: int, entry: Entries) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of texts, numbers of windows, counts of words), at most ``TILE`` windows at a time, those without words left out; ``lows`` are the texts in lower case.
 
-
-def window_counts(text: str, low: str, size: int, overlap: int, entry: Entries) -> Iterator[tuple[int, np.ndarray]]:
-    """(first, counts): the counts of words of a text's sliding windows, at most ``TILE`` windows at a time; ``low`` is the text in lower case.
-
-    Each word of the text is looked up once; a window has the words that lie in it whole, and what it cuts off others at its ends."""
-    step, length = size - overlap, len(text)
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    gap = GAPS[np.minimum(points, len(GAPS) - 1)]
-    edges = np.flatnonzero(np.diff(gap == 1, prepend=True, append=True))
+    Each word of the texts is looked up once; a window has the words that lie in it whole, and what it cuts off others at its ends."""
+    joined, step = "\n".join(texts), size - overlap
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edges = np.flatnonzero(np.diff((points == 32) | ((points >= 9) & (points <= 13)), prepend=True, append=True))
     starts, ends = edges[::2], edges[1::2]
-    words = [w for w in SPACE.split(low) if w] if gap.max() > 1 else low.split()
-    at = np.fromiter(map(entry.__getitem__, words), np.int64, len(words))
-
-    def cut(j: int, start: int, end: int) -> str:
-        whole = text[starts[j]:ends[j]]
+    if not len(starts):
+        return
+    words = pc.ascii_split_whitespace(pa.array(["\n".join(lows)])).flatten()
+    words = words.filter(pc.greater(pc.binary_length(words), 0)).dictionary_encode()
+    different, word = words.dictionary.to_pylist(), words.indices.to_numpy()
+    at = np.fromiter(map(entry.__getitem__, different), np.int64, len(different))[word]
+
+    def cut(j: int, start: int, end: int) -> int:
+        whole, low = joined[starts[j]:ends[j]], different[word[j]]
         # places stay unless a letter becomes two; a sigma's form depends on what follows
-        same = len(words[j]) == len(whole) and "\u03a3" not in whole
-        return words[j][start - starts[j]:end - starts[j]] if same else text[start:end].lower()
-
-    windows = 1 if length <= size else -(-(length - size) // step) + 1
-    for first in range(0, windows, retrieval.TILE):
-        a = np.arange(first, min(first + retrieval.TILE, windows)) * step
-        b = np.minimum(a + size, length)
+        same = len(low) == len(whole) and "\u03a3" not in whole
+        return entry[low[start - starts[j]:end - starts[j]] if same else joined[start:end].lower()]
+
+    length = np.array([len(t) for t in texts])
+    base = np.cumsum(length + 1) - length - 1
+    windows = np.where(length <= size, 1, -(-(length - size) // step) + 1)
+    text = np.repeat(np.arange(len(texts)), windows)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+    from_ = base[text] + nth * step
+    to = np.minimum(from_ + size, (base + length)[text])
+    for first in range(0, len(text), retrieval.TILE):
+        a, b = (x[first:first + retrieval.TILE] for x in (from_, to))
         lo, hi = np.searchsorted(starts, a), np.searchsorted(ends, b, "right")
         n = np.maximum(hi - lo, 0)
         inside = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
         cells = np.repeat(np.arange(len(a)), n) * entry.dims + at[inside]
-        ends_cut = []
-        for i in np.flatnonzero((lo > 0) & (ends[lo - 1] > a)) if len(ends) else ():
-            ends_cut.append(i * entry.dims + entry[cut(lo[i] - 1, a[i], min(ends[lo[i] - 1], b[i]))])
-        for i in np.flatnonzero(hi < len(starts)):
-            if a[i] <= starts[hi[i]] < b[i]:
-                ends_cut.append(i * entry.dims + entry[cut(hi[i], starts[hi[i]], b[i])])
-        every = np.concatenate([cells, np.array(ends_cut, np.int64)])
-        yield first, np.bincount(every, minlength=len(a) * entry.dims).reshape(len(a), -1).astype(np.float64)
+        next_ = starts[np.minimum(hi, len(starts) - 1)]
+        left = np.flatnonzero((lo > 0) & (ends[lo - 1] > a))
+        right = np.flatnonzero((hi < len(starts)) & (a <= next_) & (next_ < b))
+        more = [i * entry.dims + cut(lo[i] - 1, a[i], min(ends[lo[i] - 1], b[i])) for i in left]
+        more += [i * entry.dims + cut(hi[i], next_[i], b[i]) for i in right]
+        counts = np.bincount(np.append(cells, np.array(more, np.int64)), minlength=len(a) * entry.dims).reshape(len(a), -1)
+        known = np.flatnonzero(counts.any(axis=1))
+        yield text[first + known], nth[first + known], counts[known].astype(np.float64)
 
 
 def window_tiles(docs: DataFrame, size: int = 500, overlap: int = 100, dims: int = DIMS) -> DataFrame:
@@ -134,14 +139,13 @@ def window_tiles(docs: DataFrame, size: int = 500, overlap: int = 100, dims: int
 
         for whole in batches:
             for i in range(0, whole.num_rows, SLICE):
-                for doc, text, low in zip(*(c.to_pylist() for c in whole.slice(i, SLICE).columns), strict=True):
-                    for first, counts in window_counts(text, low, size, overlap, entry):
-                        known = np.flatnonzero(counts.any(axis=1))
-                        names += [str(first + n) if doc is None else f"{doc}:{first + n}" for n in known]
-                        held.append(counts[known])
-                        if len(names) >= retrieval.TILE:
-                            yield tile()
-                            names, held = [], []
+                docs, texts, lows = (c.to_pylist() for c in whole.slice(i, SLICE).columns)
+                for text, nth, counts in window_counts(texts, lows, size, overlap, entry):
+                    names += [str(n) if docs[t] is None else f"{docs[t]}:{n}" for t, n in zip(text.tolist(), nth.tolist(), strict=True)]
+                    held.append(counts)
+                    if len(names) >= retrieval.TILE:
+                        yield tile()
+                        names, held = [], []
         if names:
             yield tile()
 
